@@ -50,7 +50,7 @@ def letters(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     keep[1:] |= space[1:] & ~space[:-1]
     codes = codes[keep]
-    return np.concatenate(([32] * (codes[0] != 32), codes, [32] * (codes[-1] != 32))).astype(np.int64)
+    return np.concatenate(([32] * int(codes[0] != 32), codes, [32] * int(codes[-1] != 32))).astype(np.int64)
 
 
 def ngrams(codes: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, langid
+from . import bpe, jaccard_join, langid, mixing, url_filter
 from .textkernels import held_out
 
 
@@ -15,20 +15,63 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Fixed values of the query: (verdict, host, path).
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+BPE_VOCABULARY = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "url", URL_RULES).drop("url")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"), "doc_id", "text", k=4, percent=85)
 
 
+def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with column ``q``: 2 for documents labelled good, 0.5 for bad, 1 for unlabelled ones."""
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+    return docs.join(known, "doc_id", "left").withColumn("q", F.when(F.col("_quality") == 1, 2.0).when(F.col("_quality") == 0, 0.5).otherwise(1.0)).drop("_quality")
+
+
+QUALITY_SQL = "SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END AS q FROM labels GROUP BY doc_id"
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality_weights(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, "doc_id", "text", "source", F.col("q"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
     profiles = langid.fit_profiles(docs, "text", "lang", ~F.col("held_out"), order_col="doc_id")
     return langid.predict_language(docs.select("doc_id", "held_out", "text"), "text", profiles).drop("text")
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer_path(BPE_VOCABULARY)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_mixing": op7_mixing,
     "op9_language": op9_language,
+    "op10_bpe": op10_bpe,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.oracle(QUALITY_SQL)}
