@@ -169,13 +169,8 @@ def _list_udf(listed):
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: equal fingerprints give 1; else the largest share, over densities with at least three subsets that hold terms of either, of subsets that agree."""
     empty = F.lit("-" * DIGITS)
-    cut = lambda c, s: F.substring(c, s * DIGITS + 1, DIGITS)
-    shares = []
-    for d in range(DENSITIES):
-        used, same = F.lit(0), F.lit(0)
-        for s in range(d * EACH, (d + 1) * EACH):
-            x, y = cut(a, s), cut(b, s)
-            used = used + ((x != empty) | (y != empty)).cast("int")
-            same = same + ((x != empty) & (x == y)).cast("int")
-        shares.append(F.when(used >= 3, same / used).otherwise(F.lit(0.0)))
-    return F.when(a == b, F.lit(1.0)).when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.greatest(*shares))
+    parts = lambda c: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(c, i * DIGITS + 1, F.lit(DIGITS)))
+    states = F.zip_with(parts(a), parts(b), lambda x, y: F.when((x == empty) & (y == empty), 0).when(x == y, 2).otherwise(1))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(DENSITIES - 1)), lambda d: F.filter(F.slice(states, d * EACH + 1, F.lit(EACH)), lambda v: v > 0))
+    shares = F.transform(groups, lambda g: F.when(F.size(g) >= 3, F.size(F.filter(g, lambda v: v == 2)) / F.size(g)).otherwise(0.0))
+    return F.when(a == b, 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.array_max(shares))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, langid, mixing, url_filter
+from . import bpe, imatch, jaccard_join, langid, lengths, mixing, tiff, toxicity, url_filter
 from .textkernels import held_out
 
 
@@ -37,6 +38,60 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "url", URL_RULES).drop("url")
 
 
+def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = 2000, most: int = 512) -> DataFrame:
+    """Deal rows into ranges of ids that hold about ``per_bucket`` rows (``most`` ranges at most), each closed by a copy (``tail`` true) of the first row of the next range; the last range is closed by the first row of all.
+
+    Only the range limits, at most ``most`` ids, reach the driver.
+    """
+    key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
+    n = docs.count()
+    k = max(1, min(most, n // per_bucket))
+    cuts = docs.select(F.percentile_approx(key, [i / k for i in range(1, k)] or [0.5], 10000)).first()[0] or [] if k > 1 else []
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: key >= c)) if cuts else F.lit(0)
+    rows = docs.withColumn("bucket", bucket)
+    firsts = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.min(key)).collect()}
+    order = sorted(firsts)
+    copies = {firsts[b]: order[i - 1] for i, b in enumerate(order)}  # the first row of all closes the last range
+    if not copies:
+        return rows.withColumn("tail", F.lit(False))
+    to = F.create_map(*[F.lit(x) for pair in copies.items() for x in pair])
+    both = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("t")), F.when(F.map_contains_key(to, key), F.struct(F.try_element_at(to, key).alias("b"), F.lit(True).alias("t")))))
+    names = [c for c in rows.columns if c != "bucket"]
+    return rows.withColumn("_e", F.explode(both)).select(*names, F.col("_e.b").alias("bucket"), F.col("_e.t").alias("tail"))
+
+
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lexicon = imatch.fit_lexicon(docs, "text")
+    in_order = W.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_first())
+    rows = id_buckets(docs, "doc_id").withColumn("next", F.coalesce(F.lead("text").over(in_order), F.lit("")))
+    n = F.char_length("text")
+    cut = F.floor(n / 4).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut))
+    rows = rows.select("doc_id", "bucket", "tail", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    marked = imatch.fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"}, lexicon, drop=("text", "edited"))
+    marked = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(in_order)).where("not tail")
+    near = imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")), imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
+
+
+def op4_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    counts = lengths.token_counts(_table(spark, sf_dir, "documents").select("text"), "text", tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return lengths.histogram(counts, "n_tokens")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
+    labels = _table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", ~F.col("held_out"))
+    scored = toxicity.score(docs, "text", model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(_table(spark, sf_dir, "documents"), "doc_id", "text", k=4, percent=85)
 
@@ -55,6 +110,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, "doc_id", "text", "source", F.col("q"))
 
 
+def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
     profiles = langid.fit_profiles(docs, "text", "lang", ~F.col("held_out"), order_col="doc_id")
@@ -67,8 +126,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_imatch": op3_imatch,
+    "op4_token_histogram": op4_token_histogram,
+    "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_mixing": op7_mixing,
+    "op8_tiff": op8_tiff,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
 }
