@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, jaccard_join, langid, lengths, mixing, tiff, toxicity, url_filter
+from . import bpe, imatch, jaccard_join, langid, lengths, mixing, pii, tiff, toxicity, url_filter
 from .textkernels import held_out
 
 
@@ -38,6 +38,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "url", URL_RULES).drop("url")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.by_document(pii.extract(docs, "doc_id", "text"))
+    rows = docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    counts = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_added", F.lit(0)).cast("long").alias("n_added"))
+
+
 def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = 2000, most: int = 512) -> DataFrame:
     """Deal rows into ranges of ids that hold about ``per_bucket`` rows (``most`` ranges at most), each closed by a copy (``tail`` true) of the first row of the next range; the last range is closed by the first row of all.
 
@@ -126,6 +134,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_pii": op2_pii,
     "op3_imatch": op3_imatch,
     "op4_token_histogram": op4_token_histogram,
     "op5_toxicity": op5_toxicity,
