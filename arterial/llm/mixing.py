@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Key ranges per source; the one in which a budget ends holds about 1/RANGES of the source.
 RANGES = 4096
+#: Largest number of sources whose targets are broadcast, under 100 bytes each.
+MAX_BROADCAST_SOURCES = 100_000
 
 
 def words(text: Column) -> Column:
@@ -63,25 +65,27 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: floa
     return s.select("source", "source_size", F.least("cap", offer).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, quality: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``id_col, size, source_size, target, taken`` of every row of ``docs``; ``quality`` is a column over ``docs``."""
+def mix(docs: DataFrame, id_col: str, size: Column, source_col: str, quality: Column, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``id_col, size, source_size, target, taken`` of every row of ``docs``; ``size`` and ``quality`` are columns over ``docs``."""
     q = F.when(quality > 0, quality).otherwise(F.lit(1.0)).cast("double")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), words(F.col(f"`{text_col}`")).alias("size"), (-F.ln(uniform(F.col(f"`{id_col}`"))) / q).alias("k"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), (-F.ln(uniform(F.col(f"`{id_col}`"))) / q).alias("k"))
     # any increasing map of the key onto [0, 1) will do: this one fills the ranges evenly where weights are 1
     rows = rows.withColumn("r", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("k"))) * RANGES), F.lit(RANGES - 1)).cast("int"))
     parts = rows.groupBy("source", "r").agg(F.sum("size").alias("part"))
     goal = targets(parts.groupBy("source").agg(F.sum("part").alias("source_size")), weights, share, most)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     ranges = parts.join(goal.withColumnRenamed("source", "gs"), F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
     before = F.coalesce(F.sum("part").over(W.partitionBy("source").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("before", before)
     # whole: the range fits; open: the budget ends in it
     ranges = ranges.withColumn("state", F.when(F.col("before") + F.col("part") <= F.col("rest"), F.lit(2)).when(F.col("before") < F.col("rest"), F.lit(1)).otherwise(0))
     edge = ranges.groupBy("source", "source_size", "target", "epochs", "rest").agg(F.min(F.when(F.col("state") < 2, F.col("r"))).alias("edge"), F.min(F.when(F.col("state") < 2, F.struct("r", "before")))["before"].alias("edge_before"))
-    # one row per source: broadcast by Spark where it is small, else joined with hot sources split
-    joined = rows.join(edge.withColumnRenamed("source", "gs"), F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
+    # one row per source: broadcast where there are few, else joined with hot sources split by Spark
+    edge = edge.withColumnRenamed("source", "gs")
+    if docs.select(F.approx_count_distinct(f"`{source_col}`")).first()[0] <= MAX_BROADCAST_SOURCES:
+        edge = F.broadcast(edge)
+    joined = rows.join(edge, F.col("source").eqNullSafe(F.col("gs"))).drop("gs")
     inside = (F.col("r") == F.col("edge")) & (F.col("edge_before") < F.col("rest"))
     upto = F.sum("size").over(W.partitionBy("source").orderBy("k", "id", "size").rowsBetween(W.unboundedPreceding, 0)) + F.col("edge_before")
     # nearest: the document in which the budget ends is in if at least half of it fits

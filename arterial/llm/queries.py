@@ -114,8 +114,8 @@ QUALITY_SQL = "SELECT doc_id, CASE max(quality) WHEN 1 THEN 2.0 WHEN 0 THEN 0.5
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = quality_weights(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), _table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, "doc_id", "text", "source", F.col("q"))
+    docs = quality_weights(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")), _table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, "doc_id", F.col("size"), "source", F.col("q"))
 
 
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
