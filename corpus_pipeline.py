@@ -1,10 +1,65 @@
-"""From raw documents to token ids, one stage at a time."""
+"""From raw documents to token ids, one stage at a time.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
+all but the last return the columns of ``documents``.
+
+1. language: rejects documents in which no language can be told: no letters at all,
+   or letters whose n-gram order is far from every known language.
+2. near_duplicates: of each group of documents linked by a Jaccard similarity of 0.8
+   of five-word shingles, the one with the smallest id stays.
+3. pii: personal data is replaced by its kind.
+4. mixing: documents are repeated or left out so that sources meet their targets.
+5. bpe: token ids of each text, and whether they decode to it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from arterial.llm import bpe, jaccard_join, langid, mixing, pii, queries
+
+#: Least score of a document whose language counts as told.
+MIN_LANGUAGE_SCORE = 0.2
+#: Largest number of dropped ids that is broadcast to the texts.
+MAX_BROADCAST_IDS = 2_000_000
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    profiles = langid.fit_profiles(docs, "text", "lang", F.lit(True), order_col="doc_id")
+    told = langid.predict_language(docs, "text", profiles)
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).drop("lang_pred", "score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.similarity_components(docs, "doc_id", "text", k=5, percent=80)
+    copies = groups.where("component_id < doc_id").select("doc_id")
+    side = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS else copies
+    return docs.join(side, "doc_id", "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, "doc_id", "text").withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    rated = queries.quality_weights(sized, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    taken = mixing.mix(rated, "doc_id", F.col("size"), "source", F.col("q")).where("taken > 0")
+    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = queries.tokenizer_path(queries.BPE_VOCABULARY)
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path)
+    decoded = bpe.decode(encoded, "ids", path)
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("exact"))
+
 
-STAGES = []
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii", personal_data), ("mixing", mix_sources), ("bpe", token_ids)]
+#: SQL can express neither the language profiles nor the bootstrap nor the merges; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
