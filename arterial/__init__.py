@@ -1,0 +1 @@
+"""Network flow analytics on Spark: demand, paths, assignment, queues and reports as DataFrames."""
