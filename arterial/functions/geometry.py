@@ -111,12 +111,11 @@ def hulls(nodes: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """AGG-21: ``key, n_vertices, geometry`` of the convex hull of each group with four points or more."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 4:
-            return pd.DataFrame({key: [], "n_vertices": [], "geometry": []})
         corners = hull(pdf[[x, y]].to_numpy())
         ring = ", ".join(f"{a:.6f} {b:.6f}" for a, b in [*corners, corners[0]])
         return pd.DataFrame({key: [pdf[key].iloc[0]], "n_vertices": [len(corners)], "geometry": [f"POLYGON (({ring}))"]})
 
     kind = nodes.schema[key].dataType.simpleString()
     points = nodes.select(key, x, y).distinct()
+    points = points.join(points.groupBy(key).count().where("count >= 4").select(key), key, "left_semi")
     return points.groupBy(key).applyInPandas(run, f"{key} {kind}, n_vertices long, geometry string")

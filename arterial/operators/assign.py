@@ -74,7 +74,7 @@ def link_based(links: DataFrame, od: DataFrame, iterations: int, minutes: Callab
 
 def path_costs(paths: DataFrame, links: DataFrame, cost: str = "minutes") -> DataFrame:
     """Add ``path_cost``, the sum over the path's links, and ``path_id``, its identity."""
-    rows = paths.withColumn("path_id", P.path_key("links"))
+    rows = paths.drop("path_cost").withColumn("path_id", P.path_key("links"))
     keys = ["o_zone_id", "d_zone_id", "agent_type", "path_id"]
     sums = rows.select(*keys, F.explode("links").alias("link_id")).join(links.select("link_id", F.col(cost).alias("_c")), "link_id").groupBy(*keys).agg(F.sum("_c").alias("path_cost"))
     return rows.join(sums, keys)

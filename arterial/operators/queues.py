@@ -121,7 +121,7 @@ def simulate(vehicles: DataFrame, links: DataFrame, group: str, step: float = 6.
             net.advance(t, events)
             t += 1
         rows = [(pdf[group].iloc[0], a, link, i, o, max(0.0, o - i - fftt[link])) for a, link, i, o in events if o is not None]
-        return pd.DataFrame(rows, columns=[group, "agent_id", "link_id", "t_in", "t_out", "wait"])
+        return pd.DataFrame(rows, columns=[group, "agent_id", "link_id", "t_in", "t_out", "wait"]).astype({"agent_id": "int64", "link_id": "int32", "t_in": float, "t_out": float, "wait": float})
 
     kind = vehicles.schema[group].dataType.simpleString()
     return vehicles.groupBy(group).applyInPandas(run, f"{group} {kind}, agent_id long, link_id int, t_in double, t_out double, wait double")
