@@ -150,3 +150,38 @@ def routes_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost") ->
 
     kind = origins.schema["origin"].dataType.simpleString()
     return tree.groupBy("origin").applyInPandas(walk, f"o_zone_id {kind}, d_zone_id {kind}, cost double, links array<int>")
+
+
+def backward_labels(links: DataFrame, destinations: DataFrame, cost: str = "cost", wait: str | None = None) -> DataFrame:
+    """GR-04, 05: ``destination, node, cost, next_link, next_node`` of every node that reaches a destination; ``wait`` names a column of real-time waits to add."""
+    w = F.col(cost) + F.coalesce(F.col(wait), F.lit(0.0)) if wait else F.col(cost)
+    turned = links.select("link_id", F.col("to_node_id").alias("from_node_id"), F.col("from_node_id").alias("to_node_id"), w.alias("cost"))
+    tree = labels_grouped(turned, destinations.select(F.col("destination").alias("origin")))
+    return tree.select(F.col("origin").alias("destination"), "node", "cost", F.col("pred_link").alias("next_link"), F.col("pred_node").alias("next_node"))
+
+
+def turn_links(links: DataFrame, prohibited: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
+    """GR-03: a graph of links in which prohibited turns (``ib_link_id, ob_link_id``) are missing.
+
+    Its nodes are links; an origin is entered by the negative of its number.  Labels of
+    this graph cost the path up to and with the link that stands for the node.
+    """
+    a = links.select(F.col("link_id").alias("ib_link_id"), F.col("to_node_id").alias("via"))
+    b = links.select(F.col("link_id").alias("ob_link_id"), F.col("from_node_id").alias("via"), F.col(cost).alias("cost"))
+    turns = a.join(b, "via").join(prohibited, ["ib_link_id", "ob_link_id"], "left_anti").select(F.col("ob_link_id").alias("link_id"), F.col("ib_link_id").alias("from_node_id"), F.col("ob_link_id").alias("to_node_id"), "cost")
+    starts = b.join(origins.select(F.col("origin").alias("via")), "via").select(F.col("ob_link_id").alias("link_id"), (-F.col("via")).alias("from_node_id"), F.col("ob_link_id").alias("to_node_id"), "cost")
+    return turns.unionByName(starts)
+
+
+def labels_with_turns(links: DataFrame, prohibited: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
+    """GR-03: ``origin, node, cost`` of the cheapest way that makes no prohibited turn."""
+    tree = labels_grouped(turn_links(links, prohibited, origins, cost), origins.select((-F.col("origin")).alias("origin")))
+    ends = tree.where("node > 0").join(links.select(F.col("link_id").alias("node"), F.col("to_node_id").alias("end")), "node")
+    best = ends.groupBy((-F.col("origin")).alias("origin"), F.col("end").alias("node")).agg(F.min("cost").alias("cost"))
+    return best.where("origin <> node")
+
+
+def stitched(legs: DataFrame, key: str, order: str) -> DataFrame:
+    """GR-12: one list of links for each activity chain from the lists of its legs."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("links").alias("l"))))
+    return legs.groupBy(key).agg(F.flatten(F.transform(parts, lambda x: x["l"])).alias("links"))

@@ -74,3 +74,11 @@ def detours(paths: DataFrame, info_links: DataFrame, second: DataFrame, gain_min
 def informed(paths: DataFrame, agent_types: DataFrame) -> DataFrame:
     """SC-05, 07: paths of agent types with real-time information (``real_time_info`` 1 or 2)."""
     return paths.join(F.broadcast(agent_types.where("real_time_info > 0").select("agent_type")), "agent_type", "left_semi")
+
+
+def incident_capacity(links: DataFrame, incidents: DataFrame, minutes: int) -> DataFrame:
+    """SC-08: ``link_id, minute, capacity``: vehicles a minute, cut to the incident's share inside its window; ``incidents`` has ``link_id, start_min, end_min, share``."""
+    rows = links.select("link_id", (F.col("lane_capacity") * F.col("lanes") / 60.0).alias("full"), F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))).alias("minute"))
+    cut = F.broadcast(incidents.groupBy("link_id", "start_min", "end_min").agg(F.min("share").alias("share")))
+    hit = rows.join(cut, "link_id", "left").withColumn("_s", F.when((F.col("minute") >= F.col("start_min")) & (F.col("minute") < F.col("end_min")), F.col("share")).otherwise(1.0))
+    return hit.groupBy("link_id", "minute").agg((F.first("full") * F.min("_s")).alias("capacity"))

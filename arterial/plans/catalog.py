@@ -603,3 +603,42 @@ def link_performance(spark, sf):
     """The flagship: from order lines to link performance (SNK-01)."""
     rows = performance(spark, sf)
     return rows.select("link_id", "from_node_id", "to_node_id", F.round("volume", 4).alias("volume"), r6("minutes").alias("minutes"), r6("speed").alias("speed"), r6("p").alias("p"), F.round("vmt", 4).alias("vmt"), F.round("vht", 4).alias("vht"), F.round("delay_free", 4).alias("delay"))
+
+
+# ---- extras
+
+
+@query("SELECT node AS destination, o AS node, round(cost, 6) AS cost FROM lab", "lab")
+def gr_backward_tree(spark, sf):
+    """GR-04, 05: the backward tree costs what the forward one does."""
+    tree = paths.backward_labels(star.costed_links(spark, sf), star.nodes(spark, sf).select(C("node_id").alias("destination")))
+    return tree.select("destination", "node", r6("cost").alias("cost"))
+
+
+@query("SELECT o AS origin, to_node_id AS node, round(min(w.cost), 6) AS cost FROM walk w JOIN clink USING (link_id) WHERE o <> to_node_id GROUP BY ALL", "net_node", "clink",
+more="""walk(o, link_id, cost) USING KEY (o, link_id) AS (SELECT from_node_id, link_id, cost FROM clink UNION SELECT l.o, b.link_id, min(l.cost + b.cost) FROM walk l JOIN clink a ON a.link_id = l.link_id JOIN clink b ON b.from_node_id = a.to_node_id AND (a.link_id + b.link_id) % 9 <> 0
+LEFT JOIN recurring.walk r ON r.o = l.o AND r.link_id = b.link_id WHERE r.cost IS NULL OR l.cost + b.cost < r.cost GROUP BY l.o, b.link_id)""")
+def gr_turns(spark, sf):
+    """GR-03, SRC-29: turns whose links' numbers sum to a multiple of nine are prohibited."""
+    net = star.costed_links(spark, sf)
+    ids = net.select(C("link_id").alias("ib_link_id")).crossJoin(net.select(C("link_id").alias("ob_link_id"))).where("(ib_link_id + ob_link_id) % 9 = 0")
+    return paths.labels_with_turns(net, ids, star.nodes(spark, sf).select(C("node_id").alias("origin"))).withColumn("cost", r6("cost"))
+
+
+@query("SELECT link_id, minute::INTEGER AS minute, round(lane_capacity * lanes / 60.0::DOUBLE * CASE WHEN link_id % 10 = 0 AND minute >= 5 AND minute < 20 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END, 6) AS capacity FROM clink, range(30) r(minute)", "clink")
+def sc_incident(spark, sf):
+    """SC-08, SIM-02."""
+    net = star.links(spark, sf)
+    cuts = net.where("link_id % 10 = 0").select("link_id", F.lit(5).alias("start_min"), F.lit(20).alias("end_min"), F.lit(0.4).alias("share"))
+    return scenario.incident_capacity(net, cuts, 30).withColumn("capacity", r6("capacity"))
+
+
+@query("SELECT o AS agent, array_to_string(list_concat(a.links, b.links), ';') AS links FROM lab a JOIN (SELECT o AS m, node AS e, links FROM lab) b ON m = a.node AND e = 25 WHERE a.node = 13 AND o NOT IN (13, 25)", "lab")
+def gr_chains(spark, sf):
+    """GR-12, SRC-18: every node visits node 13, then node 25."""
+    net = star.costed_links(spark, sf)
+    best = paths.routes_grouped(net, star.nodes(spark, sf).select(C("node_id").alias("origin")))
+    first = best.where("d_zone_id = 13 and o_zone_id not in (13, 25)").select(C("o_zone_id").alias("agent"), F.lit(0).alias("leg"), "links")
+    then = best.where("o_zone_id = 13 and d_zone_id = 25").select("links").withColumn("leg", F.lit(1))
+    legs = first.unionByName(first.select("agent").crossJoin(F.broadcast(then)).select("agent", "leg", "links"))
+    return paths.stitched(legs, "agent", "leg").select("agent", F.array_join("links", ";").alias("links"))
