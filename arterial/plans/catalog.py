@@ -454,7 +454,7 @@ def vdf_profile(spark, sf):
     return vdf.profile(rows, "link_id", 6.0, 10.0).select("link_id", "slot", F.round("speed", 4).alias("speed"))
 
 
-@query("SELECT link_id, slot // 3 AS bucket, round(avg(speed), 4) AS speed, round(least(1.0, avg(speed) / any_value(cutoff)), 4) AS ratio FROM speeds GROUP BY ALL", "vdf", more=_PROF)
+@query("SELECT link_id, bucket, round(m, 4) AS speed, round(least(1.0, m / cutoff), 4) AS ratio FROM (SELECT link_id, slot // 3 AS bucket, any_value(cutoff) AS cutoff, coalesce(sum(speed) FILTER (WHERE speed >= 1), 0.0) / greatest(1, count(*) FILTER (WHERE speed >= 1)) AS m FROM speeds GROUP BY ALL)", "vdf", more=_PROF)
 def agg_speed_15min(spark, sf):
     """AGG-17, FN-24."""
     rows = vdf.profile(vdf.queue_shape(timed(loads(spark, sf))).where("p > 0.01"), "link_id", 6.0, 10.0)
@@ -499,7 +499,7 @@ def gr_backtrace(spark, sf):
 
 
 @query("""SELECT 0 AS iteration, 0.0::DOUBLE AS avg_minutes, -1.0::DOUBLE AS gap UNION ALL SELECT 1, 0.0, -1.0 UNION ALL
-SELECT 2, round(t / v, 4), round((t - t0) / t0, 6) FROM (SELECT sum(minutes * volume) AS t FROM vdf), (SELECT sum(volume) AS v FROM od), (SELECT sum(d.volume * m) AS t0 FROM od d JOIN (SELECT o, node, cost AS m FROM best) b ON b.o = d.o_zone_id AND b.node = d.d_zone_id)""", "vdf",
+SELECT 2, round(t / v, 4), round((t - t0) / t0, 6) + 0.0 FROM (SELECT sum(minutes * volume) AS t FROM vdf), (SELECT sum(volume) AS v FROM od), (SELECT sum(d.volume * m) AS t0 FROM od d JOIN (SELECT o, node, cost AS m FROM best) b ON b.o = d.o_zone_id AND b.node = d.d_zone_id)""", "vdf",
 more="""elink AS (SELECT link_id, from_node_id, to_node_id, minutes + link_id * 1e-9::DOUBLE AS cost FROM vdf),
 best(o, node, cost) USING KEY (o, node) AS (SELECT node_id, node_id, 0.0::DOUBLE FROM net_node UNION SELECT l.o, e.to_node_id, min(l.cost + e.cost) FROM best l JOIN elink e ON e.from_node_id = l.node LEFT JOIN recurring.best r ON r.o = l.o AND r.node = e.to_node_id WHERE r.cost IS NULL OR l.cost + e.cost < r.cost GROUP BY l.o, e.to_node_id)""")
 def gr_msa_3(spark, sf):
@@ -507,7 +507,7 @@ def gr_msa_3(spark, sf):
     od = star.od_demand(spark, sf)
     _, trace = assign.column_generation(star.costed_links(spark, sf), od, 3, timed)
     total = od.agg(F.sum("volume").alias("v"))
-    return trace.crossJoin(total).select("iteration", F.round(C("total_minutes") / C("v"), 4).alias("avg_minutes"), r6("gap").alias("gap"))
+    return trace.crossJoin(total).select("iteration", F.round(C("total_minutes") / C("v"), 4).alias("avg_minutes"), (r6("gap") + 0.0).alias("gap"))
 
 
 _TWO = """two AS (SELECT o_zone_id, d_zone_id, agent_type, 0.75::DOUBLE * volume AS volume, path_cost, 1 AS path_id FROM path UNION ALL SELECT o_zone_id, d_zone_id, agent_type, 0.25::DOUBLE * volume, path_cost * (1 + (o_zone_id % 5) * 0.1::DOUBLE) + 0.5::DOUBLE, 2 FROM path)"""
