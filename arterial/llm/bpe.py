@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 #: Fixed value: how byte-level BPE vocabularies of this family split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pretokens remembered by a worker; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Pretokens of up to this many bytes are merged many at a time.
 SHORT = 33
 _NONE = 1 << 62
@@ -230,9 +230,20 @@ def _read(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, text_col: str, vocabulary_path: str, ids_col: str = "ids") -> DataFrame:
-    """Add the token ids of each text as array<int>.  The vocabulary, a few MB whatever the input, is read on the driver and broadcast."""
-    return _mapped(docs, text_col, vocabulary_path, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], lambda codec, texts: [pa.array([x.astype(np.int32) for x in codec.encode_batch([x or "" for x in texts])], pa.list_(pa.int32()))])
+def encode(docs: DataFrame, text_col: str, vocabulary_path: str, ids_col: str = "ids", exact_col: str | None = None) -> DataFrame:
+    """Add the token ids of each text as array<int>; with ``exact_col`` also whether they decode to the text, told in the same pass.
+
+    The vocabulary, a few MB whatever the input, is read on the driver and broadcast.
+    """
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(exact_col, T.BooleanType())] if exact_col else [])]
+
+    def run(codec: Codec, texts: list[str | None]) -> list[pa.Array]:
+        ids = codec.encode_batch([x or "" for x in texts])
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+        return [lists, *([pa.array([codec.decode(x) == (t or "") for x, t in zip(ids, texts)])] if exact_col else [])]
+
+    return _mapped(docs, text_col, vocabulary_path, fields, run)
 
 
 def decode(tokens: DataFrame, ids_col: str, vocabulary_path: str, text_col: str = "decoded") -> DataFrame:
@@ -264,8 +275,8 @@ def _mapped(docs: DataFrame, col: str, vocabulary_path: str, fields: list[T.Stru
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *run(codec, part.column(place).to_pylist())], names=[*(f"c{i}" for i in kept), *(f"n{i}" for i in range(len(fields)))])
 
     schema = T.StructType([*(T.StructField(f"c{i}", rows.schema[i].dataType) for i in kept), *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields))])

@@ -26,10 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkernels import settle
+
 DENSITIES = 10
 EACH = 5
 SUBSETS = DENSITIES * EACH
@@ -44,26 +46,53 @@ def terms(text: str | None) -> set[str]:
     return set(text.lower().split()) if text else set()
 
 
-def fit_lexicon(docs: DataFrame, text_col: str, low: float = 0.002, high: float = 0.2, least: int = 2) -> DataFrame:
-    """``term`` of every term in the band: ``max(low * n, least) <= df <= high * n`` over all n documents."""
+#: Documents and terms after which a task empties its counter.
+_CHUNK_DOCS, _CHUNK_TERMS = 5000, 300_000
+
+
+def _count(texts: DataFrame, keep=None, low: float | None = None) -> DataFrame:
+    """``term, df`` per chunk of documents.  ``keep``: a broadcast list of the only terms to count.  ``low``: leave out terms in a smaller share of their chunk."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        n = 0
+        wanted = set(keep.value) if keep is not None else None
         for batch in batches:
             for x in batch.column(0):
-                seen.update(terms(x.as_py()))
-                if len(seen) > 200_000:
-                    yield out(seen)
+                own = terms(x.as_py())
+                seen.update(own & wanted if wanted is not None else own)
+                n += 1
+                if wanted is None and (n >= _CHUNK_DOCS or len(seen) > _CHUNK_TERMS):
+                    yield out(seen, n)
                     seen.clear()
-        if seen:
-            yield out(seen)
+                    n = 0
+        if n:
+            yield out(seen, n)
+
+    def out(seen: Counter[str], n: int) -> pa.RecordBatch:
+        kept = [(t, c) for t, c in seen.items() if low is None or c >= low * n]
+        return pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in kept], pa.string()), "df": pa.array([c for _, c in kept], pa.int64())})
+
+    return texts.mapInArrow(run, "term string, df long")
+
 
-    def out(seen: Counter[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"term": pa.array(seen.keys(), pa.string()), "df": pa.array(seen.values(), pa.int64())})
+def fit_lexicon(docs: DataFrame, text_col: str, low: float = 0.002, high: float = 0.2, least: int = 2) -> DataFrame:
+    """``term`` of every term in the band: ``max(low * n, least) <= df <= high * n`` over all n documents.
 
+    A term in at least that share of all documents is in at least that share of some
+    chunk of them.  So a first pass names the terms that are frequent in some chunk, and
+    a second counts just these in all documents, exactly; rare terms, nearly all of a
+    vocabulary, are never shuffled.  If too many are named to broadcast, all are counted.
+    """
     n = docs.count()
-    counts = docs.select(F.col(f"`{text_col}`")).mapInArrow(count, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return counts.where((F.col("df") >= max(low * n, least)) & (F.col("df") <= high * n)).select("term")
+    texts = docs.select(F.col(f"`{text_col}`"))
+    named = settle(_count(texts, low=low).select("term").distinct())
+    if named.count() <= MAX_BROADCAST_TERMS:
+        counts = _count(texts, docs.sparkSession.sparkContext.broadcast([r[0] for r in named.collect()]))
+    else:
+        counts = _count(texts)
+    counts = counts.groupBy("term").agg(F.sum("df").alias("df"))
+    return settle(counts.where((F.col("df") >= max(low * n, least)) & (F.col("df") <= high * n)).select("term"))
 
 
 def _term_hash(term: str) -> int:
@@ -166,11 +195,24 @@ def _list_udf(listed):
     return fingerprint_of([], hashes, _members(hashes))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: equal fingerprints give 1; else the largest share, over densities with at least three subsets that hold terms of either, of subsets that agree."""
-    empty = F.lit("-" * DIGITS)
-    parts = lambda c: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(c, i * DIGITS + 1, F.lit(DIGITS)))
-    states = F.zip_with(parts(a), parts(b), lambda x, y: F.when((x == empty) & (y == empty), 0).when(x == y, 2).otherwise(1))
-    groups = F.transform(F.sequence(F.lit(0), F.lit(DENSITIES - 1)), lambda d: F.filter(F.slice(states, d * EACH + 1, F.lit(EACH)), lambda v: v > 0))
-    shares = F.transform(groups, lambda g: F.when(F.size(g) >= 3, F.size(F.filter(g, lambda v: v == 2)) / F.size(g)).otherwise(0.0))
-    return F.when(a == b, 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(F.array_max(shares))
+def likeness(a: list[str | None], b: list[str | None]) -> np.ndarray:
+    """0 to 1 for each pair: equal fingerprints give 1; else the largest share, over densities with at least three subsets that hold terms of either, of subsets that agree."""
+    blank = "-" * (SUBSETS * DIGITS)
+    x, y = (np.frombuffer("".join([v or blank for v in c]).encode(), dtype=f"S{DIGITS}").reshape(-1, DENSITIES, EACH) for c in (a, b))
+    empty = ("-" * DIGITS).encode()
+    used = ((x != empty) | (y != empty)).sum(axis=2)
+    same = ((x != empty) & (x == y)).sum(axis=2)
+    best = np.where(used >= 3, same / np.maximum(used, 1), 0.0).max(axis=1, initial=0.0)
+    return np.where([u is not None and u == v for u, v in zip(a, b)], 1.0, best)
+
+
+def with_likeness(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add for each ``{output: (fingerprint column, fingerprint column)}`` their likeness; a null fingerprint is like nothing."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pa.array(likeness(batch.column(names.index(a)).to_pylist(), batch.column(names.index(b)).to_pylist())) for a, b in pairs.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *pairs])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in pairs)]))

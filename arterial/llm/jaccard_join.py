@@ -8,10 +8,12 @@ holds the same non-empty part of both sets.  Documents that agree on a fragment
 are candidates.  For a candidate pair the partial overlap of each coarse fragment
 is counted separately, and the counts are summed per pair and tested exactly.
 
-Groups of candidates are never expanded into all pairs first: each member is
-tested against the group's smallest id, links are closed into components, and only
-members that still lie in different components are paired further, large groups in
-blocks inside tasks that return links and no pairs.
+Groups of candidates are not expanded into pairs.  Each member is first tested
+against the group's smallest id and links are closed into components.  Members of a
+group that still lie in different components are compared inside tasks, large groups
+in blocks, by histograms of their n-grams over the global order: the difference of
+two histograms is never more than that of the sets, so a pair that it rules out
+cannot be similar, and only the pairs that it leaves are returned and tested.
 
 Defined results: null, empty and white-space-only texts have no n-grams and link
 with nothing; texts of fewer words than n have one n-gram, the whole; rows with a
@@ -34,8 +36,12 @@ from .textkernels import mix, settle, shingle_sets
 
 #: Coarse fragments in which partial overlaps are counted.
 COARSE = 4
-#: Groups up to this size are paired by a join, larger ones in blocks of this size inside tasks.
-BLOCK = 128
+#: Largest table of candidate documents that is broadcast to the texts, some 50 bytes a row.
+MAX_BROADCAST_ROWS = 500_000
+#: Members of a block of a group that is compared inside a task.
+BLOCK = 256
+#: Least and most cells of a set's histogram; it has about a third as many cells as n-grams.
+CELLS = (32, 1024)
 
 
 def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,21 +77,41 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """Counts (255 at most) of ascending hashes over equal ranges of the global order; the number of ranges is a power of two."""
+    cells = min(CELLS[1], max(CELLS[0], 1 << max(0, (len(grams) // 3).bit_length() - 1)))
+    counts = np.bincount((grams >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def fold(counts: np.ndarray, cells: int) -> np.ndarray:
+    """A histogram over fewer ranges."""
+    return counts.astype(np.int16).reshape(cells, -1).sum(axis=1, dtype=np.int16)
+
+
+def may_link(n: np.ndarray, rows: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Which of rows 0..i-1 may be similar to row i, by sizes and histograms."""
+    small, large = np.minimum(n[:i], n[i]), np.maximum(n[:i], n[i])
+    apart = np.abs(rows[:i] - rows[i]).sum(axis=1, dtype=np.int64)
+    return (small * 100 >= large * percent) & (apart <= (100 - percent) * small // percent)
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, number of n-grams, and two independent 64-bit hashes of the set."""
+    """id, number of n-grams, two independent 64-bit hashes of the set, and its histogram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, dtype=np.int64)
-            a, b = n.astype(np.uint64), n.astype(np.uint64)
+            a, b, cells = n.astype(np.uint64), n.astype(np.uint64), [b""] * batch.num_rows
             for row, grams in shingle_sets(batch.column(1), k):
                 n[row] = len(grams)
+                cells[row] = histogram(grams)
                 if len(grams):
                     a[row] = grams.sum(dtype=np.uint64)
                     b[row] = mix(grams).sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["id", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cells, pa.binary())], names=["id", "n", "a", "b", "cells"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long")
+    return docs.mapInArrow(run, "id long, n long, a long, b long, cells binary")
 
 
 def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -110,117 +136,160 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _segments(docs: DataFrame, k: int) -> DataFrame:
-    """(id, hash of the set, coarse fragment, its n-grams) for every document given."""
+    """(id, centers, coarse fragment, its n-grams) of each row of (id, text, a, centers) whose set has the hash ``a``."""
+    edges_at = np.array([(j << 64) // COARSE for j in range(1, COARSE)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            who, total, frag, parts, held = [], [], [], [], 0
+            wanted = batch.column(2).to_pylist()
+            who, parts, held = [], [], 0
             for row, grams in shingle_sets(batch.column(1), k):
-                a = int(grams.sum(dtype=np.uint64).view(np.int64)) if len(grams) else 0
-                edges = np.searchsorted(grams, np.array([(j << 64) // COARSE for j in range(1, COARSE)], dtype=np.uint64))
-                for j, part in enumerate(np.split(grams, edges)):
-                    who.append(row), total.append(a), frag.append(j), parts.append(part.view(np.int64))
+                if not len(grams) or int(grams.sum(dtype=np.uint64).view(np.int64)) != wanted[row]:
+                    continue
+                who.append(row)
+                parts += np.split(grams.view(np.int64), np.searchsorted(grams, edges_at))
                 held += len(grams)
                 if held > 1 << 18:
-                    yield pack(ids, who, total, frag, parts)
-                    who, total, frag, parts, held = [], [], [], [], 0
+                    yield pack(batch, who, parts)
+                    who, parts, held = [], [], 0
             if who:
-                yield pack(ids, who, total, frag, parts)
+                yield pack(batch, who, parts)
 
-    def pack(ids: np.ndarray, who: list[int], total: list[int], frag: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    def pack(batch: pa.RecordBatch, who: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = pa.array(np.repeat(who, COARSE))
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
         grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(total, pa.int64()), pa.array(frag, pa.int32()), grams], names=["id", "a", "frag", "grams"])
+        frag = pa.array(np.tile(np.arange(COARSE, dtype=np.int32), len(who)))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows), frag, grams], names=["id", "centers", "frag", "grams"])
+
+    return docs.mapInArrow(run, "id long, centers array<long>, frag int, grams array<long>")
 
-    return docs.mapInArrow(run, "id long, a long, frag int, grams array<long>")
 
+def _whole_sets(texts: DataFrame, roles: DataFrame, k: int) -> DataFrame:
+    """(id, centers, frag, grams) of the documents in ``roles`` (id, a, centers).
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """``common`` of each pair (x, y): partial overlaps of the fragments, summed."""
-    left = segments.select(F.col("id").alias("x"), "frag", F.col("grams").alias("gx"))
-    right = segments.select(F.col("id").alias("y"), "frag", F.col("grams").alias("gy"))
-    partial = pairs.join(left, "x").join(right, ["y", "frag"]).select("x", "y", F.size(F.array_intersect("gx", "gy")).cast("long").alias("part"))
-    return partial.groupBy("x", "y").agg(F.sum("part").alias("common"))
+    ``roles`` is broadcast where it has at most MAX_BROADCAST_ROWS rows, so that
+    texts stay where they are; beyond that both sides are shuffled by id.
+    """
+    if roles.count() <= MAX_BROADCAST_ROWS:
+        roles = F.broadcast(roles)
+    return _segments(texts.join(roles, "id").select("id", "text", "a", "centers"), k)
 
 
-def _linked(pairs: DataFrame, sizes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+def overlaps(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``common`` of each pair (x, y): partial overlaps of the fragments, summed.
+
+    A document's fragments are sent to the first ids of its pairs, so that each pair
+    moves one set, not two.
+    """
+    ends = pairs.select(F.col("y").alias("id"), "x").unionByName(pairs.select(F.col("x").alias("id"), "x"))
+    roles = settle(ends.groupBy("id").agg(F.collect_set("x").alias("centers")).join(members.select("id", "a"), "id"))
+    sets = _whole_sets(texts, roles, k)
+    sent = sets.select("id", "frag", "grams", F.explode("centers").alias("x"))
+    own = sent.where("id = x").select("x", "frag", F.col("grams").alias("gx"))
+    other = sent.where("id != x").select("x", F.col("id").alias("y"), "frag", F.col("grams").alias("gy"))
+    partial = other.join(own, ["x", "frag"]).select("x", "y", "frag", F.size(F.array_intersect("gx", "gy")).cast("long").alias("part"))
+    return partial.groupBy("x", "y", "frag").agg(F.max("part").alias("part")).groupBy("x", "y").agg(F.sum("part").alias("common"))
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y), with sizes, that sizes and histograms do not rule out."""
+    ends = [sets.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in ("x", "y")]
+    rows = pairs.join(ends[0], "x").join(ends[1].drop("cy"), "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).join(ends[1].drop("ny"), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for nx, ny, cx, cy in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                u, v = np.frombuffer(cx, dtype=np.uint8), np.frombuffer(cy, dtype=np.uint8)
+                cells = min(len(u), len(v))
+                apart = int(np.abs(fold(u, cells) - fold(v, cells)).sum())
+                keep.append(apart <= (100 - percent) * min(nx, ny) // percent)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(4)], names=["x", "y", "nx", "ny"])
+
+    return rows.select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(run, "x long, y long, nx long, ny long")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (x, y) that are similar enough, tested exactly."""
-    nx, ny = sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), sizes.select(F.col("id").alias("y"), F.col("n").alias("ny"))
-    near = pairs.join(nx, "x").join(ny, "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).select("x", "y", "nx", "ny")
-    near = settle(near)
-    common = overlaps(near.select("x", "y"), segments)
+    near = settle(_possible(pairs, sets, percent))
+    common = overlaps(near.select("x", "y"), members, texts, k)
     return near.join(common, ["x", "y"]).where(F.col("common") * 100 >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y")
 
 
+def _across(open_groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of members of one group that lie in different components and that sizes and histograms do not rule out.
+
+    Members of a group are dealt into blocks of about BLOCK; each pair of blocks is
+    compared in one task, which returns the pairs that are left.
+    """
+    blocks = open_groups.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    dealt = blocks.select("key", "id", "comp", "low", "block", other.alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "id", "comp", "low", "block")
+    rows = dealt.join(sets.select("id", "n", "cells"), "id").select("key", "i", "j", "id", "comp", "low", "block", "n", "cells")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
+        _, i, j, *_ = group[0]
+        counts = [np.frombuffer(r[8], dtype=np.uint8) for r in group]
+        cells = min(map(len, counts))
+        hist = np.stack([fold(c, cells) for c in counts])
+        n, comp, block = (np.array([r[c] for r in group]) for c in (7, 4, 6))
+        ids, low = [r[3] for r in group], group[0][5]
+        out = []
+        for a in range(1, len(group)):
+            ok = may_link(n, hist, a, percent) & (comp[:a] != comp[a])
+            if i != j:
+                ok &= block[:a] != block[a]
+            out += [(min(ids[a], ids[b]), max(ids[a], ids[b])) for b in np.flatnonzero(ok) if low not in (ids[a], ids[b])]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:3] != group[0][:3]:
+                    seen.update(pairs_of(group))
+                    group = []
+                group.append(row)
+            if len(seen) > 50_000:
+                yield pack(seen)
+                seen = set()
+        if group:
+            seen.update(pairs_of(group))
+        if seen:
+            yield pack(seen)
+
+    def pack(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"x": pa.array([p[0] for p in pairs], pa.int64()), "y": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return rows.mapInArrow(run, "x long, y long").distinct()
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every document."""
+    from pyspark.sql import Window as W
+
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    sets = settle(_sets(texts, k).groupBy("id").agg(F.min_by(F.struct("n", "a", "b"), F.struct("n", "a", "b")).alias("s")).select("id", "s.*"))
+    least = F.struct("n", "a", "b", "cells")
+    sets = settle(_sets(texts, k).groupBy("id").agg(F.min(least).alias("s")).select("id", "s.*"))
     # equal sets are one class, named by its smallest id; empty sets stay alone
     classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    members = settle(sets.join(classes, ["n", "a", "b"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "a"))
-    sizes = members.where("id = rep").select("id", "n")
+    members = settle(sets.drop("cells").join(classes, ["n", "a", "b"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "a"))
 
-    from pyspark.sql import Window as W
-
-    shared = _keys(texts, k, percent).withColumn("m", F.count("*").over(W.partitionBy("key"))).where("m > 1").select("key", "id")
+    by_key = W.partitionBy("key")
+    shared = _keys(texts, k, percent).withColumn("m", F.count("*").over(by_key)).where("m > 1").select("key", "id")
     groups = shared.join(members.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct()
-    groups = settle(groups.withColumn("low", F.min("id").over(W.partitionBy("key"))).withColumn("m", F.count("*").over(W.partitionBy("key"))).where("m > 1"))
+    groups = settle(groups.withColumn("low", F.min("id").over(by_key)).withColumn("m", F.count("*").over(by_key)).where("m > 1"))
 
     stars = groups.where("id > low").select(F.col("low").alias("x"), F.col("id").alias("y")).distinct()
-    wanted = groups.select("id").distinct()
-    segments = _segments(texts.join(wanted, "id", "left_semi"), k).join(members.select("id", "a"), ["id", "a"], "left_semi")
-    segments = settle(segments.dropDuplicates(["id", "frag"]).select("id", "frag", "grams"))
-    links = settle(_linked(stars, sizes, segments, percent))
+    links = settle(_linked(stars, sets, members, texts, k, percent))
     found = connected(links, "x", "y")
 
-    # groups that still hold several components: pair their members across components
     named = groups.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    by_key = W.partitionBy("key")
-    open_groups = settle(named.withColumn("c0", F.min("comp").over(by_key)).withColumn("c1", F.max("comp").over(by_key)).where("c0 < c1").select("key", "id", "low", "comp", "m"))
-    small, large = open_groups.where(F.col("m") <= BLOCK), open_groups.where(F.col("m") > BLOCK)
-    x, y = small.select("key", F.col("id").alias("x"), F.col("comp").alias("cx"), "low"), small.select("key", F.col("id").alias("y"), F.col("comp").alias("cy"))
-    cross = x.join(y, "key").where("x < y and cx != cy and x != low").select("x", "y").distinct().join(stars, ["x", "y"], "left_anti")
-    links = links.unionByName(settle(_linked(cross, sizes, segments, percent)))
-    if not large.isEmpty():
-        links = links.unionByName(settle(_links_in_blocks(large, sizes, segments, percent)))
+    open_groups = named.withColumn("c0", F.min("comp").over(by_key)).withColumn("c1", F.max("comp").over(by_key)).where("c0 < c1 and m > 2").select("key", "id", "low", "comp", "m")
+    links = links.unionByName(settle(_linked(_across(open_groups, sets, percent), sets, members, texts, k, percent)))
     final = connected(links, "x", "y")
     out = members.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-
-
-def _links_in_blocks(large: DataFrame, sizes: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links across components in large groups.  Members are dealt into blocks of about BLOCK; a task holds two blocks and returns at most one link for each pair of components."""
-    blocks = large.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    dealt = blocks.select("key", "id", "comp", "block", other.alias("o")).select("key", "id", "comp", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block")
-    whole = segments.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("grams"))).alias("grams"))
-    rows = dealt.join(whole, "id")
-
-    def run(table: pa.Table) -> pa.Table:
-        ids, comps, block = (table.column(c).to_numpy() for c in ("id", "comp", "block"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        grams = [np.asarray(x.values) for x in table.column("grams").combine_chunks()]
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while parent.get(c, c) != c:
-                c = parent[c]
-            return c
-
-        xs, ys = [], []
-        for a in range(len(ids)):
-            for b in range(a):
-                if (i != j and block[a] == block[b]) or root(comps[a]) == root(comps[b]):
-                    continue
-                na, nb = len(grams[a]), len(grams[b])
-                if min(na, nb) * 100 < max(na, nb) * percent:
-                    continue
-                common = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
-                if common * 100 >= percent * (na + nb - common):
-                    parent[root(comps[a])] = root(comps[b])
-                    xs.append(min(ids[a], ids[b])), ys.append(max(ids[a], ids[b]))
-        return pa.table({"x": pa.array(xs, pa.int64()), "y": pa.array(ys, pa.int64())})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(run, T.StructType([T.StructField("x", T.LongType()), T.StructField("y", T.LongType())])).distinct()

@@ -81,8 +81,8 @@ def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     marked = imatch.fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"}, lexicon, drop=("text", "edited"))
     marked = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(in_order)).where("not tail")
-    near = imatch.likeness(F.col("fingerprint"), F.col("edited_fingerprint")), imatch.likeness(F.col("fingerprint"), F.col("next_fingerprint"))
-    return marked.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near[0].alias("near_edited"), near[1].alias("near_next"))
+    near = imatch.with_likeness(marked.drop("bucket", "tail"), {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    return near.drop("next_fingerprint")
 
 
 def op4_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

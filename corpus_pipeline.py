@@ -53,9 +53,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = queries.tokenizer_path(queries.BPE_VOCABULARY)
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path)
-    decoded = bpe.decode(encoded, "ids", path)
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("exact"))
+    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path, "ids", "exact")
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii", personal_data), ("mixing", mix_sources), ("bpe", token_ids)]
