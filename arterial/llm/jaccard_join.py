@@ -40,8 +40,8 @@ COARSE = 4
 MAX_BROADCAST_ROWS = 500_000
 #: Members of a block of a group that is compared inside a task.
 BLOCK = 256
-#: Least and most cells of a set's histogram; it has about a third as many cells as n-grams.
-CELLS = (32, 1024)
+#: Least and most cells of a set's histogram; between them it has two to four times as many cells as n-grams, half a byte each.
+CELLS = (32, 8192)
 
 
 def size_classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,10 +78,16 @@ def fragment_keys(grams: np.ndarray, percent: int) -> np.ndarray:
 
 
 def histogram(grams: np.ndarray) -> bytes:
-    """Counts (255 at most) of ascending hashes over equal ranges of the global order; the number of ranges is a power of two."""
-    cells = min(CELLS[1], max(CELLS[0], 1 << max(0, (len(grams) // 3).bit_length() - 1)))
-    counts = np.bincount((grams >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Counts (15 at most, two to a byte) of ascending hashes over equal ranges of the global order; the number of ranges is a power of two."""
+    cells = min(CELLS[1], max(CELLS[0], 1 << (2 * len(grams)).bit_length()))
+    counts = np.minimum(np.bincount((grams >> np.uint64(65 - cells.bit_length())).astype(np.int64), minlength=cells), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    """The counts of a histogram."""
+    both = np.frombuffer(packed, dtype=np.uint8)
+    return np.stack([both & 15, both >> 4], axis=1).ravel()
 
 
 def fold(counts: np.ndarray, cells: int) -> np.ndarray:
@@ -89,11 +95,13 @@ def fold(counts: np.ndarray, cells: int) -> np.ndarray:
     return counts.astype(np.int16).reshape(cells, -1).sum(axis=1, dtype=np.int16)
 
 
-def may_link(n: np.ndarray, rows: np.ndarray, i: int, percent: int) -> np.ndarray:
-    """Which of rows 0..i-1 may be similar to row i, by sizes and histograms."""
-    small, large = np.minimum(n[:i], n[i]), np.maximum(n[:i], n[i])
-    apart = np.abs(rows[:i] - rows[i]).sum(axis=1, dtype=np.int64)
-    return (small * 100 >= large * percent) & (apart <= (100 - percent) * small // percent)
+def may_link(n: np.ndarray, rows: np.ndarray, i: int, among: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the rows ``among`` (indexes) may be similar to row i, by sizes and histograms."""
+    small, large = np.minimum(n[among], n[i]), np.maximum(n[among], n[i])
+    sized = small * 100 >= large * percent
+    among, small = among[sized], small[sized]
+    apart = np.abs(rows[among] - rows[i]).sum(axis=1, dtype=np.int64)
+    return among[apart <= (100 - percent) * small // percent]
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -201,7 +209,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = []
             for nx, ny, cx, cy in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
-                u, v = np.frombuffer(cx, dtype=np.uint8), np.frombuffer(cy, dtype=np.uint8)
+                u, v = counts_of(cx), counts_of(cy)
                 cells = min(len(u), len(v))
                 apart = int(np.abs(fold(u, cells) - fold(v, cells)).sum())
                 keep.append(apart <= (100 - percent) * min(nx, ny) // percent)
@@ -231,17 +239,17 @@ def _across(open_groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
         _, i, j, *_ = group[0]
-        counts = [np.frombuffer(r[8], dtype=np.uint8) for r in group]
+        counts = [counts_of(r[8]) for r in group]
         cells = min(map(len, counts))
         hist = np.stack([fold(c, cells) for c in counts])
         n, comp, block = (np.array([r[c] for r in group]) for c in (7, 4, 6))
         ids, low = [r[3] for r in group], group[0][5]
         out = []
         for a in range(1, len(group)):
-            ok = may_link(n, hist, a, percent) & (comp[:a] != comp[a])
+            ok = comp[:a] != comp[a]
             if i != j:
                 ok &= block[:a] != block[a]
-            out += [(min(ids[a], ids[b]), max(ids[a], ids[b])) for b in np.flatnonzero(ok) if low not in (ids[a], ids[b])]
+            out += [(min(ids[a], ids[b]), max(ids[a], ids[b])) for b in may_link(n, hist, a, np.flatnonzero(ok), percent) if low not in (ids[a], ids[b])]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
