@@ -584,9 +584,8 @@ def sim_single_link(spark, sf):
 
 @query()
 def sim_network(spark, sf):
-    """SIM-01, 02, 04..11, 13, AGG-15, 18: vehicles of one segment through the network, cumulative counts by link and minute; stateful, without SQL counterpart."""
-    p = free_paths(spark, sf).where("agent_type = 'building'")
-    v = demand.vehicles(p, morning_profile(spark, sf)).select(F.lit("base").alias("run"), F.xxhash64("o_zone_id", "d_zone_id", "v").alias("agent_id"), "depart_min", "links")
+    """SIM-01, 02, 04..11, 13, AGG-15, 18: vehicles of all segments through the network, cumulative counts by link and minute; stateful, without SQL counterpart."""
+    v = demand.vehicles(free_paths(spark, sf), morning_profile(spark, sf)).select(F.lit("base").alias("run"), F.xxhash64(*KEY, "v").alias("agent_id"), "depart_min", "links")
     net = star.costed_links(spark, sf).withColumn("room", units.spatial_capacity(C("length_m"), C("lanes")))
     visits = queues.simulate(v, net, "run")
     return reports.cumulative(visits.select("link_id", F.floor("t_in").alias("t_in"), F.floor("t_out").alias("t_out")))

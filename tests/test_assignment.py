@@ -123,6 +123,15 @@ def test_vehicles_leave_in_the_network_and_counts_fit(spark):
     assert reports.cumulative(visits).where("ca < cd").count() == 0
 
 
+def test_vehicles_of_all_segments_load_the_network(spark, sf):
+    from arterial.plans import catalog
+
+    trips = catalog.free_paths(spark, sf).withColumn("n", F.floor(F.col("volume") + 0.5))
+    want = trips.select(F.explode("links").alias("link_id"), "n").where("n > 0").groupBy("link_id").agg(F.sum("n").alias("n"))
+    got = catalog.sim_network(spark, sf).groupBy("link_id").agg(F.max("ca").alias("ca"), F.max("cd").alias("cd"))
+    assert {(r["link_id"], r["ca"], r["cd"]) for r in got.collect()} == {(r["link_id"], r["n"], r["n"]) for r in want.collect()}
+
+
 def test_single_link_closed_form(spark):
     rows = spark.createDataFrame([(1, i, r) for i, r in enumerate([0.0, 0.1, 0.2, 5.0, 5.1])], "link_id int, agent long, ready double").withColumn("h", F.lit(1.0))
     got = [r["depart"] for r in queues.single_link(rows, "link_id", "agent", "ready", "h").orderBy("agent").collect()]
