@@ -40,28 +40,30 @@ def with_connectors(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.unionByName(more, allowMissingColumns=True)
 
 
-def labels(links: DataFrame, origins: DataFrame, cost: str = "cost", most_rounds: int = 200) -> DataFrame:
+def labels(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
     """GR-02: ``origin, node, cost, pred_link, pred_node`` of every reachable node.
 
     ``links`` has ``link_id, from_node_id, to_node_id`` and the cost column (not
     negative).  Each round joins the labels that changed with the links; lineage is
-    cut every round, since the next one reads the labels three times.
+    cut every round, since the next one reads the labels three times.  Rounds go on
+    until no label changes; a best path enters a node once, so labels that still change
+    after as many rounds as there are nodes to enter mean negative costs, an error.
     """
     edges = settle(links.select("link_id", "from_node_id", "to_node_id", F.col(cost).alias("w")))
     best = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("int").alias("pred_link"), F.lit(None).cast("int").alias("pred_node"))
     best = settle(best.distinct())
     changed = best
-    for _ in range(most_rounds):
+    for _ in range(edges.select("to_node_id").distinct().count() + 1):
         step = changed.join(edges, changed["node"] == edges["from_node_id"])
         offers = step.groupBy("origin", F.col("to_node_id").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("link_id").alias("pred_link"), F.col("from_node_id").alias("pred_node"))).alias("offer"))
         old = best.select("origin", "node", F.col("cost").alias("old"))
         better = offers.join(old, ["origin", "node"], "left").where(F.col("old").isNull() | (F.col("offer.cost") < F.col("old")))
         changed = settle(better.select("origin", "node", "offer.cost", "offer.pred_link", "offer.pred_node"))
         if changed.isEmpty():
-            break
+            return best
         kept = best.join(changed.select("origin", "node"), ["origin", "node"], "left_anti")
         best = settle(kept.unionByName(changed))
-    return best
+    raise ValueError("labels do not settle: the costs have a negative cycle")
 
 
 def labels_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
@@ -95,22 +97,22 @@ def labels_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost") ->
     return origins.select("origin").distinct().mapInPandas(run, f"origin {kind}, node {kind}, cost double, pred_link int, pred_node int")
 
 
-def routes(tree: DataFrame, pairs: DataFrame, most_links: int = 10_000) -> DataFrame:
-    """GR-07: ``o_zone_id, d_zone_id, links, cost`` of every pair (o, d) that the tree connects, walked back from the destination."""
+def routes(tree: DataFrame, pairs: DataFrame) -> DataFrame:
+    """GR-07: ``o_zone_id, d_zone_id, links, cost`` of every pair (o, d) that the tree connects, walked back from the destination; a walk with more links than the tree has nodes is an error."""
     cost = tree.select(F.col("origin").alias("o_zone_id"), F.col("node").alias("d_zone_id"), F.col("cost"))
     walk = pairs.select("o_zone_id", "d_zone_id").distinct().join(cost, ["o_zone_id", "d_zone_id"])
     walk = settle(walk.withColumns({"at": F.col("d_zone_id"), "links": F.array().cast("array<int>")}))
     pred = settle(tree.where("pred_link is not null").select(F.col("origin").alias("o_zone_id"), F.col("node").alias("at"), "pred_link", "pred_node"))
     done = walk.where("at = o_zone_id")
     open_ = walk.where("at <> o_zone_id")
-    for _ in range(most_links):
+    for _ in range(tree.select("node").distinct().count() + 1):
+        if open_.isEmpty():
+            return done.select("o_zone_id", "d_zone_id", "links", "cost")
         step = open_.join(pred, ["o_zone_id", "at"]).select("o_zone_id", "d_zone_id", "cost", F.col("pred_node").alias("at"), F.concat(F.array("pred_link"), F.col("links")).alias("links"))
         step = settle(step)
         done = done.unionByName(step.where("at = o_zone_id").select(*done.columns))
         open_ = step.where("at <> o_zone_id")
-        if open_.isEmpty():
-            break
-    return done.select("o_zone_id", "d_zone_id", "links", "cost")
+    raise ValueError("a walk back does not reach its origin: the tree has a cycle")
 
 
 def path_key(links_col: str):

@@ -59,6 +59,29 @@ def test_both_tree_forms_agree_and_labels_obey_the_links(spark, sf):
             assert a[o, r["to_node_id"]] <= a[o, r["from_node_id"]] + r["cost"] + 1e-9
 
 
+def test_long_chains_have_all_labels_in_both_forms(spark):
+    n = 205
+    links = spark.range(n).select((F.col("id") + 1).cast("int").alias("link_id"), F.col("id").cast("int").alias("from_node_id"), (F.col("id") + 1).cast("int").alias("to_node_id"), F.lit(1.0).alias("cost"))
+    links = links.unionByName(spark.createDataFrame([(n + 1, 0, n, 1000.0)], links.schema)).coalesce(1)
+    origins = spark.createDataFrame([(0,)], "origin int").coalesce(1)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        a = {r["node"]: r["cost"] for r in paths.labels(links, origins).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert a == {r["node"]: r["cost"] for r in paths.labels_grouped(links, origins).collect()} == {i: float(i) for i in range(n + 1)}
+
+
+def test_what_cannot_end_is_an_error(spark):
+    links = spark.createDataFrame([(1, 1, 2, -1.0), (2, 2, 1, -1.0)], "link_id int, from_node_id int, to_node_id int, cost double")
+    with pytest.raises(ValueError):
+        paths.labels(links, spark.createDataFrame([(1,)], "origin int"))
+    tree = spark.createDataFrame([(1, 1, 0.0, None, None), (1, 2, 1.0, 5, 3), (1, 3, 1.0, 6, 2)], "origin int, node int, cost double, pred_link int, pred_node int")
+    with pytest.raises(ValueError):
+        paths.routes(tree, spark.createDataFrame([(1, 2)], "o_zone_id int, d_zone_id int"))
+
+
 def test_paths_of_equal_sums_stay_apart(spark):
     rows = [(1, 2, "p", [1, 4], 2.0), (1, 2, "p", [2, 3], 3.0), (1, 2, "p", [1, 4], 5.0)]
     df = spark.createDataFrame(rows, "o_zone_id int, d_zone_id int, agent_type string, links array<int>, volume double")
