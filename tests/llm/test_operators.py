@@ -93,6 +93,29 @@ def test_contexts_discover_unseen_forms(spark):
     assert "@" not in "".join(t or "" for t in red.values()) and red[45] is None and red[46] == "" and "<EMAIL>" in red[0] and "1234567" in red[40]
 
 
+def replaced(text, spans):
+    """``text`` with the spans (start, end, kind), those of one document, replaced."""
+    out, at = [], 0
+    for a, b, k in sorted(spans):
+        if a >= at:
+            out += [text[at:a], f"<{k.upper()}>"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_replaces_what_extract_finds(spark):
+    # the word before the phones also stands before many tokens that fit no kind, and so is no sign of a phone
+    texts = [f"call +1 202 555 01{i:02d} now" for i in range(20)] + [f"call {100 + i} now" for i in range(60)] + [f"call 555{1000 + i} now" for i in range(3)]
+    texts += [f"mail: x.{i}@mail.example.com ok" for i in range(20)] + [f"mail: y{i}@localhost ok" for i in range(3)]
+    docs = docs_of(spark, texts)
+    spans = {}
+    for r in pii.extract(docs, "doc_id", "text").collect():
+        spans.setdefault(r["id"], []).append((r["start"], r["end"], r["kind"]))
+    red = {r["doc_id"]: r["text"] for r in pii.redact(docs, "doc_id", "text").collect()}
+    assert red == {i: replaced(t, spans.get(i, [])) for i, t in enumerate(texts)}
+    assert red[80] == texts[80] and red[103] == "mail: <EMAIL> ok"
+
+
 def test_pii_query_counts_and_order(spark, tmp_path):
     texts = ["+1 (202) 555-0100 x@y.zz 1.2.3.4 a@b.cc", None]
     docs_of(spark, texts).drop("id").write.parquet(str(tmp_path / "documents.parquet"))
