@@ -15,6 +15,7 @@ columns are kept or ignored as each function says; empty tables give empty resul
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -38,7 +39,9 @@ _NO_DIGITS = re.compile("[^0-9]+")
 #: Identifier-like: a token with a digit or an at sign, or an at sign spelt out in brackets.
 _TOKEN = re.compile(r"\S+")
 _MARK = re.compile("[0-9@]")
-_SPELT = re.compile(r"[^\s\[(]{1,64}\s?[\[(]\s?at\s?[\])]\s?\S{1,64}", re.I)
+_AT = re.compile(r"[\[(]\s?at\s?[\])]", re.I)
+#: A local part has 64 characters at most, a domain 255.
+_SPELT = re.compile(r"[^\s\[(]{1,64}\s?" + _AT.pattern + r"\s?\S{1,255}", re.I)
 _EDGES = ".,;:!?()[]{}<>\"'"
 
 
@@ -94,17 +97,23 @@ def _word(text: str) -> str:
 def _candidates(text: str) -> list[tuple[int, int]]:
     """Ascending spans of identifier-like tokens, trimmed of punctuation at the edges."""
     spans = [m.span() for m in _TOKEN.finditer(text) if _MARK.search(m.group())]
-    if "at]" in text or "at)" in text or "AT]" in text or "AT)" in text:
+    if _AT.search(text):
         spans = sorted(spans + [m.span() for m in _SPELT.finditer(text)])
     out = []
     for a, b in spans:
         token = text[a:b]
         a, b = a + len(token) - len(token.lstrip(_EDGES)), b - len(token) + len(token.rstrip(_EDGES))
-        if a < b <= a + 80 and (not out or a >= out[-1][1]):
+        if a < b and (not out or a >= out[-1][1]):
             out.append((a, b))
     return out
 
 
+def _instance(text: str) -> str:
+    """What tells instances apart: the lower-cased token, a digest of it where it is long."""
+    low = text.lower()
+    return low if len(low) <= 80 else "# " + hashlib.sha256(low.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _patterns(text: str, a: int, b: int) -> list[str]:
     """Lexical patterns of a span: the word before, the two words before, and the word before with the word after."""
     left = text[max(0, a - 100) : a].split()
@@ -119,7 +128,7 @@ def fits(kind: str, text: str) -> bool:
     """Whether a token may be a form of that kind that the base pattern does not know."""
     digits = len(_NO_DIGITS.sub("", text))
     if kind == "email":
-        return "@" in text or re.search(r"[\[(]\s?at\s?[\])]", text, re.I) is not None
+        return "@" in text or _AT.search(text) is not None
     if kind == "ip":
         return text.count(".") >= 3 and digits >= 4 or text.count(":") >= 2 and re.fullmatch(r"[0-9A-Fa-f:.]+", text) is not None
     return digits >= 12 if kind == "card" else 7 <= digits <= 15
@@ -138,10 +147,10 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             out = []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = x.as_py()
-                if not text or not ("@" in text or _DIGIT.search(text) or "at]" in text or "at)" in text):
+                if not text or not (_MARK.search(text) or _AT.search(text)):
                     continue
                 spans = base_spans(text)
-                out += [(i, k, a, b, text[a:b].lower(), _patterns(text, a, b), []) for k, a, b in spans]
+                out += [(i, k, a, b, _instance(text[a:b]), _patterns(text, a, b), []) for k, a, b in spans]
                 taken = sorted((a, b) for _, a, b in spans)
                 at = 0
                 for a, b in _candidates(text):
@@ -150,7 +159,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if any(x < b and a < y for x, y in taken[max(0, at - 4) : at + 4]):
                         continue
                     may = [k for k in KINDS if fits(k, text[a:b])]
-                    out.append((i, None, a, b, text[a:b].lower(), _patterns(text, a, b), may))
+                    out.append((i, None, a, b, _instance(text[a:b]), _patterns(text, a, b), may))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                     out = []

@@ -116,6 +116,13 @@ def test_redaction_replaces_what_extract_finds(spark):
     assert red[80] == texts[80] and red[103] == "mail: <EMAIL> ok"
 
 
+def test_spelt_and_long_forms_are_candidates(spark):
+    long = "k" * 100 + "@localhost"
+    texts = ["ask anna [ at ] example.org", "ask anna ( at ) example.org", "ask anna[At]example.org", "ask anna [AT] example.org", "ask anna [at] " + "d" * 90 + ".org", f"ask {long}"]
+    got = {r["id"]: (texts[r["id"]][r["start"] : r["end"]], r["may"]) for r in pii.mentions(docs_of(spark, texts), "doc_id", "text").collect()}
+    assert got == {i: (t[4:], ["email"]) for i, t in enumerate(texts)}
+
+
 def test_pii_query_counts_and_order(spark, tmp_path):
     texts = ["+1 (202) 555-0100 x@y.zz 1.2.3.4 a@b.cc", None]
     docs_of(spark, texts).drop("id").write.parquet(str(tmp_path / "documents.parquet"))
