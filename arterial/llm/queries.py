@@ -39,11 +39,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the columns of the base patterns: ``n_added``, spans that the method adds, and ``n_spans``, all spans."""
     docs = _table(spark, sf_dir, "documents")
     found = pii.by_document(pii.extract(docs, "doc_id", "text"))
-    rows = docs.select("doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    counts = [F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return rows.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("n_added", F.lit(0)).cast("long").alias("n_added"))
+    rows = docs.select("doc_id", pii.row_of(F.col("text")).alias("_row"))
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row")), "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    counts = [count(f"n_{k}").alias(f"n_{k}") for k in pii.KINDS]
+    n_base = sum((count(f"n_{k}") for k in pii.KINDS[1:]), count(f"n_{pii.KINDS[0]}"))
+    return rows.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), count("n_added").alias("n_added"), (n_base + count("n_added")).alias("n_spans"))
 
 
 def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = 2000, most: int = 512) -> DataFrame:

@@ -7,11 +7,13 @@ slices of about ``SLICE_BYTES`` to bound memory; one document is never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -102,21 +104,56 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield row + i, none
 
 
+def runs(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of rows whose texts have about ``limit`` bytes, one row at least."""
+    for first, _, offsets in slices(texts, limit):
+        yield first, len(offsets) - 1
+
+
+#: Bytes of the record batches that Spark hands to Python, so that long texts and wide rows cost an executor no more than short ones.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def mapped(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` in batches of about BATCH_BYTES; a session that sets a smaller size keeps it."""
+    conf = rows.sparkSession.conf
+    size = conf.get(_BATCH_SETTING, None)
+    if size is None or int(re.sub("[^0-9]", "", size)) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that all executors share.
+    """Cut lineage by a reliable checkpoint in the folder that all executors share, the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where neither it nor
-    the context's folder is set (tests) a local one is used.
+    Where neither it nor a folder of the context is set, a local session (tests) makes
+    its own; on a cluster there is no place then that outlives an executor, and an error
+    says so.
     """
     spark = df.sparkSession
-    _checkpoint_dir(spark)
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and re.match(r"local(\[.*)?$", context.master):
+            folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
+        if not folder:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+#: Bytes up to which a side of a join is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_within(df: DataFrame, row_bytes: int, more: Column | None = None, limit: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``limit`` bytes: ``row_bytes`` a row and ``more``, a column of bytes; beyond, Spark joins it its own way.
+
+    ``df`` is read once to size it, so it should be settled or cheap.
+    """
+    n, extra = df.agg(F.count("*"), F.sum(more) if more is not None else F.lit(0)).first()
+    return F.broadcast(df) if n * row_bytes + (extra or 0) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def held_out(id_col: str):
