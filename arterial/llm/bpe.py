@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkernels import mapped
+
 #: Fixed value: how byte-level BPE vocabularies of this family split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pretokens remembered by a worker; the memory is emptied when full.
@@ -280,5 +282,5 @@ def _mapped(docs: DataFrame, col: str, vocabulary_path: str, fields: list[T.Stru
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *run(codec, part.column(place).to_pylist())], names=[*(f"c{i}" for i in kept), *(f"n{i}" for i in range(len(fields)))])
 
     schema = T.StructType([*(T.StructField(f"c{i}", rows.schema[i].dataType) for i in kept), *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields))])
-    out = rows.mapInArrow(over, schema)
+    out = mapped(rows, over, schema)
     return out.toDF(*(docs.columns[i] for i in kept), *(f.name for f in fields))

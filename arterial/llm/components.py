@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from .textkernels import settle
 
 
-#: Edges up to which one task joins them (16 bytes each); more are contracted by repeated joins.
-MAX_ONE_TASK = 500_000
+#: Bytes of edges, 16 each, that one task joins; more are contracted by repeated joins.
+ONE_TASK_BYTES = 8 << 20
 
 
 def _union_find(table: pa.Table) -> pa.Table:
@@ -32,14 +32,14 @@ def _union_find(table: pa.Table) -> pa.Table:
 def connected(edges: DataFrame, x: str, y: str) -> DataFrame:
     """``id`` and ``component`` (smallest id reachable) of every id in ``edges``.
 
-    Up to MAX_ONE_TASK edges, a checked bound, one task joins them.  Beyond it two
+    Up to ONE_TASK_BYTES of edges, a checked bound, one task joins them.  Beyond it two
     contractions alternate until nothing changes: each node's larger neighbours are hung on its smallest neighbour, then its smaller neighbours and
     itself are.  The number of rounds grows with the logarithm of the longest
     chain; each round is partially aggregated, and lineage is cut by a checkpoint.
     Self-loops and repeated edges are harmless; an empty table gives none.
     """
     e = settle(edges.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
-    if e.count() <= MAX_ONE_TASK:
+    if 16 * e.count() <= ONE_TASK_BYTES:
         return settle(e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_union_find, "id long, component long"))
     before = None
     while True:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernels import settle
+from .textkernels import mapped, settle
 
 DENSITIES = 10
 EACH = 5
@@ -73,7 +73,7 @@ def _count(texts: DataFrame, keep=None, low: float | None = None) -> DataFrame:
         kept = [(t, c) for t, c in seen.items() if low is None or c >= low * n]
         return pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in kept], pa.string()), "df": pa.array([c for _, c in kept], pa.int64())})
 
-    return texts.mapInArrow(run, "term string, df long")
+    return mapped(texts, run, "term string, df long")
 
 
 def fit_lexicon(docs: DataFrame, text_col: str, low: float = 0.002, high: float = 0.2, least: int = 2) -> DataFrame:
@@ -171,7 +171,7 @@ def fingerprints(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame,
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *made, *(extra(part, names) if extra else ())], names=[*kept, *text_cols.values(), *(f.name for f in extra_fields)])
 
     schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in text_cols.values()), *extra_fields])
-    return source.mapInArrow(run, schema)
+    return mapped(source, run, schema)
 
 
 def _joined(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame) -> DataFrame:
@@ -215,4 +215,4 @@ def with_likeness(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFra
             made = [pa.array(likeness(batch.column(names.index(a)).to_pylist(), batch.column(names.index(b)).to_pylist())) for a, b in pairs.values()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *pairs])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in pairs)]))
+    return mapped(rows, run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in pairs)]))

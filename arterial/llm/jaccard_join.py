@@ -8,17 +8,25 @@ holds the same non-empty part of both sets.  Documents that agree on a fragment
 are candidates.  For a candidate pair the partial overlap of each coarse fragment
 is counted separately, and the counts are summed per pair and tested exactly.
 
-Groups of candidates are not expanded into pairs.  Each member is first tested
-against the group's smallest id and links are closed into components.  Members of a
-group that still lie in different components are compared inside tasks, large groups
-in blocks, by histograms of their n-grams over the global order: the difference of
-two histograms is never more than that of the sets, so a pair that it rules out
-cannot be similar, and only the pairs that it leaves are returned and tested.
+Equal sets are one class and only its smallest id makes keys.  Groups of candidates
+are not expanded into pairs.  Each member is first tested against the group's smallest
+id and links are closed into components.  While members in different components are
+many, each open group takes a new centre and its members are tested against that.  The
+members that are left are compared inside tasks, large groups in blocks, by histograms
+of their n-grams over the global order: the difference of two histograms is never more
+than that of the sets, so a pair that it rules out cannot be similar, and only the
+pairs that it leaves are returned and tested.  Keys that a sample shows to be frequent
+are salted, so that no task holds all rows of one; the sample decides where rows go,
+never what is found.
+
+The result is the classes, not the links: members that are linked through others are
+not tested against each other.
 
 Defined results: null, empty and white-space-only texts have no n-grams and link
-with nothing; texts of fewer words than n have one n-gram, the whole; rows with a
-null id are dropped (nothing could name them); several rows of one id count as one
-document, whose set is the smallest by size, then hash; extra columns are ignored.
+with nothing; texts of fewer words than n have one n-gram, the whole; a row with a null
+id has its number of n-grams and no component (nothing could name it); several rows of
+one id count as one document, whose set is the smallest by size, then hash; extra
+columns are ignored, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,12 +40,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .textkernels import mix, settle, shingle_sets
+from .textkernels import broadcast_within, mapped, mix, settle, shingle_sets
 
 #: Coarse fragments in which partial overlaps are counted.
 COARSE = 4
-#: Largest table of candidate documents that is broadcast to the texts, some 50 bytes a row.
-MAX_BROADCAST_ROWS = 500_000
+#: Keys held by this many of about SAMPLE documents are salted over SALTS parts.
+FREQUENT, SAMPLE, SALTS = 10, 2000, 64
+#: Pairs across components, summed over groups, up to which blocks compare them without a further centre.
+FEW_PAIRS = 2_000_000
 #: Members of a block of a group that is compared inside a task.
 BLOCK = 256
 #: Least and most cells of a set's histogram; between them it has two to four times as many cells as n-grams, half a byte each.
@@ -119,7 +129,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                     b[row] = mix(grams).sum(dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(cells, pa.binary())], names=["id", "n", "a", "b", "cells"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, cells binary")
+    return mapped(docs, run, "id long, n long, a long, b long, cells binary")
 
 
 def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -140,7 +150,7 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def pack(ids: np.ndarray, out: list[np.ndarray], who: list[int]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(ids[who], [len(x) for x in out]))], names=["key", "id"])
 
-    return docs.mapInArrow(run, "key long, id long")
+    return mapped(docs, run, "key long, id long")
 
 
 def _segments(docs: DataFrame, k: int) -> DataFrame:
@@ -170,18 +180,16 @@ def _segments(docs: DataFrame, k: int) -> DataFrame:
         frag = pa.array(np.tile(np.arange(COARSE, dtype=np.int32), len(who)))
         return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(3).take(rows), frag, grams], names=["id", "centers", "frag", "grams"])
 
-    return docs.mapInArrow(run, "id long, centers array<long>, frag int, grams array<long>")
+    return mapped(docs, run, "id long, centers array<long>, frag int, grams array<long>")
 
 
 def _whole_sets(texts: DataFrame, roles: DataFrame, k: int) -> DataFrame:
     """(id, centers, frag, grams) of the documents in ``roles`` (id, a, centers).
 
-    ``roles`` is broadcast where it has at most MAX_BROADCAST_ROWS rows, so that
-    texts stay where they are; beyond that both sides are shuffled by id.
+    ``roles`` is broadcast within a bound of bytes, so that texts stay where they are;
+    beyond that both sides are shuffled by id.
     """
-    if roles.count() <= MAX_BROADCAST_ROWS:
-        roles = F.broadcast(roles)
-    return _segments(texts.join(roles, "id").select("id", "text", "a", "centers"), k)
+    return _segments(texts.join(broadcast_within(roles, 40, F.size("centers") * 8), "id").select("id", "text", "a", "centers"), k)
 
 
 def overlaps(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -215,7 +223,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(apart <= (100 - percent) * min(nx, ny) // percent)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(4)], names=["x", "y", "nx", "ny"])
 
-    return rows.select("x", "y", "nx", "ny", "cx", "cy").mapInArrow(run, "x long, y long, nx long, ny long")
+    return mapped(rows.select("x", "y", "nx", "ny", "cx", "cy"), run, "x long, y long, nx long, ny long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -272,32 +280,67 @@ def _across(open_groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def pack(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"x": pa.array([p[0] for p in pairs], pa.int64()), "y": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return rows.mapInArrow(run, "x long, y long").distinct()
+    return mapped(rows, run, "x long, y long").distinct()
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every document."""
+def _groups(texts: DataFrame, n_docs: int, k: int, percent: int) -> DataFrame:
+    """(key, id, low) of the keys that several documents hold; ``low`` is the smallest of them."""
     from pyspark.sql import Window as W
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null")
-    least = F.struct("n", "a", "b", "cells")
-    sets = settle(_sets(texts, k).groupBy("id").agg(F.min(least).alias("s")).select("id", "s.*"))
-    # equal sets are one class, named by its smallest id; empty sets stay alone
-    classes = sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"))
-    members = settle(sets.drop("cells").join(classes, ["n", "a", "b"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "a"))
+    some = texts.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(max(1, n_docs // SAMPLE))) == 0)
+    hot = settle(_keys(some, k, percent).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT).select("key", F.lit(True).alias("hot")))
+    keys = _keys(texts, k, percent).join(F.broadcast(hot), "key", "left")  # at most SAMPLE / FREQUENT keys for each fragment of a document
+    keys = keys.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    part = W.partitionBy("key", "salt")
+    found = keys.withColumns({"low": F.min("id").over(part), "high": F.max("id").over(part)}).where("hot or low < high")
+    found = settle(found.select("key", "id", "low", F.coalesce("hot", F.lit(False)).alias("hot")))
+    ends = found.where("hot").groupBy("key").agg(F.min("low").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
+    salted = found.where("hot").join(F.broadcast(ends), "key").select("key", "id", F.col("least").alias("low"))
+    return found.where("not hot").select("key", "id", "low").unionByName(salted)
+
+
+def _open(groups: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """(key, id, low, comp, m) of the groups whose members lie in different components, and the number of pairs across components."""
+    named = groups.join(broadcast_within(found, 16), "id", "left").select("key", "id", "low", F.coalesce("component", "id").alias("comp"))
+    parts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sums = settle(parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps")).where("comps > 1 and m > 2"))
+    pairs = sums.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+    return settle(named.join(broadcast_within(sums.select("key", "m"), 24), "key")), int(pairs)
 
-    by_key = W.partitionBy("key")
-    shared = _keys(texts, k, percent).withColumn("m", F.count("*").over(by_key)).where("m > 1").select("key", "id")
-    groups = shared.join(members.select("id", "rep"), "id").select("key", F.col("rep").alias("id")).distinct()
-    groups = settle(groups.withColumn("low", F.min("id").over(by_key)).withColumn("m", F.count("*").over(by_key)).where("m > 1"))
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """``id_col``, ``n_shingles`` and ``component_id`` (the smallest id reachable by links) of every document."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = rows.where("id is not null")
+    sets = _sets(texts, k)
+    if not texts.groupBy("id").count().where("count > 1").isEmpty():
+        sets = sets.groupBy("id").agg(F.min(F.struct("n", "a", "b", "cells")).alias("s")).select("id", "s.*")
+    sets = settle(sets)
+    # equal sets are one class, named by its smallest id; empty sets stay alone
+    classes = settle(sets.where("n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    members = settle(sets.drop("cells").join(broadcast_within(classes, 48), ["n", "a", "b"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), "a"))
+    single = texts.join(broadcast_within(members.where("rep <> id").select("id"), 32), "id", "left_anti")
+    groups = _groups(single, members.count(), k, percent)
 
     stars = groups.where("id > low").select(F.col("low").alias("x"), F.col("id").alias("y")).distinct()
     links = settle(_linked(stars, sets, members, texts, k, percent))
     found = connected(links, "x", "y")
-
-    named = groups.join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_groups = named.withColumn("c0", F.min("comp").over(by_key)).withColumn("c1", F.max("comp").over(by_key)).where("c0 < c1 and m > 2").select("key", "id", "low", "comp", "m")
+    open_groups, pairs = _open(groups, found)
+    turn = 0
+    while pairs > FEW_PAIRS:
+        # a centre drawn among the members lies in a large component more often than not
+        centre = open_groups.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("c"))
+        drawn = open_groups.join(broadcast_within(settle(centre), 40), "key").where("comp <> c.comp and id <> low and c.id <> low")
+        stars = drawn.select(F.least("id", "c.id").alias("x"), F.greatest("id", "c.id").alias("y")).distinct()
+        links = settle(links.unionByName(_linked(stars, sets, members, texts, k, percent)))
+        found = connected(links, "x", "y")
+        before, turn = pairs, turn + 1
+        open_groups, pairs = _open(groups, found)
+        if pairs > 0.9 * before:
+            break
     links = links.unionByName(settle(_linked(_across(open_groups, sets, percent), sets, members, texts, k, percent)))
     final = connected(links, "x", "y")
-    out = members.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    named = members.join(broadcast_within(final.select(F.col("id").alias("rep"), "component"), 24), "rep", "left")
+    out = named.select("id", "n", F.coalesce("component", "rep").alias("component"))
+    out = out.unionByName(_sets(rows.where("id is null"), k).select("id", "n", F.lit(None).cast("long").alias("component")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkernels import broadcast_within, mapped, runs
+
 UNDETERMINED = "und"
 #: Documents kept in memory at once while counting, in characters.
 _BLOCK = 1 << 19
@@ -81,12 +83,9 @@ def fit_profiles(docs: DataFrame, text_col: str, lang_col: str, where: Column, p
     list, languages x profile_size numbers, reaches the driver.
     """
     labelled = docs.where(where & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    shares = {r[0]: min(1.0, docs_per_language / r[1]) for r in labelled.groupBy(lang_col).count().collect()}
-    if not shares:
-        return {}
-    pairs = [x for k, v in shares.items() for x in (F.lit(k), F.lit(v))]
-    draw = F.pmod(F.xxhash64(F.col(order_col or text_col)), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.where(draw < F.create_map(*pairs)[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = labelled.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), (F.pmod(F.xxhash64(F.col(f"`{order_col or text_col}`")), F.lit(1 << 20)) / float(1 << 20)).alias("_draw"))
+    shares = rows.groupBy("lang").agg((docs_per_language / F.count("*")).alias("_share"))
+    sample = rows.join(broadcast_within(shares, 64), "lang").where(F.col("_draw") < F.col("_share")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,9 +98,9 @@ def fit_profiles(docs: DataFrame, text_col: str, lang_col: str, where: Column, p
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(kinds), pa.string()), "gram": kinds, "n": counts.astype(np.int64)})
                 by.clear()
 
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for lang, text in zip(batch.column(0), batch.column(1)):
                 grams = ngrams(letters(text.as_py()))
-                by.setdefault(lang, []).append(grams)
+                by.setdefault(lang.as_py(), []).append(grams)
                 held += len(grams)
                 if held > 8 * _BLOCK:
                     yield from flush()
@@ -110,7 +109,7 @@ def fit_profiles(docs: DataFrame, text_col: str, lang_col: str, where: Column, p
 
     from pyspark.sql import Window as W
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = mapped(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram"))
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= profile_size)
     profiles: dict[str, list[int]] = {}
@@ -149,11 +148,13 @@ def predict_language(docs: DataFrame, text_col: str, profiles: dict[str, list[in
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [judge(x.as_py()) for x in batch.column(place)]
-            columns = [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, pred_col, score_col])
+            for at, n in runs(batch.column(place)):
+                part = batch.slice(at, n)
+                out = [judge(x.as_py()) for x in part.column(place)]
+                columns = [*part.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, pred_col, score_col])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*source.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return source.mapInArrow(predict, schema)
+    return mapped(source, predict, schema)

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .textkernels import mapped
+
 #: Lengths in one part of the suffix sums.
 PART = 1024
 
@@ -46,7 +48,7 @@ def token_counts(docs: DataFrame, text_col: str, ranks_path: str, pattern: str,
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(count_col, T.LongType())]))
+    return mapped(docs, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(count_col, T.LongType())]))
 
 
 def histogram(counts: DataFrame, count_col: str) -> DataFrame:

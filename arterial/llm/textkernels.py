@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
@@ -124,14 +124,12 @@ def mapped(rows: DataFrame, run: Callable, schema) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that all executors share, the session's ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the context's checkpoint folder, else that of the session's ``spark.checkpoint.dir``.
 
-    Where neither it nor a folder of the context is set, a local session (tests) makes
-    its own; on a cluster there is no place then that outlives an executor, and an error
-    says so.
+    Where neither is set, a local session (tests) makes its own; on a cluster there is no
+    place then that outlives an executor, and an error says so.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -140,6 +138,12 @@ def settle(df: DataFrame) -> DataFrame:
         if not folder:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

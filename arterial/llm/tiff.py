@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .textkernels import mapped
+
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: Fixed values of the format: tag numbers.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -305,7 +307,7 @@ def store_texts(docs: DataFrame, text_col: str, media_col: str = "media") -> Dat
                     media.append(write(payload, *LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]))
                 yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*kept, "n_bytes", media_col])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())]))
+    return mapped(docs, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_bytes", T.LongType()), T.StructField(media_col, T.BinaryType())]))
 
 
 PAGE_FIELDS = [T.StructField("page", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("samples", T.IntegerType()), T.StructField("bits", T.IntegerType()), T.StructField("compression", T.IntegerType()), T.StructField("predictor", T.IntegerType()), T.StructField("tiled", T.BooleanType()), T.StructField("pixels", T.BinaryType()), T.StructField("error", T.StringType())]
@@ -339,7 +341,7 @@ def read_pages(media: DataFrame, media_col: str = "media") -> DataFrame:
                     kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.string()]
                     yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)).take(take) for c in kept), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[*kept, *(f.name for f in PAGE_FIELDS)])
 
-    return media.mapInArrow(run, T.StructType([*(media.schema[c] for c in kept), *PAGE_FIELDS]))
+    return mapped(media, run, T.StructType([*(media.schema[c] for c in kept), *PAGE_FIELDS]))
 
 
 DIGEST_FIELDS = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
@@ -373,4 +375,4 @@ def digests(media: DataFrame, media_col: str = "media") -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, *(f.name for f in DIGEST_FIELDS)])
 
-    return media.mapInArrow(run, T.StructType([*(media.schema[c] for c in kept), *DIGEST_FIELDS]))
+    return mapped(media, run, T.StructType([*(media.schema[c] for c in kept), *DIGEST_FIELDS]))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernels import _LOWER, _SPACE, slices
+from .textkernels import _LOWER, _SPACE, mapped, slices
 
 BITS = 18
 LENGTHS = (3, 4, 5, 6)
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         numbers, bias = train(bags, counts, labels, dim, epochs, rate, seed)
         return pa.table({"numbers": pa.array([numbers.tobytes()], pa.binary()), "bias": pa.array([bias])})
 
-    bags = sample.mapInArrow(bag, "id long, label int, buckets array<int>, counts array<int>")
+    bags = mapped(sample, bag, "id long, label int, buckets array<int>, counts array<int>")
     found = bags.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learn, "numbers binary, bias double").first()
     if found is None:
         return np.zeros(1 << BITS, dtype=np.float32), 0.0
@@ -159,4 +159,4 @@ def score(docs: DataFrame, text_col: str, model: tuple[np.ndarray, float], score
                 logits[row : row + rows] += np.bincount(who, table[what], rows) / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), pa.array(1 / (1 + np.exp(-np.clip(logits, -50, 50))))], names=[*kept, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(score_col, T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(score_col, T.DoubleType())]))

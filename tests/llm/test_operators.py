@@ -407,11 +407,39 @@ def test_large_groups_in_blocks(spark):
     assert got == brute_components(texts, 4, 85)
 
 
+def near_copies(rng, n, words_each=120, edits=(1, 3, 6)):
+    base = ["b%d" % i for i in range(words_each)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            w[rng.randrange(words_each)] = "x%d" % rng.randrange(10**6)
+        out.append(" ".join(w))
+    return out
+
+
+def test_more_centres_and_no_broadcast_change_nothing(spark):
+    rng = random.Random(10)
+    texts = [*near_copies(rng, 70), *["same words in every one of these"] * 30, None, ""]
+    rng.shuffle(texts)
+    old = jaccard_join.FEW_PAIRS, textkernels.BROADCAST_BYTES, jaccard_join.FREQUENT
+    try:
+        for jaccard_join.FEW_PAIRS, textkernels.BROADCAST_BYTES, jaccard_join.FREQUENT in ((0, old[1], 2), (10, -1, 10**9)):
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs_of(spark, texts), "doc_id", "text").collect()}
+            assert got == brute_components(texts, 4, 85)
+    finally:
+        jaccard_join.FEW_PAIRS, textkernels.BROADCAST_BYTES, jaccard_join.FREQUENT = old
+
+
 def test_joins_of_odd_tables(spark):
     df = docs_of(spark, ["a b c d e f", "a b c d e f"])
     assert jaccard_join.similarity_components(df.limit(0), "doc_id", "text").count() == 0
     twice = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
-    assert sorted(tuple(r) for r in jaccard_join.similarity_components(twice, "doc_id", "text").collect()) == [(0, 3, 0), (1, 3, 0)]
+    got = sorted(((r[0] is None, *r) for r in jaccard_join.similarity_components(twice, "doc_id", "text").collect()), key=str)
+    assert got == [(False, 0, 3, 0), (False, 1, 3, 0), (True, None, 3, None), (True, None, 3, None)]
+    long = " ".join(str(i) for i in range(200_000))
+    got = jaccard_join.similarity_components(docs_of(spark, [long, long + " 1", "0 1 2 3"]).withColumn("n", F.lit(1)).withColumn("key", F.lit(1)), "doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == [(0, 199_997, 0), (1, 199_998, 0), (2, 1, 2)]
 
 
 def test_both_ways_to_components(spark):
@@ -419,11 +447,11 @@ def test_both_ways_to_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(60)]
     df = spark.createDataFrame(edges, "x long, y long")
     one = {r["id"]: r["component"] for r in components.connected(df, "x", "y").collect()}
-    old, components.MAX_ONE_TASK = components.MAX_ONE_TASK, 0
+    old, components.ONE_TASK_BYTES = components.ONE_TASK_BYTES, -1
     try:
         many = {r["id"]: r["component"] for r in components.connected(df, "x", "y").collect()}
     finally:
-        components.MAX_ONE_TASK = old
+        components.ONE_TASK_BYTES = old
     assert one == many and all(one[i] == 0 for i in range(41))
 
 
