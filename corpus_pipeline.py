@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept;
 all but the last return the columns of ``documents``.
 
+Every stage keeps documents apart whose id is null or repeated: where that occurs, rows
+are told by a hash of id and text, and identical rows count as one document of several
+copies.
+
 1. language: rejects documents in which no language can be told: no letters at all,
    or letters whose n-gram order is far from every known language.
 2. near_duplicates: of each group of documents linked by a Jaccard similarity of 0.8
@@ -14,15 +18,22 @@ all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arterial.llm import bpe, jaccard_join, langid, mixing, pii, queries
+from arterial.llm.textkernels import broadcast_within, settle, shared_folder
 
 #: Least score of a document whose language counts as told.
 MIN_LANGUAGE_SCORE = 0.2
-#: Largest number of dropped ids that is broadcast to the texts.
-MAX_BROADCAST_IDS = 2_000_000
+
+
+def row_key(docs: DataFrame) -> tuple[Column, bool]:
+    """What tells rows apart, and whether that is the id: it is where ids are neither null nor repeated."""
+    odd = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    return (F.col("doc_id"), True) if odd.isEmpty() else (F.xxhash64("doc_id", "text"), False)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +43,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join.similarity_components(docs, "doc_id", "text", k=5, percent=80)
-    copies = groups.where("component_id < doc_id").select("doc_id")
-    side = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS else copies
-    return docs.join(side, "doc_id", "left_anti")
+    key, unique = row_key(docs)
+    keyed = docs.withColumn("_key", key)
+    groups = jaccard_join.similarity_components(keyed, "_key", "text", k=5, percent=80)
+    copies = settle(groups.where("component_id < _key").select("_key"))
+    kept = keyed.join(broadcast_within(copies, 32), "_key", "left_anti")
+    return (kept if unique else kept.dropDuplicates(["_key"])).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +56,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    key, unique = row_key(docs)
+    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"), key.alias("_key"))
     rated = queries.quality_weights(sized, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    taken = mixing.mix(rated, "doc_id", F.col("size"), "source", F.col("q")).where("taken > 0")
-    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    taken = mixing.mix(rated, "_key", F.col("size"), "source", F.col("q")).where("taken > 0")
+    copies = taken.groupBy("_key").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_copies"))
+    joined = docs.withColumn("_key", key).join(copies, "_key")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
@@ -63,8 +77,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``; each result but the last is written to the shared folder and read again, so that a later stage never repeats an earlier one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
