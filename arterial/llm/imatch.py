@@ -109,8 +109,8 @@ def _members(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_of(kept: list[str], hashes: np.ndarray, members: np.ndarray) -> str:
-    """Fingerprint of sorted distinct terms with their hashes and subset flags."""
+def fingerprint_of(hashes: np.ndarray, members: np.ndarray) -> str:
+    """Fingerprint of the hashes of sorted distinct terms and their subset flags."""
     parts = []
     for s in range(SUBSETS):
         chosen = hashes[members[:, s]]
@@ -130,10 +130,10 @@ class Lexicon:
         own = terms(text)
         at = sorted(self.place[t] for t in own if t in self.place)
         if at:
-            return fingerprint_of([], self.hashes[at], self.members[at])
+            return fingerprint_of(self.hashes[at], self.members[at])
         listed = sorted(own)
         hashes = np.array([_term_hash(t) for t in listed], dtype=np.uint64)
-        return fingerprint_of(listed, hashes, _members(hashes))
+        return fingerprint_of(hashes, _members(hashes))
 
 
 _held: dict[str, Lexicon] = {}
@@ -147,19 +147,12 @@ def _lexicon(shared) -> Lexicon:
     return _held[key]
 
 
-def fingerprints(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame, extra=None, extra_fields: list[T.StructField] = (), drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add for each ``{text column: output column}`` the fingerprint of the text.
-
-    ``extra(batch)`` may add arrays for ``extra_fields`` in the same pass over a
-    record batch whose columns have the names of ``docs``; columns in ``drop`` are
-    not returned.
-    """
-    size = lexicon.count()
-    if size > MAX_BROADCAST_TERMS:
-        return _joined(docs, text_cols, lexicon)
-    shared = docs.sparkSession.sparkContext.broadcast([r[0] for r in lexicon.collect()])
+def fingerprints(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add for each ``{text column: output column}`` the fingerprint of the text; columns in ``drop`` are not returned."""
     kept = [c for c in docs.columns if c not in drop and c not in text_cols.values()]
-    source = docs
+    if lexicon.count() > MAX_BROADCAST_TERMS:
+        return _joined(docs, text_cols, lexicon).select(*[F.col(f"`{c}`") for c in [*kept, *text_cols.values()]])
+    shared = docs.sparkSession.sparkContext.broadcast([r[0] for r in lexicon.collect()])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,31 +161,43 @@ def fingerprints(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame,
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 made = [pa.array([held.fingerprint(x.as_py()) for x in part.column(names.index(c))], pa.string()) for c in text_cols]
-                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *made, *(extra(part, names) if extra else ())], names=[*kept, *text_cols.values(), *(f.name for f in extra_fields)])
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(c)) for c in kept), *made], names=[*kept, *text_cols.values()])
 
-    schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in text_cols.values()), *extra_fields])
-    return mapped(source, run, schema)
+    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, T.StringType()) for c in text_cols.values())])
+    return mapped(docs, run, schema)
 
 
 def _joined(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame) -> DataFrame:
-    """The same result for a lexicon too large to broadcast: terms of each text are joined with it."""
-    out = docs.withColumn("_row", F.monotonically_increasing_id())
+    """The same result for a lexicon too large to broadcast: terms are joined with it.  Rows are numbered and settled, so that numbers stay when a stage runs again."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    out = settle(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()))
+    made = []
     for text_col, name in text_cols.items():
-        own = out.select("_row", F.explode(_terms_udf(F.col(f"`{text_col}`"))).alias("term"))
-        kept = own.join(lexicon, "term").groupBy("_row").agg(F.sort_array(F.collect_set("term")).alias("_kept"))
-        out = out.join(kept, "_row", "left").withColumn(name, _list_udf(F.when(F.col("_kept").isNotNull(), F.col("_kept")).otherwise(_terms_udf(F.col(f"`{text_col}`"))))).drop("_kept")
-    return out.drop("_row")
-
-
-@F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _terms_udf(text):
-    return sorted(terms(text))
-
-
-@F.udf(T.StringType(), useArrow=True)
-def _list_udf(listed):
-    hashes = np.array([_term_hash(t) for t in sorted(listed)], dtype=np.uint64)
-    return fingerprint_of([], hashes, _members(hashes))
+        column = names[docs.columns.index(text_col)]
+        listed = mapped(out.select("_row", column), _listed, "_row long, terms array<string>")
+        own = listed.select("_row", F.explode("terms").alias("term"))
+        kept = own.join(lexicon, "term").groupBy("_row").agg(F.sort_array(F.collect_list("term")).alias("kept"))
+        # a text none of whose terms is in the lexicon is told by all of them
+        chosen = listed.join(kept, "_row", "left").select("_row", F.coalesce("kept", "terms").alias("terms"))
+        out = out.join(mapped(chosen, _hashed, f"_row long, `{name}` string"), "_row")
+        made.append(name)
+    return out.drop("_row").toDF(*[c if c not in text_cols.values() else f"_old_{c}" for c in docs.columns], *made)
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(terms(x.as_py())) for x in part.column(1)], pa.list_(pa.string()))], names=["_row", "terms"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for x in batch.column(1):
+            hashes = np.array([_term_hash(t) for t in sorted(x.as_py())], dtype=np.uint64)
+            out.append(fingerprint_of(hashes, _members(hashes)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "fp"])
 
 
 def likeness(a: list[str | None], b: list[str | None]) -> np.ndarray:

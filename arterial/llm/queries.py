@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bpe, imatch, jaccard_join, langid, lengths, mixing, pii, tiff, toxicity, url_filter
-from .textkernels import held_out
+from .textkernels import broadcast_within, held_out, settle
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,42 +52,47 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), count("n_added").alias("n_added"), (n_base + count("n_added")).alias("n_spans"))
 
 
-def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = 2000, most: int = 512) -> DataFrame:
-    """Deal rows into ranges of ids that hold about ``per_bucket`` rows (``most`` ranges at most), each closed by a copy (``tail`` true) of the first row of the next range; the last range is closed by the first row of all.
+def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = 2000, most: int = 1_000_000) -> DataFrame:
+    """Deal rows into ranges of ids that hold about ``per_bucket`` rows, each closed by a copy (``tail`` true) of the first row of the next range; the last range is closed by the first row of all.
 
-    Only the range limits, at most ``most`` ids, reach the driver.
+    Ranges are wider where there would be more than ``most`` of them; their limits, 8 bytes
+    each, are what reaches the driver and the tasks.  Only ids pass through Python.
     """
+    spark = docs.sparkSession
     key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
     n = docs.count()
-    k = max(1, min(most, n // per_bucket))
-    cuts = docs.select(F.percentile_approx(key, [i / k for i in range(1, k)] or [0.5], 10000)).first()[0] or [] if k > 1 else []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: key >= c)) if cuts else F.lit(0)
-    rows = docs.withColumn("bucket", bucket)
-    firsts = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.min(key)).collect()}
-    order = sorted(firsts)
-    copies = {firsts[b]: order[i - 1] for i, b in enumerate(order)}  # the first row of all closes the last range
-    if not copies:
-        return rows.withColumn("tail", F.lit(False))
-    to = F.create_map(*[F.lit(x) for pair in copies.items() for x in pair])
-    both = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("t")), F.when(F.map_contains_key(to, key), F.struct(F.try_element_at(to, key).alias("b"), F.lit(True).alias("t")))))
-    names = [c for c in rows.columns if c != "bucket"]
-    return rows.withColumn("_e", F.explode(both)).select(*names, F.col("_e.b").alias("bucket"), F.col("_e.t").alias("tail"))
+    k = min(n // per_bucket, most)
+    limits = docs.select(F.percentile_approx(key, [i / k for i in range(1, k)], max(10_000, 4 * k))).first()[0] if k > 1 else []
+    shared = spark.sparkContext.broadcast(np.unique(np.array(limits, dtype=np.int64)))
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right")).astype("int32")
+
+    rows = docs.withColumn("_key", key).withColumn("bucket", range_of("_key"))
+    firsts = settle(docs.select(key.alias("_key")).withColumn("bucket", range_of("_key")).groupBy("bucket").agg(F.min("_key").alias("_key")))
+    # one row for each range: the range before it, or the last for the first
+    before = F.lag("bucket").over(W.orderBy("bucket"))
+    closes = firsts.withColumn("to", F.coalesce(before, F.max("bucket").over(W.partitionBy()))).select("_key", "to")
+    both = rows.join(broadcast_within(closes, 16), "_key", "left")
+    ends = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("t")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("b"), F.lit(True).alias("t")))))
+    return both.withColumn("_e", F.explode(ends)).select(*docs.columns, F.col("_e.b").alias("bucket"), F.col("_e.t").alias("tail"))
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next document is the next in order of id (null first), then text; documents meet it in ranges of ids, so each text moves once."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lexicon = imatch.fit_lexicon(docs, "text")
-    in_order = W.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_first())
-    rows = id_buckets(docs, "doc_id").withColumn("next", F.coalesce(F.lead("text").over(in_order), F.lit("")))
+    in_order = W.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_first(), "text")
+    rows = id_buckets(docs, "doc_id").withColumns({"next": F.coalesce(F.lead("text").over(in_order), F.lit("")), "place": F.row_number().over(in_order)})
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut))
-    rows = rows.select("doc_id", "bucket", "tail", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    rows = rows.select("doc_id", "bucket", "tail", "place", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     marked = imatch.fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"}, lexicon, drop=("text", "edited"))
-    marked = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(in_order)).where("not tail")
-    near = imatch.with_likeness(marked.drop("bucket", "tail"), {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
+    marked = marked.withColumn("next_fingerprint", F.lead("fingerprint").over(W.partitionBy("bucket").orderBy("place"))).where("not tail")
+    near = imatch.with_likeness(marked.drop("bucket", "tail", "place"), {"near_edited": ("fingerprint", "edited_fingerprint"), "near_next": ("fingerprint", "next_fingerprint")})
     return near.drop("next_fingerprint")
 
 

@@ -1,13 +1,16 @@
 """TIFF media columns: store bytes as images, walk image directories, decode pages.
 
 The reader takes both byte orders, strips and tiles, no compression, PackBits, LZW
-and deflate, the horizontal predictor, and 8- or 16-bit samples in chunky order; it
-gives one row per page.  Each file is decoded inside the row's own task.
+and deflate, the horizontal predictor, 8- or 16-bit samples, and samples together or
+in planes of their own; it gives one row per page.  Each file is decoded inside the
+row's own task.
 
 Defined results: null or empty media give no pages; a file that cannot be decoded
 gives one row with its ``error`` and null pixels, and never fails the job; a
 directory chain that loops ends where it would repeat; strips that end early are
-filled with zeros; extra columns pass through.
+filled with zeros; an image that its data could never fill counts as bad before memory
+is taken for it; extra columns pass through, and columns of the output names are
+replaced; repeated rows are decoded alike; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textkernels import mapped
@@ -29,7 +33,9 @@ NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: Fixed values of the format: tag numbers.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
-PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
+#: Most bytes that a stored byte can stand for, by compression.
+EXPANSION = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, 32946: 1032, LZW: 4096}
 #: Bytes and struct letters of the field types that matter here.
 FIELD_TYPES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 #: Row width, rows of a page, and rows of a strip of stored texts.
@@ -264,19 +270,27 @@ def _page(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> Page:
     tiled = TILE_OFFSETS in tags
     wide, high = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     offsets, counts = (tags.get(TILE_OFFSETS, ()), tags.get(TILE_COUNTS, ())) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()))
-    across = -(-width // wide)
-    image = np.zeros((-(-height // high) * high, across * wide, samples), dtype=kind.newbyteorder("="))
+    stored = sum(min(b, len(data)) for b in counts) * EXPANSION.get(compression, 1)
+    if width * height * samples * kind.itemsize > stored or wide * high * samples * kind.itemsize > stored:
+        raise ValueError(f"{width} x {height} samples do not fit {len(data)} bytes")
+    across, down = -(-width // wide), -(-height // high)
+    planes = samples if one(PLANAR, 1) == 2 else 1
+    each = samples // planes
+    image = np.zeros((down * high, across * wide, samples), dtype=kind.newbyteorder("="))
     for i, (a, b) in enumerate(zip(offsets, counts)):
+        plane, i = divmod(i, across * down)
+        if plane >= planes:
+            break
         y, x = i // across * high, i % across * wide
         rows = high if tiled else min(high, height - y)
-        size = rows * wide * samples * kind.itemsize
+        size = rows * wide * each * kind.itemsize
         raw = _unpack(data[a : a + b], compression, size)
-        part = np.frombuffer(raw.ljust(size, b"\0"), dtype=kind).astype(image.dtype).reshape(rows, wide, samples)
+        part = np.frombuffer(raw.ljust(size, b"\0"), dtype=kind).astype(image.dtype).reshape(rows, wide, each)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=image.dtype)
         elif predictor != 1:
             raise ValueError(f"predictor {predictor} is not supported")
-        image[y : y + rows, x : x + wide] = part
+        image[y : y + rows, x : x + wide, plane * each : (plane + 1) * each] = part
     return Page(width, height, samples, bits, compression, predictor, tiled, image[:height, :width].tobytes())
 
 
@@ -359,20 +373,47 @@ def feature_of(pixels: bytes, pages: int) -> str:
 
 
 def digests(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """Replace the media by digests of all its pages, decoded in the row's own task, so that pages of one file need no shuffle to meet."""
-    kept = [c for c in media.columns if c != media_col and c not in {f.name for f in DIGEST_FIELDS}]
-    names = media.columns
+    """Replace the media by digests of all its pages, as :func:`read_pages` gives them; files without pages are left out.
+
+    A file's pages come one after the other, from page 0 on, in the task that decoded
+    them, so they need no shuffle to meet.
+    """
+    kept = [c for c in media.columns if c != media_col and c not in {f.name for f in (*DIGEST_FIELDS, *PAGE_FIELDS)}]
+    stored = {"media_bytes": F.octet_length(F.col(f"`{media_col}`")).cast("long"), "media_sha256": F.sha2(F.col(f"`{media_col}`"), 256)}
+    pages = read_pages(media.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{media_col}`"), *[v.alias(k) for k, v in stored.items()]), media_col)
+    names = [*kept, "media_bytes", "media_sha256", "page", "pixels", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.column(names.index(media_col)):
-                data = x.as_py() or b""
-                pages = [p.pixels for p in read(data)] if data else []
-                payload = b"".join(pages)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(payload, len(pages))))
+        first, parts = None, []
+        done, rows = [], []
+
+        def close() -> None:
+            payload = b"".join(parts)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), first.column("media_bytes")[0].as_py(), first.column("media_sha256")[0].as_py(), feature_of(payload, len(parts))))
+            done.append(first.select(kept))
+
+        def pack() -> pa.RecordBatch:
+            table = pa.concat_tables([pa.Table.from_batches([x]) for x in done]).combine_chunks().to_batches()
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, *(f.name for f in DIGEST_FIELDS)])
+            return pa.RecordBatch.from_arrays([*(table[0].columns if kept else ()), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=[*kept, *(f.name for f in DIGEST_FIELDS)])
 
-    return mapped(media, run, T.StructType([*(media.schema[c] for c in kept), *DIGEST_FIELDS]))
+        for batch in batches:
+            starts, pixels, errors = batch.column("page").to_pylist(), batch.column("pixels"), batch.column("error")
+            for i, n in enumerate(starts):
+                if n == 0:
+                    if first is not None:
+                        close()
+                    first, parts = batch.slice(i, 1), []
+                    if len(rows) >= 1000:
+                        yield pack()
+                        done, rows = [], []
+                if errors[i].is_valid:
+                    raise ValueError(f"stored media do not decode: {errors[i].as_py()}")
+                parts.append(pixels[i].as_py())
+        if first is not None:
+            close()
+        if rows:
+            yield pack()
+
+    fields = {f.name: f for f in pages.schema.fields}
+    return mapped(pages.select(*[F.col(f"`{c}`") for c in names]), run, T.StructType([*(fields[c] for c in kept), *DIGEST_FIELDS]))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernels import _LOWER, _SPACE, mapped, slices
+from .textkernels import _LOWER, _SPACE, mapped, settle, slices
 
 BITS = 18
 LENGTHS = (3, 4, 5, 6)
@@ -104,18 +104,22 @@ def train(bags: list[np.ndarray], counts: list[np.ndarray], labels: np.ndarray,
     return (vectors @ gap).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, where: Column, max_rows: int = 6000, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> tuple[np.ndarray, float]:
-    """Train on at most about ``max_rows`` rows of ``docs`` where ``where`` holds and ``labels`` has a label (one row per id).
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, where: Column, max_rows: int = 6000, max_bytes: int = 64 << 20, dim: int = 8, epochs: int = 6, rate: float = 0.5, seed: int = 11) -> tuple[np.ndarray, float]:
+    """Train on at most about ``max_rows`` rows and ``max_bytes`` of text of ``docs`` where ``where`` holds and ``labels`` has a label (one row per id).
 
-    Ids are sampled by their hash before texts are joined, and the sample is broadcast
+    ``epochs`` is the number of passes over ``max_rows`` rows; fewer rows are passed over
+    more often, up to ten times as often, so that small samples are learned as well.  Ids are sampled by their hash before texts are joined, and the sample is broadcast
     (its size is bounded by ``max_rows``), so texts are not shuffled.  n-grams are
     counted in Spark tasks; the bounded sample of bags meets in one task, which trains
     and returns the table of 2**BITS numbers.
     """
-    ids = docs.where(where & F.col(id_col).isNotNull()).select(id_col).join(labels.where(F.col(label_col).isNotNull()).select(id_col, label_col), id_col)
-    n = ids.count()
+    sized = docs.where(where & F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_bytes"))
+    ids = settle(sized.join(labels.where(F.col(label_col).isNotNull()).select(id_col, label_col), id_col))
+    n, size = ids.agg(F.count("*"), F.sum("_bytes")).first()
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20))
-    chosen = ids.where(draw < (1 << 20) * min(1.0, max_rows / max(n, 1))).distinct()
+    share = min(1.0, max_rows / max(n, 1), max_bytes / max(size or 0, 1))
+    chosen = ids.where(draw < (1 << 20) * share).select(id_col, label_col).distinct()
+    passes = round(epochs * min(10.0, max(1.0, max_rows / max(n * share, 1.0))))
     sample = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
         table = table.take(pa.array(order))
         labels = (table.column("label").to_numpy() == 1).astype(np.int64)
         bags, counts = ([np.asarray(x.values) for x in table.column(c)] for c in ("buckets", "counts"))
-        numbers, bias = train(bags, counts, labels, dim, epochs, rate, seed)
+        numbers, bias = train(bags, counts, labels, dim, passes, rate, seed)
         return pa.table({"numbers": pa.array([numbers.tobytes()], pa.binary()), "bias": pa.array([bias])})
 
     bags = mapped(sample, bag, "id long, label int, buckets array<int>, counts array<int>")

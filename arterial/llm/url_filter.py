@@ -15,12 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkernels import broadcast_within, settle
+
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digits", "entropy", "params", "marks", "secure", "suffix_n", "suffix_blocked")
@@ -47,11 +49,11 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character over the characters of a text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    """Bits per character over the characters of a text: sorted, they form runs, whose lengths are the counts."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.greatest(F.size(chars), F.lit(1)).cast("double")
-    share = lambda c: (n - F.size(F.array_remove(chars, c))) / n
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    runs = F.split(F.array_join(chars, ""), r"(?s)(?<=(.))(?!\1)")
+    return F.aggregate(runs, F.lit(0.0), lambda acc, r: acc - F.when(r == "", 0.0).otherwise(F.char_length(r) / n * F.log2(F.greatest(F.char_length(r), F.lit(1)) / n)))
 
 
 def with_features(pages: DataFrame, url_col: str) -> DataFrame:
@@ -69,40 +71,62 @@ def with_features(pages: DataFrame, url_col: str) -> DataFrame:
         "depth": count(F.col("path"), "/"),
         "labels": count(F.col("host"), "."),
         "digits": count(url, "0-9") / n,
-        "entropy": _entropy(F.substring(url, 1, 1 << 16)),
+        "entropy": _entropy(url),
         "params": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
         "marks": count(url, "%=_-"),
         "secure": url.startswith("https").cast("double"),
     })
 
 
+#: Parts of the labelled rows; the suffix statistics of a row leave out those of its own part, so that its label is not among its features.
+FOLDS = 5
+
+
+def _with_suffix_statistics(rows: DataFrame, sure: Column) -> DataFrame:
+    """Add ``suffix_n`` and ``suffix_blocked`` (smoothed share) over all rows with a ``label``; for those rows over the other folds, scaled to all."""
+    per = settle(rows.where("label is not null").groupBy("suffix", "fold").agg(F.count("*").cast("double").alias("n"), F.sum("label").alias("s")))
+    whole = per.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    stats = whole.join(per, "suffix").select("suffix", "fold", "all_n", "all_s", "n", "s")
+    every = whole.select("suffix", F.lit(-1).alias("fold"), "all_n", "all_s", F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+    stats = settle(stats.unionByName(every))
+    at = rows.withColumn("fold", F.when(sure, F.col("fold")).otherwise(F.lit(-1))).join(broadcast_within(stats, 80), ["suffix", "fold"], "left")
+    n, s = F.coalesce(F.col("all_n") - F.col("n"), F.lit(0.0)), F.coalesce(F.col("all_s") - F.col("s"), F.lit(0.0))
+    return at.withColumns({"suffix_n": F.when(sure, n * FOLDS / (FOLDS - 1)).otherwise(n), "suffix_blocked": (s + 1) / (n + 2)}).drop("all_n", "all_s", "n", "s")
+
+
 def filter_urls(pages: DataFrame, id_col: str, url_col: str, rules: Sequence[Rule], train_rows: int = 50_000, trees: int = 20, depth: int = 3, seed: int = 7) -> DataFrame:
     """Add ``host, path, rule, verdict, score`` (chance of block by the trees).
 
     ``train_rows`` bounds the sample of labelled rows that the trees are fitted on,
-    chosen by a hash of the id, so that reruns agree.
+    chosen by a hash of the id, so that reruns agree; both verdicts weigh the same in the
+    fit.  Suffix statistics cover all labelled rows.  Features are computed once and settled.
     """
     made = ["host", "path", "rule", "verdict", "score"]
-    base = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made or c == url_col])
-    rows = with_features(base, url_col)
+    kept = [c for c in pages.columns if c not in made or c == url_col]
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(f"`{url_col}`").alias("_url"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{url_col}`")).alias("_hash"))
+    rows = with_features(base, "_url")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    labelled = rows.where("ruled is not null").withColumn("label", (F.col("ruled") == "block").cast("double"))
-    seen = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumns({"rule": rule, "ruled": verdict, "label": (verdict == "block").cast("double"), "fold": F.pmod(F.xxhash64("_hash", F.lit(seed)), F.lit(FOLDS)).cast("int")}).drop("_url")
+    rows = settle(rows)
+    seen = {r["label"]: r["n"] for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         only = "block" if seen.get(1.0) else "allow"
         rows = rows.withColumn("score", F.lit(float(only == "block")))
     else:
-        rate = min(1.0, train_rows / sum(seen.values()))
-        draw = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{url_col}`")), F.lit(1 << 20)) < int(rate * (1 << 20))
-        sample = labelled.where(draw)
-        # smoothed share of blocked among the training rows of each suffix: at most train_rows suffixes
-        stats = sample.groupBy("suffix").agg(F.count("*").cast("double").alias("suffix_n"), ((F.sum("label") + 1) / (F.count("*") + 2)).alias("suffix_blocked"))
-        fill = {"suffix_n": 0.0, "suffix_blocked": 0.5}
-        assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        train = assemble.transform(sample.join(stats, "suffix", "left").fillna(fill)).select("features", "label")
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=64, stepSize=0.3).fit(train)
-        scored = model.transform(assemble.transform(rows.join(stats, "suffix", "left").fillna(fill)))
+        rows = _with_suffix_statistics(rows, F.col("label").isNotNull())
+        model = fit_trees(rows.where("label is not null"), train_rows, trees, depth, seed)
+        scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows))
         rows = scored.withColumn("score", vector_to_array("probability")[1])
     chosen = F.coalesce("ruled", F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return rows.select(*[F.col(f"`{c}`") for c in base.columns if c not in ("host", "path")], "host", "path", "rule", chosen.alias("verdict"), "score")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in kept if c not in ("host", "path")], "host", "path", "rule", chosen.alias("verdict"), "score")
+
+
+def fit_trees(labelled: DataFrame, train_rows: int, trees: int, depth: int, seed: int) -> GBTClassificationModel:
+    """Trees on FEATURES of a sample of at most about ``train_rows`` rows of ``labelled``, drawn by ``_hash``; the two labels weigh the same."""
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = sum(counts.values())
+    draw = F.pmod(F.col("_hash"), F.lit(1 << 20)) < int(min(1.0, train_rows / max(n, 1)) * (1 << 20))
+    weight = F.when(F.col("label") == 1, n / 2 / counts.get(1.0, n)).otherwise(n / 2 / counts.get(0.0, n))
+    sample = labelled.where(draw).withColumn("weight", weight)
+    train = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample).select("features", "label", "weight")
+    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=64, stepSize=0.3, weightCol="weight").fit(train)
