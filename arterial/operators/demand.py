@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, units
+from . import access
+
+#: Ranges of values in which a rank is sought.
+PARTS = 1024
 
 
 def known_pairs(demand: DataFrame, zones: DataFrame) -> DataFrame:
@@ -107,39 +111,34 @@ def subarea_zones(nodes: DataFrame, demand: DataFrame, ring: list[tuple[float, f
 
 
 def cutoff_value(impacts: DataFrame, value: str, share: float = 0.25, least: int = 100) -> DataFrame:
-    """SRT-02: ``cutoff, n_kept``: the value at rank n - max(share * n, least), descending, the smallest value if that rank is below 1."""
-    ranked = impacts.where(F.col(value) > 0).select(F.col(value).alias("_v"), F.row_number().over(W.orderBy(F.desc(value))).alias("_r"))
-    n = ranked.agg(F.count("*").alias("_n"), F.min("_v").alias("_min"))
-    at = F.floor(F.col("_n") - F.greatest(F.lit(share) * F.col("_n"), F.lit(float(least)))).cast("int")
-    pick = ranked.crossJoin(F.broadcast(n)).agg(F.max(F.when(F.col("_r") == at, F.col("_v"))).alias("_c"), F.max("_min").alias("_min"))
-    cut = pick.select(F.coalesce("_c", "_min").alias("cutoff"))
-    return ranked.crossJoin(F.broadcast(cut)).where("_v >= cutoff").groupBy("cutoff").agg(F.count("*").alias("n_kept"))
+    """SRT-02: ``cutoff, n_kept``: the value at rank n - max(share * n, least), descending, the smallest value if that rank is below 1.
+
+    Values are counted in equal ranges first; only those of the range in which the rank
+    falls are ordered.
+    """
+    v = impacts.where(F.col(value) > 0).select(F.col(value).alias("_v"))
+    stats = v.agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    at = F.floor(F.col("_n") - F.greatest(F.lit(share) * F.col("_n"), F.lit(float(least)))).cast("long")
+    part = F.floor(F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min")) * (PARTS - 1)).cast("int")
+    dealt = v.crossJoin(F.broadcast(stats)).select("_v", "_min", at.alias("_at"), F.coalesce(part, F.lit(0)).alias("_part"))
+    per = dealt.groupBy("_part", "_at", "_min").agg(F.count("*").alias("_c"))
+    down = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, 0)  # PARTS rows at most
+    hit = per.withColumn("_upto", F.sum("_c").over(down)).where("_at > _upto - _c and _at <= _upto").select("_part", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_r"))
+    inside = dealt.join(F.broadcast(hit), "_part").withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(F.desc("_v"))))
+    pick = inside.where("_k = _r").select("_v").unionByName(stats.where(at < 1).select(F.col("_min").alias("_v"))).agg(F.max("_v").alias("cutoff"))
+    return v.crossJoin(F.broadcast(pick)).where("_v >= cutoff").groupBy("cutoff").agg(F.count("*").alias("n_kept"))
 
 
 def nearest(points: DataFrame, seeds: DataFrame, key: str, seed: str) -> DataFrame:
-    """JN-16, DM-08: ``key, seed`` of the nearest seed to each point, ties to the smaller seed.  Seeds are few (about 20) and broadcast."""
-    s = seeds.select(F.col(seed), F.col("x_coord").alias("_x"), F.col("y_coord").alias("_y"))
-    d = geometry.haversine(F.col("x_coord"), F.col("y_coord"), F.col("_x"), F.col("_y"))
-    rows = points.crossJoin(F.broadcast(s)).withColumn("_d", F.round(d, 3))
-    return rows.groupBy(key).agg(F.min(F.struct("_d", seed)).alias("b")).select(key, F.col(f"b.{seed}").alias(seed))
+    """JN-16, DM-08: ``key, seed`` of the nearest seed to each point, ties to the smaller seed.  Seeds are few (about 20): one array that each point searches."""
+    listed = seeds.agg(F.sort_array(F.collect_list(F.struct(F.col(seed).alias("s"), F.col("x_coord").alias("x"), F.col("y_coord").alias("y")))).alias("_seeds"))
+    away = lambda p: F.struct(F.round(geometry.haversine(F.col("x_coord"), F.col("y_coord"), p["x"], p["y"]), 3).alias("d"), p["s"].alias("s"))
+    return points.crossJoin(F.broadcast(listed)).select(key, F.array_min(F.transform("_seeds", away))["s"].alias(seed))
 
 
 def k_nearest(zones: DataFrame, nodes: DataFrame, k: int = 4, metres: float = 2000.0) -> DataFrame:
-    """JN-13, SRT-03: ``zone_id, node_id, rank, metres`` of the k nearest nodes within a distance.
-
-    Points are dealt into cells as wide as the distance and joined with the nine cells
-    around, so that no pair farther than two cells apart is formed.
-    """
-    size = metres / 111_000.0
-    lon = size / 0.5  # wide enough up to 60 degrees of latitude
-    cell = lambda c, s: F.floor(F.col(c) / s).cast("long")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    z = zones.select("zone_id", F.col("x_coord").alias("x1"), F.col("y_coord").alias("y1"), cell("x_coord", lon).alias("cx"), cell("y_coord", size).alias("cy"))
-    n = nodes.select("node_id", F.col("x_coord").alias("x2"), F.col("y_coord").alias("y2"), cell("x_coord", lon).alias("nx"), cell("y_coord", size).alias("ny"), around.alias("o"))
-    n = n.select("node_id", "x2", "y2", (F.col("nx") + F.col("o.i")).alias("cx"), (F.col("ny") + F.col("o.j")).alias("cy"))
-    rows = z.join(n, ["cx", "cy"]).withColumn("metres", geometry.haversine(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).where(F.col("metres") <= metres)
-    best = W.partitionBy("zone_id").orderBy(F.round("metres", 3), "node_id")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("zone_id", "node_id", "rank", "metres")
+    """JN-13, SRT-03: ``zone_id, node_id, rank, metres`` of the k nearest nodes within a distance."""
+    return access.ranked(access.near_pairs(zones, nodes, "zone_id", "node_id", metres), "zone_id", "node_id", k)
 
 
 def sampled_zones(nodes: DataFrame, every: int = 10) -> DataFrame:
@@ -153,3 +152,22 @@ def node_production(nodes: DataFrame, total: float = 5000.0) -> DataFrame:
     """DM-12: an even share of the zone's production for each activity node."""
     n = nodes.groupBy("zone_id").agg(F.count("*").alias("_n"))
     return nodes.join(n, "zone_id").withColumn("production", F.lit(total) / F.col("_n")).drop("_n")
+
+
+def search_origins(demand: DataFrame, info_zones: DataFrame, absorbed: DataFrame, least: float = 0.001) -> DataFrame:
+    """FLT-07: ``zone_id, volume, info`` of the origins worth searching: more than the least demand, or an information zone, and not absorbed in a super zone."""
+    total = demand.groupBy(F.col("o_zone_id").alias("zone_id")).agg(F.sum("volume").alias("volume"))
+    flags = info_zones.select("zone_id").distinct().withColumn("info", F.lit(1))
+    rows = total.join(flags, "zone_id", "full").fillna(0.0, ["volume"]).fillna(0, ["info"])
+    return rows.where((F.col("volume") > least) | (F.col("info") == 1)).join(absorbed.select("zone_id").distinct(), "zone_id", "left_anti")
+
+
+def by_period(demand: DataFrame, periods: DataFrame) -> DataFrame:
+    """JN-09: every demand cell in every period with its share: ``periods`` has ``demand_period, share``, a handful of rows."""
+    return demand.crossJoin(F.broadcast(periods)).withColumn("volume", F.col("volume") * F.col("share")).drop("share")
+
+
+def loading_window(periods: DataFrame, files: DataFrame) -> DataFrame:
+    """AGG-23, FLT-08: ``start_min, end_min, n`` over the periods that some demand file names."""
+    used = periods.join(files.select("demand_period").distinct(), "demand_period", "left_semi")
+    return used.agg(F.min("start_min").alias("start_min"), F.max("end_min").alias("end_min"), F.count("*").alias("n"))

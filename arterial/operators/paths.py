@@ -1,9 +1,9 @@
 """Shortest paths and routes (GR-01, 02, 07, 18, 19, 21, FLT-09, SET-03).
 
-The relational form relaxes all origins at once until nothing improves; ties are
-broken by the smaller predecessor link.  Origins are independent, so the grouped
-form runs Dijkstra per origin inside tasks with the network, whose size is checked,
-broadcast; both give the same labels.
+The relational form relaxes all origins at once until nothing improves; among equal costs the smaller predecessor link
+is taken.  Origins are independent, so the grouped form runs Dijkstra per origin inside
+tasks with the network, whose size is checked, broadcast as arrays; both give the same
+labels.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..session import settle
 
-#: Links up to which the network is broadcast to tasks, some 40 bytes each.
-MAX_BROADCAST_LINKS = 5_000_000
+#: Bytes of a network, 28 for each link, up to which it is broadcast to tasks.
+NETWORK_BYTES = 128 << 20
 
 
 def adjacency(links: DataFrame, agent_types: DataFrame) -> DataFrame:
@@ -56,8 +57,9 @@ def labels(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFram
     for _ in range(edges.select("to_node_id").distinct().count() + 1):
         step = changed.join(edges, changed["node"] == edges["from_node_id"])
         offers = step.groupBy("origin", F.col("to_node_id").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("link_id").alias("pred_link"), F.col("from_node_id").alias("pred_node"))).alias("offer"))
-        old = best.select("origin", "node", F.col("cost").alias("old"))
-        better = offers.join(old, ["origin", "node"], "left").where(F.col("old").isNull() | (F.col("offer.cost") < F.col("old")))
+        old = best.select("origin", "node", F.col("cost").alias("old"), F.col("pred_link").alias("old_link"))
+        cheaper = (F.col("offer.cost") < F.col("old")) | ((F.col("offer.cost") == F.col("old")) & (F.col("offer.pred_link") < F.col("old_link")))
+        better = offers.join(old, ["origin", "node"], "left").where(F.col("old").isNull() | cheaper)
         changed = settle(better.select("origin", "node", "offer.cost", "offer.pred_link", "offer.pred_node"))
         if changed.isEmpty():
             return best
@@ -66,53 +68,89 @@ def labels(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFram
     raise ValueError("labels do not settle: the costs have a negative cycle")
 
 
+class Network:
+    """Links by node they leave, as arrays: what a task needs to search from one origin."""
+
+    def __init__(self, rows: np.ndarray):
+        """``rows``: link, from, to, cost."""
+        rows = rows[np.lexsort((rows[:, 0], rows[:, 1]))]
+        self.nodes = np.unique(rows[:, 1:3].astype(np.int64))
+        self.link = rows[:, 0].astype(np.int64)
+        self.to = np.searchsorted(self.nodes, rows[:, 2].astype(np.int64)).astype(np.int32)
+        self.cost = rows[:, 3]
+        self.first = np.searchsorted(rows[:, 1].astype(np.int64), self.nodes, side="left")
+        self.last = np.searchsorted(rows[:, 1].astype(np.int64), self.nodes, side="right")
+
+    def search(self, origin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(node, cost, pred_link, pred_node) of every node that can be reached; -1 for the origin's predecessor."""
+        n = len(self.nodes)
+        at = int(np.searchsorted(self.nodes, origin))
+        if at >= n or self.nodes[at] != origin:
+            none = np.array([-1])
+            return np.array([origin]), np.array([0.0]), none, none
+        cost, link, before = np.full(n, np.inf), np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        cost[at] = 0.0
+        heap = [(0.0, at)]
+        while heap:
+            d, node = heapq.heappop(heap)
+            if d > cost[node]:
+                continue
+            a, b = self.first[node], self.last[node]
+            for to, w, name in zip(self.to[a:b].tolist(), self.cost[a:b].tolist(), self.link[a:b].tolist()):
+                offer = d + w
+                if offer < cost[to]:
+                    cost[to], link[to], before[to] = offer, name, node
+                    heapq.heappush(heap, (offer, to))
+                elif offer == cost[to] and name < link[to]:
+                    link[to], before[to] = name, node
+        found = np.flatnonzero(cost < np.inf)
+        return self.nodes[found], cost[found], link[found], np.where(before[found] >= 0, self.nodes[before[found]], -1)
+
+
 def labels_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
-    """GR-02, 18 by Dijkstra inside tasks, one origin at a time; beyond MAX_BROADCAST_LINKS links the relational form is used."""
-    if links.count() > MAX_BROADCAST_LINKS:
+    """GR-02, 18 by Dijkstra inside tasks, one origin at a time; beyond NETWORK_BYTES the relational form is used."""
+    if 28 * links.count() > NETWORK_BYTES:
         return labels(links, origins, cost)
-    rows = links.select("link_id", "from_node_id", "to_node_id", cost).toPandas().sort_values("link_id")
-    shared = links.sparkSession.sparkContext.broadcast(rows.to_numpy(dtype=float))
+    rows = links.select("link_id", "from_node_id", "to_node_id", cost).toPandas().to_numpy(dtype=float)
+    shared = links.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out_of: dict[int, list[tuple[int, int, float]]] = {}
-        for link, a, b, w in shared.value:
-            out_of.setdefault(int(a), []).append((int(link), int(b), w))
+        network = Network(shared.value)
         for pdf in batches:
             for origin in pdf["origin"]:
-                best, heap = {origin: (0.0, -1, -1)}, [(0.0, int(origin))]
-                while heap:
-                    d, node = heapq.heappop(heap)
-                    if d > best[node][0]:
-                        continue
-                    for link, to, w in out_of.get(node, ()):
-                        if to not in best or (d + w, link) < best[to][:2]:
-                            better = to not in best or d + w < best[to][0]
-                            best[to] = (d + w, link, node)
-                            if better:
-                                heapq.heappush(heap, (d + w, to))
-                rows = [(origin, k, c, link if link >= 0 else None, p if link >= 0 else None) for k, (c, link, p) in best.items()]
-                yield pd.DataFrame(rows, columns=["origin", "node", "cost", "pred_link", "pred_node"]).astype({"pred_link": "Int32", "pred_node": "Int32"})
+                node, best, link, before = network.search(int(origin))
+                out = pd.DataFrame({"origin": origin, "node": node, "cost": best})
+                for name, values in (("pred_link", link), ("pred_node", before)):
+                    out[name] = pd.array(values, dtype="Int64")
+                    out.loc[link < 0, name] = pd.NA
+                yield out.astype({"pred_link": "Int32", "pred_node": "Int32"})
 
     kind = origins.schema["origin"].dataType.simpleString()
     return origins.select("origin").distinct().mapInPandas(run, f"origin {kind}, node {kind}, cost double, pred_link int, pred_node int")
 
 
 def routes(tree: DataFrame, pairs: DataFrame) -> DataFrame:
-    """GR-07: ``o_zone_id, d_zone_id, links, cost`` of every pair (o, d) that the tree connects, walked back from the destination; a walk with more links than the tree has nodes is an error."""
-    cost = tree.select(F.col("origin").alias("o_zone_id"), F.col("node").alias("d_zone_id"), F.col("cost"))
-    walk = pairs.select("o_zone_id", "d_zone_id").distinct().join(cost, ["o_zone_id", "d_zone_id"])
-    walk = settle(walk.withColumns({"at": F.col("d_zone_id"), "links": F.array().cast("array<int>")}))
-    pred = settle(tree.where("pred_link is not null").select(F.col("origin").alias("o_zone_id"), F.col("node").alias("at"), "pred_link", "pred_node"))
-    done = walk.where("at = o_zone_id")
-    open_ = walk.where("at <> o_zone_id")
-    for _ in range(tree.select("node").distinct().count() + 1):
-        if open_.isEmpty():
-            return done.select("o_zone_id", "d_zone_id", "links", "cost")
-        step = open_.join(pred, ["o_zone_id", "at"]).select("o_zone_id", "d_zone_id", "cost", F.col("pred_node").alias("at"), F.concat(F.array("pred_link"), F.col("links")).alias("links"))
-        step = settle(step)
-        done = done.unionByName(step.where("at = o_zone_id").select(*done.columns))
-        open_ = step.where("at <> o_zone_id")
-    raise ValueError("a walk back does not reach its origin: the tree has a cycle")
+    """GR-05, 07: ``o_zone_id, d_zone_id, links, cost`` of every pair (o, d) that the tree connects.
+
+    Walks are doubled: each node knows the links from some ancestor, at first its
+    predecessor, and takes over what that ancestor knows, so a walk of n links needs about
+    log2(n) joins.  A walk that is still open after as many as the tree's nodes allow means
+    a cycle, an error.
+    """
+    walk = tree.where("pred_link is not null").select(F.col("origin").alias("o"), F.col("node").alias("at"), F.col("pred_node").alias("up"), F.array("pred_link").alias("links"))
+    walk = settle(walk)
+    for _ in range(max(1, walk.select("at").distinct().count()).bit_length() + 1):
+        if walk.where("up <> o").isEmpty():
+            break
+        more = walk.select("o", F.col("at").alias("up"), F.col("up").alias("_up"), F.col("links").alias("_links"))
+        joined = walk.join(more, ["o", "up"], "left")  # an ancestor that is the origin knows no more
+        walk = settle(joined.select("o", "at", F.coalesce("_up", "up").alias("up"), F.when(F.col("_links").isNotNull(), F.concat("_links", "links")).otherwise(F.col("links")).alias("links")))
+    else:
+        raise ValueError("a walk back does not reach its origin: the tree has a cycle")
+    known = walk.select(F.col("o").alias("o_zone_id"), F.col("at").alias("d_zone_id"), "links")
+    own = tree.where("pred_link is null").select(F.col("origin").alias("o_zone_id"), F.col("node").alias("d_zone_id"), F.array().cast("array<int>").alias("links"))
+    cost = tree.select(F.col("origin").alias("o_zone_id"), F.col("node").alias("d_zone_id"), "cost")
+    return pairs.select("o_zone_id", "d_zone_id").distinct().join(cost, ["o_zone_id", "d_zone_id"]).join(known.unionByName(own), ["o_zone_id", "d_zone_id"]).select("o_zone_id", "d_zone_id", "links", "cost")
 
 
 def path_key(links_col: str):
@@ -187,3 +225,31 @@ def stitched(legs: DataFrame, key: str, order: str) -> DataFrame:
     """GR-12: one list of links for each activity chain from the lists of its legs."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("links").alias("l"))))
     return legs.groupBy(key).agg(F.flatten(F.transform(parts, lambda x: x["l"])).alias("links"))
+
+
+def trimmed(paths: DataFrame, sequence: str, kind: str) -> DataFrame:
+    """FN-25: ``sequence`` without its virtual ends: the first and last element of a free path, the last of a fixed route or one from an information origin, none of an activity chain (``kind`` free, fixed, info or activity)."""
+    n = F.size(sequence)
+    start = F.when(F.col(kind) == "free", 2).otherwise(1)
+    length = F.when(F.col(kind) == "free", n - 2).when(F.col(kind).isin("fixed", "info"), n - 1).otherwise(n)
+    return paths.withColumn(sequence, F.slice(sequence, start, F.greatest(length, F.lit(0))))
+
+
+def from_info_zone(paths: DataFrame, info_zones: DataFrame) -> DataFrame:
+    """FN-26: add ``info_origin``: 1 if the origin is an information zone."""
+    flags = info_zones.select(F.col("zone_id").alias("o_zone_id")).distinct().withColumn("info_origin", F.lit(1))
+    return paths.join(flags, "o_zone_id", "left").fillna(0, ["info_origin"])
+
+
+def links_of_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """JN-04: add ``link_id`` by (from_node_id, to_node_id), the smallest of parallel links; rows without a link are left out."""
+    one = links.groupBy("from_node_id", "to_node_id").agg(F.min("link_id").alias("link_id"))
+    return rows.drop("link_id").join(one, ["from_node_id", "to_node_id"])
+
+
+def numbered(paths: DataFrame) -> DataFrame:
+    """WIN-10: ``path_no``: number of a path in its demand cell, from 0, by cost, then path id."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("o_zone_id", "d_zone_id", "agent_type").orderBy("path_cost", "path_id")
+    return paths.withColumn("path_no", F.row_number().over(order) - 1)

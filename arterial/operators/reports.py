@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import units
+from ..session import broadcast_within
 
 
 def od_totals(demand: DataFrame) -> DataFrame:
     """AGG-02, SRC-19: ``level, o_zone_id, d_zone_id, volume`` by cell, by origin and overall, in one pass of grouping sets."""
-    demand.createOrReplaceTempView("_od_totals")
-    return demand.sparkSession.sql("SELECT CASE grouping_id(o_zone_id, d_zone_id) WHEN 0 THEN 'cell' WHEN 1 THEN 'origin' ELSE 'all' END AS level, o_zone_id, d_zone_id, sum(volume) AS volume FROM _od_totals GROUP BY GROUPING SETS ((o_zone_id, d_zone_id), (o_zone_id), ())")
+    o, d = F.col("o_zone_id"), F.col("d_zone_id")
+    sums = demand.groupingSets([[o, d], [o], []], o, d).agg(F.sum("volume").alias("volume"), F.grouping_id().alias("_g"))
+    return sums.select(F.when(F.col("_g") == 0, "cell").when(F.col("_g") == 1, "origin").otherwise("all").alias("level"), "o_zone_id", "d_zone_id", "volume")
 
 
 def network_summary(links: DataFrame) -> DataFrame:
@@ -157,3 +159,53 @@ def deltas(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """WIN-04: change of a value from one iteration to the next, from 0 at first."""
     w = W.partitionBy(key).orderBy(order)
     return series.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0.0)))
+
+
+def reference_error(performance: DataFrame) -> DataFrame:
+    """AGG-13: ``n, mape`` of volume and preload against the reference volumes above 1; ``performance`` has ``volume, preload, ref_link_volume``."""
+    rows = performance.where(F.col("ref_link_volume") > 1)
+    off = F.abs(F.col("volume") + F.col("preload") - F.col("ref_link_volume")) / F.col("ref_link_volume") * 100
+    return rows.agg(F.count("*").alias("n"), F.avg(off).alias("mape"))
+
+
+def vehicle_groups(paths: DataFrame) -> DataFrame:
+    """AGG-15: ``agent_type, vehicles, impacted, diverted, kept, avg_minutes``: vehicles (volumes rounded to the nearest), those whose path is impacted, and of these those that were diverted or not; ``paths`` has ``volume, impacted, diverted, path_cost``."""
+    v = F.floor(F.col("volume") + 0.5).cast("long")
+    hit, gone = F.col("impacted") == 1, F.col("diverted") == 1
+    some = lambda c: F.sum(F.when(c, v).otherwise(F.lit(0)))
+    agg = paths.groupBy("agent_type").agg(F.sum(v).alias("vehicles"), some(hit).alias("impacted"), some(hit & gone).alias("diverted"), some(hit & ~gone).alias("kept"), F.sum(v * F.col("path_cost")).alias("_t"))
+    return agg.withColumn("avg_minutes", F.try_divide("_t", "vehicles")).drop("_t")
+
+
+def virtual_arrivals(visits: DataFrame, offsets: DataFrame) -> DataFrame:
+    """WIN-08: ``link_id, minute, va, cd, queue`` at every minute with a departure or a virtual arrival.
+
+    A vehicle arrives virtually when its free-flow time on the link is over; ``offsets``
+    has ``link_id, offset`` (minutes).  Shifted arrivals and departures are counted in one
+    running sum, so no ranges are joined.
+    """
+    rows = visits.join(broadcast_within(offsets, 16), "link_id")
+    a = rows.select("link_id", (F.col("t_in") + F.col("offset")).alias("minute"), F.lit(1).alias("a"), F.lit(0).alias("d"))
+    d = rows.select("link_id", F.col("t_out").alias("minute"), F.lit(0).alias("a"), F.lit(1).alias("d"))
+    per = a.unionByName(d).groupBy("link_id", "minute").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
+    run = W.partitionBy("link_id").orderBy("minute").rowsBetween(W.unboundedPreceding, 0)
+    out = per.select("link_id", "minute", F.sum("a").over(run).alias("va"), F.sum("d").over(run).alias("cd"))
+    return out.withColumn("queue", F.col("va") - F.col("cd"))
+
+
+def trace(visits: DataFrame, free: DataFrame, order: str = "event_id") -> DataFrame:
+    """WIN-09, SNK-09: ``agent_id, pos, link_id, t_in, elapsed, on_link, wait`` of each link a vehicle visits; ``free`` has ``link_id, fftt``."""
+    w = W.partitionBy("agent_id").orderBy("t_in", order)
+    rows = visits.join(broadcast_within(free, 16), "link_id")
+    at = F.row_number().over(w) - 1
+    begun = F.min("t_in").over(W.partitionBy("agent_id"))
+    on = (F.col("t_out") - F.col("t_in")).cast("double")
+    return rows.select("agent_id", at.alias("pos"), "link_id", "t_in", (F.col("t_in") - begun).alias("elapsed"), on.alias("on_link"), F.greatest(F.lit(0.0), on - F.col("fftt")).alias("wait"))
+
+
+def ranked_by_time(rows: DataFrame, time: str, *ties: str, slot: float = 5.0) -> DataFrame:
+    """SRT-04: add ``rank`` over all rows by time, then ``ties``: rows are ordered within slots, whose sizes are summed before, so no task orders them all."""
+    at = F.floor(F.col(time) / slot)
+    rows = rows.withColumn("_slot", at)
+    before = rows.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return rows.join(broadcast_within(before, 24), "_slot").withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy("_slot").orderBy(time, *ties))).drop("_slot", "_before")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_within, settle
+from . import assign
 from . import paths as P
 
 
@@ -56,7 +60,7 @@ def detours(paths: DataFrame, info_links: DataFrame, second: DataFrame, gain_min
     time; the cheapest unaffected one is spliced in after the information link where it
     saves more than both gains; the volume is split by logit.
     """
-    at = paths.where("impacted = 1").withColumn("path_id", P.path_key("links")).select("*", F.posexplode("links").alias("pos", "link_id")).join(F.broadcast(info_links), "link_id")
+    at = paths.where("impacted = 1").withColumn("path_id", P.path_key("links")).select("*", F.posexplode("links").alias("pos", "link_id")).join(broadcast_within(info_links, 16), "link_id")
     first = at.groupBy("o_zone_id", "d_zone_id", "agent_type", "path_id").agg(F.min(F.struct("pos", "zone_id")).alias("i"))
     s = second.select(F.col("o_zone_id").alias("zone_id"), "d_zone_id", "agent_type", F.col("links").alias("more"), F.col("path_cost").alias("more_cost"), F.col("impacted").alias("more_hit"))
     ref = s.where("more_hit = 1").groupBy("zone_id", "d_zone_id", "agent_type").agg(F.min("more_cost").alias("ref"))
@@ -71,14 +75,56 @@ def detours(paths: DataFrame, info_links: DataFrame, second: DataFrame, gain_min
     return P.merge_paths(kept.unionByName(split), ["o_zone_id", "d_zone_id", "agent_type"])
 
 
-def informed(paths: DataFrame, agent_types: DataFrame) -> DataFrame:
-    """SC-05, 07: paths of agent types with real-time information (``real_time_info`` 1 or 2)."""
-    return paths.join(F.broadcast(agent_types.where("real_time_info > 0").select("agent_type")), "agent_type", "left_semi")
+def informed(paths: DataFrame, agent_types: DataFrame, info_zones: DataFrame) -> DataFrame:
+    """SC-05, 07: add ``informed``: whether the path's drivers choose anew in a scenario.
+
+    Types with ``real_time_info`` 0 never do, those with 1 do, those with 2 (message signs)
+    do where the origin is an information zone.
+    """
+    kinds = agent_types.select("agent_type", "real_time_info")
+    rows = P.from_info_zone(paths.join(broadcast_within(kinds, 40), "agent_type", "left"), info_zones)
+    known = (F.col("real_time_info") == 1) | ((F.col("real_time_info") == 2) & (F.col("info_origin") == 1))
+    return rows.withColumn("informed", F.coalesce(known, F.lit(False))).drop("real_time_info", "info_origin")
+
+
+def reassign(links: DataFrame, paths: DataFrame, agent_types: DataFrame, info_zones: DataFrame, minutes: Callable[[DataFrame], DataFrame], iterations: int = 0) -> tuple[DataFrame, DataFrame]:
+    """SC-04, 07: the scenario's assignment: iterations 0 to ``iterations`` over ``links`` after their changes.
+
+    Each takes travel times at the current volumes, flags links of induced delay, and gives
+    informed drivers 1/(k+1) of their cell's volume on the path that is best at those times,
+    their earlier paths the rest; all others keep theirs.  Returns the paths
+    (``o_zone_id, d_zone_id, agent_type, links, volume``) and the trace (``iteration,
+    total_minutes, n_delayed``).
+    """
+    spark = links.sparkSession
+    cell = ["o_zone_id", "d_zone_id", "agent_type"]
+    told = settle(informed(paths, agent_types, info_zones).select(*cell, "links", "volume", "informed"))
+    fixed, found = told.where("not informed").drop("informed"), told.where("informed").drop("informed")
+    demand = settle(found.groupBy(*cell).agg(F.sum("volume").alias("demand")))
+    origins, pairs = demand.select(F.col("o_zone_id").alias("origin")).distinct(), demand.select("o_zone_id", "d_zone_id").distinct()
+    trace = []
+    for k in range(iterations + 1):
+        timed = settle(induced_delay(minutes(assign.loaded(links, assign.link_volumes(fixed.unionByName(found))))))
+        spent, delayed = timed.agg(F.sum(F.col("minutes") * F.col("volume")), F.count(F.when(F.col("design_flag") == -2, 1))).first()
+        trace.append((k, float(spent or 0.0), int(delayed)))
+        costed = timed.withColumn("cost", F.col("minutes") + F.col("link_id") * F.lit(1e-9))
+        best = P.routes(P.labels_grouped(costed, origins), pairs)
+        new = demand.join(best, ["o_zone_id", "d_zone_id"]).select(*cell, "links", (F.col("demand") / (k + 1)).alias("volume"))
+        kept = found.withColumn("volume", F.col("volume") * (k / (k + 1))).where("volume > 0")
+        found = settle(P.merge_paths(kept.unionByName(new), cell))
+    out = P.merge_paths(fixed.unionByName(found), cell)
+    return out, spark.createDataFrame(trace, "iteration int, total_minutes double, n_delayed int")
+
+
+def scenario_log(links: DataFrame, changes: DataFrame, kind: str = "sa") -> DataFrame:
+    """SNK-18: ``scenario_type, link_id, lanes_before, lanes_after`` of each changed link."""
+    new = changes.groupBy("from_node_id", "to_node_id").agg(F.max("lanes").alias("lanes_after"))
+    return links.join(new, ["from_node_id", "to_node_id"]).select(F.lit(kind).alias("scenario_type"), "link_id", F.col("lanes").alias("lanes_before"), "lanes_after")
 
 
 def incident_capacity(links: DataFrame, incidents: DataFrame, minutes: int) -> DataFrame:
     """SC-08: ``link_id, minute, capacity``: vehicles a minute, cut to the incident's share inside its window; ``incidents`` has ``link_id, start_min, end_min, share``."""
     rows = links.select("link_id", (F.col("lane_capacity") * F.col("lanes") / 60.0).alias("full"), F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))).alias("minute"))
-    cut = F.broadcast(incidents.groupBy("link_id", "start_min", "end_min").agg(F.min("share").alias("share")))
+    cut = broadcast_within(incidents.groupBy("link_id", "start_min", "end_min").agg(F.min("share").alias("share")), 28)
     hit = rows.join(cut, "link_id", "left").withColumn("_s", F.when((F.col("minute") >= F.col("start_min")) & (F.col("minute") < F.col("end_min")), F.col("share")).otherwise(1.0))
     return hit.groupBy("link_id", "minute").agg((F.first("full") * F.min("_s")).alias("capacity"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, geometry, units, vdf
 from ..operators import assign, correction, demand, paths, queues, reports, scenario
+from ..session import broadcast_within
 from ..streaming import slots
 from . import oracle, star
 
@@ -323,7 +324,7 @@ def mile_paths(spark, sf) -> DataFrame:
     net = star.costed_links(spark, sf).withColumn("mile", units.miles(C("length_m")))
     rows = free_paths(spark, sf)
     each = rows.select("o_zone_id", "d_zone_id", "links").dropDuplicates(["o_zone_id", "d_zone_id"])
-    miles = each.select("o_zone_id", "d_zone_id", F.explode("links").alias("link_id")).join(F.broadcast(net.select("link_id", "mile")), "link_id").groupBy("o_zone_id", "d_zone_id").agg(F.sum("mile").alias("path_miles"))
+    miles = each.select("o_zone_id", "d_zone_id", F.explode("links").alias("link_id")).join(broadcast_within(net.select("link_id", "mile"), 16), "link_id").groupBy("o_zone_id", "d_zone_id").agg(F.sum("mile").alias("path_miles"))
     return rows.join(miles, ["o_zone_id", "d_zone_id"])
 
 
@@ -493,8 +494,7 @@ def gr_backtrace(spark, sf):
     """GR-07, SET-03."""
     net, n = star.costed_links(spark, sf), star.nodes(spark, sf)
     tree = paths.labels_grouped(net, n.select(C("node_id").alias("origin")))
-    z = n.select("zone_id")
-    pairs = z.select(C("zone_id").alias("o_zone_id")).crossJoin(z.select(C("zone_id").alias("d_zone_id"))).where("o_zone_id <> d_zone_id")
+    pairs = tree.where("origin <> node").select(C("origin").alias("o_zone_id"), C("node").alias("d_zone_id"))
     return paths.routes(tree, pairs).select("o_zone_id", "d_zone_id", F.array_join("links", ";").alias("links"), r6("cost").alias("cost"))
 
 
@@ -620,7 +620,8 @@ LEFT JOIN recurring.walk r ON r.o = l.o AND r.link_id = b.link_id WHERE r.cost I
 def gr_turns(spark, sf):
     """GR-03, SRC-29: turns whose links' numbers sum to a multiple of nine are prohibited."""
     net = star.costed_links(spark, sf)
-    ids = net.select(C("link_id").alias("ib_link_id")).crossJoin(net.select(C("link_id").alias("ob_link_id"))).where("(ib_link_id + ob_link_id) % 9 = 0")
+    met = net.select(C("link_id").alias("ib_link_id"), C("to_node_id").alias("via")).join(net.select(C("link_id").alias("ob_link_id"), C("from_node_id").alias("via")), "via")
+    ids = met.where("(ib_link_id + ob_link_id) % 9 = 0").select("ib_link_id", "ob_link_id")
     return paths.labels_with_turns(net, ids, star.nodes(spark, sf).select(C("node_id").alias("origin"))).withColumn("cost", r6("cost"))
 
 

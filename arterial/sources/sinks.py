@@ -83,3 +83,57 @@ def background_volume(paths: DataFrame, least_volume: float) -> DataFrame:
 def summary(rows: list[tuple[str, int, str, float]], df: DataFrame) -> DataFrame:
     """SNK-15: a log of (stage, iteration, name, value)."""
     return df.sparkSession.createDataFrame(rows, "stage string, iteration int, name string, value double")
+
+
+def model_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """SNK-12: physical nodes with their number of outgoing links."""
+    out = links.groupBy(F.col("from_node_id").alias("node_id")).agg(F.count("*").alias("n_out"))
+    rows = nodes.where("node_id >= 0").join(out, "node_id", "left").fillna(0, ["n_out"])
+    return rows.select("node_id", "zone_id", "n_out", "x_coord", "y_coord")
+
+
+def model_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """SNK-12: links with the line between their nodes as text, six digits a coordinate."""
+    end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_node_id"), F.format_string("%.6f %.6f", "x_coord", "y_coord").alias(f"_{side}"))
+    rows = links.join(end("from"), "from_node_id").join(end("to"), "to_node_id")
+    return rows.withColumn("geometry", F.concat(F.lit("LINESTRING ("), "_from", F.lit(","), "_to", F.lit(")"))).drop("_from", "_to")
+
+
+def tree_rows(tree: DataFrame) -> DataFrame:
+    """SNK-13: ``origin, node, pred_node, pred_link, cost`` of every label; the origin has no predecessor."""
+    return tree.select("origin", "node", F.coalesce("pred_node", F.lit(-1)).alias("pred_node"), F.coalesce("pred_link", F.lit(-1)).alias("pred_link"), "cost")
+
+
+def subarea_rows(zones: DataFrame) -> DataFrame:
+    """SNK-17: zones that lie in the subarea or whose trips touch it, with the reason: ``zones`` has ``zone_id, inside, impact``."""
+    rows = zones.where(F.col("inside") | (F.col("impact") > 0))
+    return rows.select("zone_id", F.when(F.col("inside"), "inside").otherwise("related").alias("relation"), "impact")
+
+
+def agent_summary(visits: DataFrame) -> DataFrame:
+    """SNK-10: per vehicle: links visited, minutes from first entry to last exit."""
+    return visits.groupBy("agent_id").agg(F.count("*").alias("n_links"), (F.max("t_out") - F.min("t_in")).alias("minutes"))
+
+
+#: SNK-11: the layout of a trajectory record: id, origin, destination, number of links, then as many link ids and entry minutes; little-endian.
+TRAJECTORY_HEAD = "<qiii"
+
+
+def trajectory_records(visits: DataFrame) -> DataFrame:
+    """SNK-11: ``agent_id, record``: each vehicle's trajectory as one binary record, packed in batches by a few struct calls."""
+    import struct
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    steps = F.array_sort(F.collect_list(F.struct("t_in", "link_id")))
+    rows = visits.groupBy("agent_id").agg(steps.alias("s")).select("agent_id", F.transform("s", lambda x: x["link_id"].cast("int")).alias("links"), F.transform("s", lambda x: x["t_in"].cast("float")).alias("times"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for agent, links, times in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append(struct.pack(f"{TRAJECTORY_HEAD}{len(links)}i{len(times)}f", agent, links[0], links[-1], len(links), *links, *times))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["agent_id", "record"])
+
+    return rows.mapInArrow(run, "agent_id long, record binary")

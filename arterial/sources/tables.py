@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import clock, geometry, units, vdf
+from ..session import broadcast_within
 
 _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
@@ -83,12 +84,17 @@ def read_sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 @dataclass
 class Settings:
-    """SRC-04..10, 26: run parameters with their defaults, and the small tables of the file."""
+    """SRC-04, 10, 26: run parameters with their defaults, and the small tables of the file."""
 
     column_generation: int = 20
     column_updates: int = 0
     sensitivity: int = 0
     simulation: int = 0
+    path_output: int = 1
+    least_path_volume: float = 0.001
+    trajectory_every: int = 1
+    trace_output: int = 0
+    info_update_min: int = 5
     tables: dict[str, DataFrame] = dc_field(default_factory=dict)
 
     @classmethod
@@ -97,10 +103,15 @@ class Settings:
         if path is None:
             return cls()
         tables = read_sections(spark, path)
-        found = tables["assignment"].first() if "assignment" in tables and not tables["assignment"].isEmpty() else None
-        row = found.asDict() if found else {}
-        get = lambda k, d: int(float(row[k])) if row.get(k, "").replace(".", "", 1).isdigit() else d
-        return cls(get("column_generation_iterations", 20), get("column_updating_iterations", 0), get("sensitivity_analysis_iterations", 0), get("simulation_iterations", 0), tables)
+        row: dict[str, str] = {}
+        for section in ("assignment", "output_file_configuration", "real_time_info"):
+            found = tables[section].first() if section in tables else None
+            row |= found.asDict() if found else {}
+        get = lambda k, d: type(d)(float(row[k])) if (row.get(k) or "").replace(".", "", 1).isdigit() else d
+        return cls(
+            get("column_generation_iterations", 20), get("column_updating_iterations", 0), get("sensitivity_analysis_iterations", 0), get("simulation_iterations", 0),
+            get("path_output", 1), get("major_path_volume_threshold", 0.001), get("trajectory_sampling_rate", 1), get("trace_output", 0), get("info_updating_freq_in_min", 5), tables,
+        )
 
 
 def demand_periods(table: DataFrame) -> DataFrame:
@@ -199,7 +210,7 @@ def with_queue_parameters(links_: DataFrame, by_link: DataFrame, by_code: DataFr
     own = by_link.select("from_node_id", "to_node_id", F.struct(*names).alias("_own"))
     code = by_code.select("vdf_code", F.struct(*names).alias("_code"))
     any_ = by_code.where("vdf_code = 'all'").select(F.struct(*names).alias("_any"))
-    rows = links_.join(F.broadcast(own), ["from_node_id", "to_node_id"], "left").join(F.broadcast(code), "vdf_code", "left").join(F.broadcast(any_), F.lit(True), "left")
+    rows = links_.join(broadcast_within(own, 80), ["from_node_id", "to_node_id"], "left").join(broadcast_within(code, 100), "vdf_code", "left").join(F.broadcast(any_), F.lit(True), "left")  # one row at most: by_code has one for each code
     best = F.coalesce("_own", "_code", "_any")
     default = {**vdf.DEFAULTS, "qdf": 1.0 / hours}
     return rows.withColumns({n: F.coalesce(best[n], F.lit(default[n])) for n in names}).drop("_own", "_code", "_any")
@@ -273,3 +284,50 @@ def movements(df: DataFrame, least_penalty: float = 99.0) -> DataFrame:
 def agents(df: DataFrame) -> DataFrame:
     """SRC-27: agents of the microscopic model."""
     return df.select(field(df, "agent_id", "long", required=True).alias("agent_id"), field(df, "o_node_id", "int", required=True).alias("o_node_id"), field(df, "d_node_id", "int", required=True).alias("d_node_id"), field(df, "departure_time_in_min", default=0.0).alias("depart_min"), field(df, "PCE", default=1.0).alias("pce"), field(df, "path_fixed_flag", "int", 0).alias("path_fixed_flag"), clock.id_list(field(df, "path_node_sequence", "string", "")).alias("nodes"))
+
+
+def taz(df: DataFrame) -> DataFrame:
+    """SRC-24: planning areas ``zone_id, x_coord, y_coord``; without coordinates, the mean of the geometry's points."""
+    rows = df.select(field(df, "zone_id", "int", required=True).alias("zone_id"), field(df, "x_coord").alias("_x"), field(df, "y_coord").alias("_y"), geometry.points_of(field(df, "geometry", "string", "")).alias("_p"))
+    mean = lambda c: F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p[c]) / F.nullif(F.size("_p"), F.lit(0))
+    return rows.where("zone_id is not null").select("zone_id", F.coalesce("_x", mean("x")).alias("x_coord"), F.coalesce("_y", mean("y")).alias("y_coord"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """SRC-25: whether there is a file, by the file system that Spark reads it with."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def demand_formats(files: DataFrame) -> list[tuple[str, str, str, str, float]]:
+    """SRC-09: (file, format, agent type, period, scale) of each row of the demand file list, in order; the format is the kind that its text names."""
+    rows = files.select(field(files, "file_name", "string", "").alias("f"), F.lower(field(files, "format_type", "string", "column")).alias("t"), field(files, "agent_type", "string", "p").alias("a"), field(files, "demand_period", "string", "am").alias("p"), field(files, "scale_factor", default=1.0).alias("s"))
+    kind = lambda t: next((k for k in ("column", "path", "activity_plan", "matrix") if k in t), "column")
+    return [(r["f"], kind(r["t"]), r["a"], r["p"], r["s"]) for r in rows.collect() if r["f"]]
+
+
+def demand(spark: SparkSession, folder: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC-09: the demand of all listed files that exist: cells (``o_zone_id, d_zone_id, agent_type, demand_period, volume``), and fixed paths (with ``path_id, nodes``)."""
+    cells = spark.createDataFrame([], "o_zone_id int, d_zone_id int, agent_type string, demand_period string, volume double")
+    fixed = spark.createDataFrame([], "path_id string, o_zone_id int, d_zone_id int, agent_type string, demand_period string, volume double, nodes array<int>")
+    for name, kind, agent, period, scale in demand_formats(files):
+        path = f"{folder}/{name}"
+        if not exists(spark, path):
+            continue
+        df = read_csv(spark, path)
+        if kind == "path":
+            fixed = fixed.unionByName(demand_paths(df, agent).withColumn("demand_period", F.lit(period)))
+            continue
+        rows = demand_matrix(df, agent, scale) if kind == "matrix" else demand_activities(df).drop("agent_id", "leg") if kind == "activity_plan" else demand_column(df, agent, scale)
+        cells = cells.unionByName(rows.withColumn("demand_period", F.lit(period)))
+    return cells, fixed
+
+
+def probe(spark: SparkSession, folder: str) -> dict[str, int]:
+    """SRC-25: what a folder offers: rows (1 if any) by table, and whether the nodes name zones."""
+    out = {}
+    for name in ("settings", "node", "link", "zone", "TAZ", "measurement", "supply_side_scenario", "subarea"):
+        path = f"{folder}/{name}.csv"
+        out[name] = int(exists(spark, path) and (name == "settings" or not read_csv(spark, path).isEmpty()))
+    out["zones_in_nodes"] = int(bool(out["node"]) and not nodes(read_csv(spark, f"{folder}/node.csv")).where("zone_id > 0").isEmpty())
+    return out
