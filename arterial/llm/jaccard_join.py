@@ -10,9 +10,9 @@ is counted separately, and the counts are summed per pair and tested exactly.
 
 Equal sets are one class and only its smallest id makes keys.  Groups of candidates
 are not expanded into pairs.  Each member is first tested against the group's smallest
-id and links are closed into components.  While members in different components are
-many, each open group takes a new centre and its members are tested against that.  The
-members that are left are compared inside tasks, large groups in blocks, by histograms
+id and links are closed into components.  Large groups whose members lie in different
+components take new centres, and their members are tested against these, while that
+brings components together.  The members that are left are compared inside tasks, large groups in blocks, by histograms
 of their n-grams over the global order: the difference of two histograms is never more
 than that of the sets, so a pair that it rules out cannot be similar, and only the
 pairs that it leaves are returned and tested.  Keys that a sample shows to be frequent
@@ -46,8 +46,10 @@ from .textkernels import broadcast_within, mapped, mix, settle, shingle_sets
 COARSE = 4
 #: Keys held by this many of about SAMPLE documents are salted over SALTS parts.
 FREQUENT, SAMPLE, SALTS = 10, 2000, 64
-#: Pairs across components, summed over groups, up to which blocks compare them without a further centre.
-FEW_PAIRS = 2_000_000
+#: Members up to which an open group is compared in blocks at once; larger ones take further centres while that helps.
+LARGE = 256
+#: Keys or n-grams after which a task hands on what it has.
+HELD = 1 << 16
 #: Members of a block of a group that is compared inside a task.
 BLOCK = 256
 #: Least and most cells of a set's histogram; between them it has two to four times as many cells as n-grams, half a byte each.
@@ -141,7 +143,7 @@ def _keys(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 out.append(fragment_keys(grams, percent))
                 who.append(row)
                 held += len(out[-1])
-                if held > 1 << 18:
+                if held > HELD:
                     yield pack(ids, out, who)
                     out, who, held = [], [], 0
             if held:
@@ -167,7 +169,7 @@ def _segments(docs: DataFrame, k: int) -> DataFrame:
                 who.append(row)
                 parts += np.split(grams.view(np.int64), np.searchsorted(grams, edges_at))
                 held += len(grams)
-                if held > 1 << 18:
+                if held > HELD:
                     yield pack(batch, who, parts)
                     who, parts, held = [], [], 0
             if who:
@@ -300,11 +302,11 @@ def _groups(texts: DataFrame, n_docs: int, k: int, percent: int) -> DataFrame:
 
 
 def _open(groups: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
-    """(key, id, low, comp, m) of the groups whose members lie in different components, and the number of pairs across components."""
+    """(key, id, low, comp, m) of the groups whose members lie in different components, and the number of pairs across components in the large ones."""
     named = groups.join(broadcast_within(found, 16), "id", "left").select("key", "id", "low", F.coalesce("component", "id").alias("comp"))
     parts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sums = settle(parts.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("comps")).where("comps > 1 and m > 2"))
-    pairs = sums.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+    pairs = sums.where(F.col("m") > LARGE).agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
     return settle(named.join(broadcast_within(sums.select("key", "m"), 24), "key")), int(pairs)
 
 
@@ -327,10 +329,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = connected(links, "x", "y")
     open_groups, pairs = _open(groups, found)
     turn = 0
-    while pairs > FEW_PAIRS:
+    while pairs > 0:
         # a centre drawn among the members lies in a large component more often than not
-        centre = open_groups.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("c"))
-        drawn = open_groups.join(broadcast_within(settle(centre), 40), "key").where("comp <> c.comp and id <> low and c.id <> low")
+        large = open_groups.where(F.col("m") > LARGE)
+        centre = large.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "comp")).alias("c"))
+        drawn = large.join(broadcast_within(settle(centre), 40), "key").where("comp <> c.comp and id <> low and c.id <> low")
         stars = drawn.select(F.least("id", "c.id").alias("x"), F.greatest("id", "c.id").alias("y")).distinct()
         links = settle(links.unionByName(_linked(stars, sets, members, texts, k, percent)))
         found = connected(links, "x", "y")

@@ -8,15 +8,16 @@ slices of about ``SLICE_BYTES`` to bound memory; one document is never cut.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+from ..session import broadcast_within, settle, shared_folder  # noqa: F401
+
+SLICE_BYTES = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -111,7 +112,7 @@ def runs(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 
 
 #: Bytes of the record batches that Spark hands to Python, so that long texts and wide rows cost an executor no more than short ones.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -124,42 +125,6 @@ def mapped(rows: DataFrame, run: Callable, schema) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the context's checkpoint folder, else that of the session's ``spark.checkpoint.dir``.
-
-    Where neither is set, a local session (tests) makes its own; on a cluster there is no
-    place then that outlives an executor, and an error says so.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and re.match(r"local(\[.*)?$", context.master):
-            folder = tempfile.mkdtemp(prefix="spark-checkpoints-")
-        if not folder:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-#: Bytes up to which a side of a join is broadcast.
-BROADCAST_BYTES = 32 << 20
-
-
-def broadcast_within(df: DataFrame, row_bytes: int, more: Column | None = None, limit: int | None = None) -> DataFrame:
-    """``df``, marked for broadcast if it has at most ``limit`` bytes: ``row_bytes`` a row and ``more``, a column of bytes; beyond, Spark joins it its own way.
-
-    ``df`` is read once to size it, so it should be settled or cheap.
-    """
-    n, extra = df.agg(F.count("*"), F.sum(more) if more is not None else F.lit(0)).first()
-    return F.broadcast(df) if n * row_bytes + (extra or 0) <= (BROADCAST_BYTES if limit is None else limit) else df
-
-
 def held_out(id_col: str):
     """True for rows whose crc32 of the id as text leaves 2 modulo 4; null for a null id."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2

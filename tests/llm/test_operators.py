@@ -9,6 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from arterial import session
 from arterial.llm import bpe, components, imatch, jaccard_join, langid, lengths, mixing, pii, queries, textkernels, tiff, toxicity, url_filter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -234,11 +235,11 @@ def test_redaction_replaces_what_extract_finds(spark):
     red = {r["doc_id"]: r["text"] for r in pii.redact(docs, "doc_id", "text").collect()}
     assert red == {i: replaced(t, spans.get(i, [])) for i, t in enumerate(texts)}
     assert red[80] == texts[80] and red[103] == "mail: <EMAIL> ok"
-    old, textkernels.BROADCAST_BYTES = textkernels.BROADCAST_BYTES, -1  # the way without a broadcast gives the same
+    old, session.BROADCAST_BYTES = session.BROADCAST_BYTES, -1  # the way without a broadcast gives the same
     try:
         assert {r["doc_id"]: r["text"] for r in pii.redact(docs, "doc_id", "text").collect()} == red
     finally:
-        textkernels.BROADCAST_BYTES = old
+        session.BROADCAST_BYTES = old
 
 
 def test_spelt_and_long_forms_are_candidates(spark):
@@ -422,13 +423,13 @@ def test_more_centres_and_no_broadcast_change_nothing(spark):
     rng = random.Random(10)
     texts = [*near_copies(rng, 70), *["same words in every one of these"] * 30, None, ""]
     rng.shuffle(texts)
-    old = jaccard_join.FEW_PAIRS, textkernels.BROADCAST_BYTES, jaccard_join.FREQUENT
+    old = jaccard_join.LARGE, session.BROADCAST_BYTES, jaccard_join.FREQUENT
     try:
-        for jaccard_join.FEW_PAIRS, textkernels.BROADCAST_BYTES, jaccard_join.FREQUENT in ((0, old[1], 2), (10, -1, 10**9)):
+        for jaccard_join.LARGE, session.BROADCAST_BYTES, jaccard_join.FREQUENT in ((0, old[1], 2), (10, -1, 10**9)):
             got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similarity_components(docs_of(spark, texts), "doc_id", "text").collect()}
             assert got == brute_components(texts, 4, 85)
     finally:
-        jaccard_join.FEW_PAIRS, textkernels.BROADCAST_BYTES, jaccard_join.FREQUENT = old
+        jaccard_join.LARGE, session.BROADCAST_BYTES, jaccard_join.FREQUENT = old
 
 
 def test_joins_of_odd_tables(spark):
