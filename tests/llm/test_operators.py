@@ -53,6 +53,37 @@ def test_url_trees_generalise(spark):
     assert sum(right) > 380 and any(r["rule"] is None for r in got)
 
 
+def test_url_features_are_plain_counts(spark):
+    from math import log2
+
+    urls = ["http://a.b.co.uk/x/y/12?q=1&r=%20#z", "HTTPS://n.net", "", None, "http://x.org/" + "é" * 3 + "日本", "http://y.org/" + "ab1/" * 60_000]
+    got = {r["i"]: r for r in url_filter.with_features(spark.createDataFrame(list(enumerate(urls)), "i int, url string"), "url").collect()}
+    for i, u in enumerate(urls):
+        u = u or ""
+        r, n = got[i], max(len(u), 1)
+        counts = {c: u.count(c) for c in set(u)}
+        assert r["entropy"] == pytest.approx(-sum(c / n * log2(c / n) for c in counts.values()), abs=1e-9)
+        assert r["n_url"] == len(u) and r["digits"] == pytest.approx(sum(c in "0123456789" for c in u) / n) and r["depth"] == r["path"].count("/")
+    assert got[0]["suffix"] == "co.uk" and got[0]["params"] == 2
+
+
+def test_suffix_statistics_leave_out_the_own_fold(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a.x", "b.x", "c.x"]), rng.randrange(5), rng.choice([0.0, 1.0, None])) for i in range(200)]
+    df = spark.createDataFrame(rows, "i int, suffix string, fold int, label double")
+    for r in url_filter._with_suffix_statistics(df, F.col("label").isNotNull()).collect():
+        _, suffix, fold, label = rows[r["i"]]
+        seen = [x[3] for x in rows if x[3] is not None and x[1] == suffix and (label is None or x[2] != fold)]
+        assert r["suffix_n"] == pytest.approx(len(seen) * (1 if label is None else 1.25)) and r["suffix_blocked"] == pytest.approx((sum(seen) + 1) / (len(seen) + 2))
+
+
+def test_url_repeated_and_clashing_rows(spark):
+    rows = [(1, "http://a.com/", 7.0, "x"), (1, "http://a.com/", 7.0, "x"), (None, None, 1.0, "y"), (2, "http://net/es/", 2.0, "z")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, score double, suffix string"), "page_id", "url", queries.URL_RULES).collect()
+    assert sorted((r["page_id"] or 0, r["verdict"], r["suffix"]) for r in got if r["page_id"]) == [(1, "allow", "x"), (1, "allow", "x"), (2, "block", "z")] and len(got) == 4
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_url_empty_table(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"), "page_id", "url", queries.URL_RULES).count() == 0
 
@@ -294,6 +325,73 @@ def test_fingerprints(spark):
     assert again == got and more == {r[0] for r in lexicon.collect()}
 
 
+def test_both_ways_of_the_query_have_the_same_columns(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["la", "le", "lo", "mi", "ma"]) + str(rng.randrange(40)) for _ in range(30)) for _ in range(40)] + [None, "", "unseen"]
+    rows = [(i if i % 7 else None, t, "x") for i, t in enumerate(texts)] + [(5, "a repeated id", "x"), (5, texts[5], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, bucket string").write.parquet(str(tmp_path / "documents.parquet"))
+    old, got = imatch.MAX_BROADCAST_TERMS, []
+    try:
+        for imatch.MAX_BROADCAST_TERMS in (old, 0):
+            df = queries.op3_imatch(spark, str(tmp_path))
+            got.append((df.columns, sorted(map(str, df.collect()))))
+    finally:
+        imatch.MAX_BROADCAST_TERMS = old
+    assert got[0] == got[1] and len(got[0][1]) == len(rows)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert queries.op3_imatch(spark, str(tmp_path / "none")).count() == 0
+
+
+def plain_fingerprint(text, lexicon):
+    """Subsets by loops over single terms: each term's 64-bit hash, salted, decides."""
+    own = sorted(set((text or "").lower().split()))
+    own = [t for t in own if t in lexicon] or own
+    out = []
+    for s in range(imatch.SUBSETS):
+        kept = b""
+        for t in own:
+            h = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+            x = (h ^ (0x9E3779B97F4A7C15 * (s + 1) % 2**64)) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ (x >> 32)) * 0x94D049BB133111EB % 2**64
+            if x >> (63 - s // imatch.EACH) == 0:
+                kept += h.to_bytes(8, "little")
+        out.append(hashlib.blake2b(kept, digest_size=2).hexdigest() if kept else "----")
+    return "".join(out)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    best = 0.0
+    for d in range(imatch.DENSITIES):
+        pairs = [(a[i : i + 4], b[i : i + 4]) for i in range(d * 20, d * 20 + 20, 4)]
+        used = [p for p in pairs if p != ("----", "----")]
+        if len(used) >= 3:
+            best = max(best, sum(x == y for x, y in used) / len(used))
+    return best
+
+
+def test_imatch_query_is_the_plain_one(spark, tmp_path):
+    rng = random.Random(21)
+    texts = {i * 3: " ".join(rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.randrange(1, 80))) for i in range(60)}
+    texts |= {500: "", 501: "zz yy", 502: texts[0]}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    n = len(texts)
+    counts = {}
+    for t in texts.values():
+        for w in set(t.lower().split()):
+            counts[w] = counts.get(w, 0) + 1
+    lexicon = {w for w, c in counts.items() if max(0.002 * n, 2) <= c <= 0.2 * n}
+    order = sorted(texts)
+    for r in queries.op3_imatch(spark, str(tmp_path)).collect():
+        i = r["doc_id"]
+        after = order[(order.index(i) + 1) % n]
+        cut = len(texts[i]) // 4
+        own, edited, following = (plain_fingerprint(t, lexicon) for t in (texts[i], texts[i][: len(texts[i]) - cut] + texts[after][:cut], texts[after]))
+        assert r["fingerprint"] == own and r["edited_fingerprint"] == edited
+        assert r["near_edited"] == pytest.approx(plain_likeness(own, edited)) and r["near_next"] == pytest.approx(plain_likeness(own, following))
+
+
 def test_next_document_in_buckets(spark, tmp_path):
     rng = random.Random(4)
     ids = rng.sample(range(100_000), 57)
@@ -327,9 +425,56 @@ def test_histogram(spark):
     assert lengths.histogram(df.limit(0), "n").count() == 0
 
 
+def test_token_histogram_of_the_table_and_of_odd_texts(spark, sf, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    size = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
+    lens = [size(r[0]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    got = {r["length"]: (r["n_docs"], r["tokens_total"]) for r in queries.op4_token_histogram(spark, sf).collect()}
+    assert got == {n: (lens.count(n), sum(lens)) for n in set(lens)}
+    odd = [None, "", "<|endoftext|>", " " * 30_000, "x" + "\n" * 25_000 + "  y", "\u3000" * 10_050 + "z", "a\x1c" * 9000, "\t" * 12_000 + " " * 12_000, "same", "same"]
+    df = spark.createDataFrame([(x, i, 5) for i, x in enumerate(odd)], "text string, i int, n_tokens int")
+    counts = lengths.token_counts(df, "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert {r["i"]: r["n_tokens"] for r in counts.collect()} == {i: size(x) for i, x in enumerate(odd)}
+    assert lengths.token_counts(df.limit(0), "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
+
+
+def test_millions_of_blanks_are_counted():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        encoding = lengths._encoding(f.read(), public_tokenizers.PATTERN)
+    assert lengths.count_tokens(encoding, "a" + " " * 5_000_000 + "b") == 5_000_001
+
+
 # 5
 
 
+def plain_bag(text):
+    """Bucket counts of a text as the operator has them, through its own kernel for one text alone."""
+    import numpy as np
+
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    return toxicity.subwords(raw, np.array([0, len(raw)]))[1]
+
+
+def test_toxicity_scores_are_means_over_the_bag(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    table = rng.normal(size=1 << toxicity.BITS).astype(np.float32)
+    texts = ["", None, "one", "one two three", "Ünï çödé wörds", "x" * 100_000, "word " * 20_000]
+    df = spark.createDataFrame([(i, t, 9.0) for i, t in enumerate(texts)], "doc_id long, text string, score double")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df.unionByName(df), "text", (table, 0.25)).collect()}
+    for i, t in enumerate(texts):
+        bag = plain_bag(t or "") if t else []
+        mean = float(np.mean(table[bag])) if len(bag) else 0.0
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(0.25 + mean))), abs=1e-5)
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     clean = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(200)]
@@ -497,6 +642,13 @@ def test_mixing_odd_tables(spark):
     assert t.select(mixing.words(F.col("t"))).first()[0] == 4
 
 
+def test_mixing_ties_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 1.0, 5, 6)] * 4 + [(2, "c", "s", 1.0, 5, 6)], "doc_id long, text string, source string, q double, taken int, k int")
+    got = mixing.mix(df, "doc_id", mixing.words(F.col("text")), "source", F.col("q")).collect()
+    assert len(got) == 5 and all(r["source_size"] == 9 and r["target"] == 13.5 and r["taken"] % r["size"] == 0 for r in got)
+    assert abs(sum(r["taken"] for r in got) - 13.5) <= 2
+
+
 # 8
 
 
@@ -518,6 +670,43 @@ def test_tiff_pages_and_bad_files(spark):
     assert {r["doc_id"] for r in pages if r["error"]} == {2, 5}
 
 
+def by_hand(order, width, height, samples, planar, data, counts, compression=1, bits=8):
+    """A TIFF of one page, written field by field."""
+    import struct
+
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [bits] * samples), (259, 3, [compression]), (273, 4, None), (277, 3, [samples]), (278, 4, [height]), (279, 4, counts), (284, 3, [planar])]
+    extra, at, body = b"", 8 + len(data), b""
+    offsets = [8 + sum(counts[:i]) for i in range(len(counts))]
+    after = at + 2 + 12 * len(tags) + 4
+    for tag, kind, values in tags:
+        values = offsets if values is None else values
+        raw = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(raw) > 4:
+            raw, extra = struct.pack(order + "I", after + len(extra)), extra + raw
+        body += struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+    return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, at) + data + struct.pack(order + "H", len(tags)) + body + b"\0" * 4 + extra
+
+
+def test_tiff_planes_and_impossible_sizes():
+    rng = random.Random(5)
+    planes = [bytes(rng.randrange(256) for _ in range(35)) for _ in range(3)]
+    want = bytes(b for px in zip(*planes) for b in px)
+    for order in "<>":
+        assert next(tiff.read(by_hand(order, 7, 5, 3, 2, b"".join(planes), [35] * 3))).pixels == want
+        assert next(tiff.read(by_hand(order, 7, 5, 3, 1, want, [105]))).pixels == want
+        for width in (70_000, 2**32 - 1):
+            with pytest.raises(ValueError):
+                list(tiff.read(by_hand(order, width, 70_000, 3, 1, want, [105])))
+
+
+def test_tiff_digests_are_of_the_pages_read(spark):
+    texts = ["x" * 200_000, "", None, "y" * 10, "y" * 10] + ["z%d" % i for i in range(2500)]
+    df = spark.createDataFrame([(i // 2, t, "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, page string, n_bytes int")
+    got = tiff.digests(tiff.store_texts(df, "text")).collect()
+    assert sorted(r["payload_sha256"] for r in got) == sorted(hashlib.sha256(tiff.payload_of(t)).hexdigest() for t in texts)
+    assert tiff.digests(tiff.store_texts(df.limit(0), "text")).count() == 0
+
+
 def test_tiff_query(spark):
     texts = ["", None, "x" * 64, "x" * 65, "héllo", "héllo"]
     got = {r["doc_id"]: r for r in tiff.digests(tiff.store_texts(docs_of(spark, texts).select("doc_id", "text"), "text")).collect()}
@@ -547,6 +736,15 @@ def test_languages(spark):
     assert langid.fit_profiles(df.limit(0), "text", "lang", F.lit(True)) == {}
 
 
+def test_ties_go_to_the_first_language_and_tables_may_be_empty(spark):
+    same = {"bb": [1, 2, 3], "aa": [1, 2, 3]}
+    profiles = {k: [ord(c) for c in "abc"] for k in same}
+    df = spark.createDataFrame([(1, "abc", None), (1, "abc", None), (None, "cab", "x"), (2, "1", None), (3, "é" * 200_000, None)], "doc_id long, text string, lang_pred string")
+    got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in langid.predict_language(df, "text", profiles).collect())
+    assert got == [(0, "aa"), (1, "aa"), (1, "aa"), (2, "und"), (3, "aa")]
+    assert langid.predict_language(df.limit(0), "text", profiles).count() == 0
+
+
 def test_distance_is_out_of_place():
     import numpy as np
 
@@ -575,6 +773,14 @@ def test_bpe_is_the_library(spark):
         assert flat[i]["n_tokens"] == len(want) and flat[i]["decoded_sha256"] == hashlib.sha256(got[i]["decoded"].encode()).hexdigest()
 
 
+def test_bpe_of_empty_and_repeated_tables(spark):
+    path = queries.tokenizer_path(queries.BPE_VOCABULARY)
+    df = docs_of(spark, ["same text", "same text", None])
+    rows = bpe.round_trip(df.unionByName(df), "text", path).collect()
+    assert len(rows) == 6 and len({(r["n_tokens"], r["ids_sha256"]) for r in rows}) == 2
+    assert bpe.encode(df.limit(0), "text", path).count() == 0 and bpe.round_trip(df.limit(0), "text", path).count() == 0
+
+
 def test_merges_in_step_and_alone_agree():
     import public_tokenizers
 
