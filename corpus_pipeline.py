@@ -38,8 +38,8 @@ def row_key(docs: DataFrame) -> tuple[Column, bool]:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     profiles = langid.fit_profiles(docs, "text", "lang", F.lit(True), order_col="doc_id")
-    told = langid.predict_language(docs, "text", profiles)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).drop("lang_pred", "score")
+    told = langid.predict_language(docs, "text", profiles, pred_col="_lang_told", score_col="_lang_score")
+    return told.where((F.col("_lang_told") != langid.UNDETERMINED) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)).drop("_lang_told", "_lang_score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
