@@ -23,7 +23,7 @@ def loaded(links: DataFrame, volumes: DataFrame) -> DataFrame:
     return links.drop("volume", "persons").join(volumes.select("link_id", "volume", "persons"), "link_id", "left").fillna(0.0, ["volume", "persons"])
 
 
-def column_generation(links: DataFrame, od: DataFrame, iterations: int, minutes: Callable[[DataFrame], DataFrame], tree: Callable[[DataFrame, DataFrame], DataFrame] = P.labels_grouped) -> tuple[DataFrame, DataFrame]:
+def column_generation(links: DataFrame, od: DataFrame, iterations: int, minutes: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """GR-08, 09, 14: method of successive averages over generated paths.
 
     ``minutes`` adds travel time to links that have ``volume``.  Iteration k takes
@@ -35,7 +35,6 @@ def column_generation(links: DataFrame, od: DataFrame, iterations: int, minutes:
     """
     spark = links.sparkSession
     demand = settle(od.groupBy("o_zone_id", "d_zone_id", "agent_type").agg(F.sum("volume").alias("demand")).where("demand > 0"))
-    pairs = demand.select("o_zone_id", "d_zone_id").distinct()
     origins = demand.select(F.col("o_zone_id").alias("origin")).distinct()
     state = settle(links.withColumns({"volume": F.lit(0.0), "persons": F.lit(0.0)}))
     found: DataFrame | None = None
@@ -45,8 +44,7 @@ def column_generation(links: DataFrame, od: DataFrame, iterations: int, minutes:
         spent = timed.agg(F.sum(F.col("minutes") * F.col("volume"))).first()[0] or 0.0
         state = settle(loaded(links, link_volumes(found))) if found is not None else state
         costed = timed.withColumn("cost", F.col("minutes") + F.coalesce(F.col("link_id") * F.lit(1e-9), F.lit(0.0)))
-        best = P.routes(tree(costed, origins), pairs)
-        share = demand.join(best, ["o_zone_id", "d_zone_id"])
+        share = settle(demand.join(P.routes_grouped(costed, origins), ["o_zone_id", "d_zone_id"]))
         new = share.select("o_zone_id", "d_zone_id", "agent_type", "links", (F.col("demand") / (k + 1)).alias("volume"))
         least = share.agg(F.sum(F.col("demand") * F.col("cost"))).first()[0] or 0.0
         old = [found.withColumn("volume", F.col("volume") * (k / (k + 1)))] if found is not None else []
@@ -59,12 +57,11 @@ def column_generation(links: DataFrame, od: DataFrame, iterations: int, minutes:
 
 def link_based(links: DataFrame, od: DataFrame, iterations: int, minutes: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """GR-13: link volumes by successive averages of all-or-nothing loads; paths are not kept."""
-    pairs = od.select("o_zone_id", "d_zone_id").distinct()
     origins = od.select(F.col("o_zone_id").alias("origin")).distinct()
     state = settle(links.withColumns({"volume": F.lit(0.0), "persons": F.lit(0.0)}))
     for k in range(iterations):
         costed = minutes(state).withColumn("cost", F.col("minutes") + F.col("link_id") * 1e-9)
-        best = P.routes(P.labels_grouped(settle(costed), origins), pairs)
+        best = P.routes_grouped(settle(costed), origins)
         load = link_volumes(od.join(best, ["o_zone_id", "d_zone_id"]).select("links", "volume"))
         new = loaded(links, load).select("link_id", F.col("volume").alias("v1"), F.col("persons").alias("p1"))
         mixed = state.join(new, "link_id")

@@ -46,23 +46,25 @@ def labels(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFram
 
     ``links`` has ``link_id, from_node_id, to_node_id`` and the cost column (not
     negative).  Each round joins the labels that changed with the links; lineage is
-    cut every round, since the next one reads the labels three times.  Rounds go on
+    cut every round, since the next one reads the labels three times.  A link of no cost is
+    taken only where no other gives the cost, so that equal costs make no cycle.  Rounds go on
     until no label changes; a best path enters a node once, so labels that still change
     after as many rounds as there are nodes to enter mean negative costs, an error.
     """
     edges = settle(links.select("link_id", "from_node_id", "to_node_id", F.col(cost).alias("w")))
-    best = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("int").alias("pred_link"), F.lit(None).cast("int").alias("pred_node"))
+    best = origins.select(F.col("origin"), F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("int").alias("pred_link"), F.lit(None).cast("int").alias("pred_node"), F.lit(0).alias("flat"))
     best = settle(best.distinct())
     changed = best
     for _ in range(edges.select("to_node_id").distinct().count() + 1):
         step = changed.join(edges, changed["node"] == edges["from_node_id"])
-        offers = step.groupBy("origin", F.col("to_node_id").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("link_id").alias("pred_link"), F.col("from_node_id").alias("pred_node"))).alias("offer"))
-        old = best.select("origin", "node", F.col("cost").alias("old"), F.col("pred_link").alias("old_link"))
-        cheaper = (F.col("offer.cost") < F.col("old")) | ((F.col("offer.cost") == F.col("old")) & (F.col("offer.pred_link") < F.col("old_link")))
+        offers = step.groupBy("origin", F.col("to_node_id").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("w") == 0).cast("int").alias("flat"), F.col("link_id").alias("pred_link"), F.col("from_node_id").alias("pred_node"))).alias("offer"))
+        old = best.select("origin", "node", F.col("cost").alias("old"), F.col("pred_link").alias("old_link"), F.col("flat").alias("old_flat"))
+        tie = (F.col("offer.cost") == F.col("old")) & (F.col("offer.flat") == 0) & F.col("old_link").isNotNull()
+        cheaper = (F.col("offer.cost") < F.col("old")) | (tie & ((F.col("old_flat") == 1) | (F.col("offer.pred_link") < F.col("old_link"))))
         better = offers.join(old, ["origin", "node"], "left").where(F.col("old").isNull() | cheaper)
-        changed = settle(better.select("origin", "node", "offer.cost", "offer.pred_link", "offer.pred_node"))
+        changed = settle(better.select("origin", "node", "offer.cost", "offer.pred_link", "offer.pred_node", "offer.flat"))
         if changed.isEmpty():
-            return best
+            return best.drop("flat")
         kept = best.join(changed.select("origin", "node"), ["origin", "node"], "left_anti")
         best = settle(kept.unionByName(changed))
     raise ValueError("labels do not settle: the costs have a negative cycle")
@@ -89,6 +91,7 @@ class Network:
             none = np.array([-1])
             return np.array([origin]), np.array([0.0]), none, none
         cost, link, before = np.full(n, np.inf), np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        flat = np.zeros(n, dtype=bool)
         cost[at] = 0.0
         heap = [(0.0, at)]
         while heap:
@@ -99,10 +102,10 @@ class Network:
             for to, w, name in zip(self.to[a:b].tolist(), self.cost[a:b].tolist(), self.link[a:b].tolist()):
                 offer = d + w
                 if offer < cost[to]:
-                    cost[to], link[to], before[to] = offer, name, node
+                    cost[to], link[to], before[to], flat[to] = offer, name, node, w == 0
                     heapq.heappush(heap, (offer, to))
-                elif offer == cost[to] and name < link[to]:
-                    link[to], before[to] = name, node
+                elif offer == cost[to] and w > 0 and to != at and (flat[to] or name < link[to]):
+                    link[to], before[to], flat[to] = name, node, False
         found = np.flatnonzero(cost < np.inf)
         return self.nodes[found], cost[found], link[found], np.where(before[found] >= 0, self.nodes[before[found]], -1)
 
@@ -173,23 +176,31 @@ def links_of_nodes(paths: DataFrame, links: DataFrame, key: str, nodes_col: str)
 
 
 def routes_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
-    """GR-07, 19: ``o_zone_id, d_zone_id, cost, links`` of every other node from each origin, walked inside the task that holds the origin's tree."""
-    tree = labels_grouped(links, origins, cost)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pred = {n: (link, p) for n, link, p in zip(pdf["node"], pdf["pred_link"], pdf["pred_node"])}
-        origin, rows = pdf["origin"].iloc[0], []
-        for node, c in zip(pdf["node"], pdf["cost"]):
-            at, way = node, []
-            while at != origin:
-                link, at = pred[at]
-                way.append(int(link))
-            if way:
-                rows.append((origin, node, c, way[::-1]))
-        return pd.DataFrame(rows, columns=["o_zone_id", "d_zone_id", "cost", "links"])
+    """GR-07, 19: ``o_zone_id, d_zone_id, cost, links`` of every other node from each origin, searched and walked inside one task for each origin; beyond NETWORK_BYTES by the relational forms."""
+    if 28 * links.count() > NETWORK_BYTES:
+        tree = labels(links, origins, cost)
+        return routes(tree, tree.where("origin <> node").select(F.col("origin").alias("o_zone_id"), F.col("node").alias("d_zone_id"))).select("o_zone_id", "d_zone_id", "cost", "links")
+    shared = links.sparkSession.sparkContext.broadcast(links.select("link_id", "from_node_id", "to_node_id", cost).toPandas().to_numpy(dtype=float))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        network = Network(shared.value)
+        for pdf in batches:
+            for origin in pdf["origin"]:
+                node, best, link, before = network.search(int(origin))
+                entry = dict(zip(node.tolist(), zip(link.tolist(), before.tolist())))
+                ends, ways = [], []
+                for i, at in enumerate(node.tolist()):
+                    way = []
+                    while at != origin:
+                        name, at = entry[at]
+                        way.append(name)
+                    if way:
+                        ends.append(i)
+                        ways.append(way[::-1])
+                yield pd.DataFrame({"o_zone_id": origin, "d_zone_id": node[ends], "cost": best[ends], "links": ways})
 
     kind = origins.schema["origin"].dataType.simpleString()
-    return tree.groupBy("origin").applyInPandas(walk, f"o_zone_id {kind}, d_zone_id {kind}, cost double, links array<int>")
+    return origins.select("origin").distinct().mapInPandas(run, f"o_zone_id {kind}, d_zone_id {kind}, cost double, links array<int>")
 
 
 def backward_labels(links: DataFrame, destinations: DataFrame, cost: str = "cost", wait: str | None = None) -> DataFrame:

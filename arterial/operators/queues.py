@@ -1,15 +1,10 @@
-"""Vehicle queues in discrete time (SIM-01..11, 13..15, AGG-15, 18, 22, JN-19, 20, FLT-10, 11).
+"""Vehicle queues in discrete time (SIM-02..06, 08, 13..15, AGG-18, 22, JN-19, 20, FLT-10, 11).
 
-A single link is a point queue with a closed form, one window.  In a network links
-hold each other up, so a connected network is one stateful group; scenarios, days
-and separate networks are groups of their own and run side by side.
+A link is a point queue with a closed form, one window over its arrivals.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,89 +39,6 @@ def stochastic_capacity(links: DataFrame, seconds: int, seed: int = 101) -> Data
     return rows.select("link_id", "second", (F.floor(per) + (u < per - F.floor(per)).cast("int")).alias("capacity"))
 
 
-class Network:
-    """State of one network: where each vehicle is and when each link may release the next.
-
-    Steps of ``step`` seconds.  In each step, and at each node, incoming links are
-    served in an order that rotates with the step, each from the head of its exit
-    queue, while capacity lasts and the next link has room.
-    """
-
-    def __init__(self, links: pd.DataFrame, step: float):
-        self.step = step
-        self.free = dict(zip(links.link_id, links.fftt * 60.0 / step))
-        self.rate = dict(zip(links.link_id, links.lane_capacity * links.lanes / 3600.0 * step))
-        self.room = dict(zip(links.link_id, links.room))
-        self.credit: dict[int, float] = defaultdict(float)
-        self.exit: dict[int, deque] = defaultdict(deque)
-        self.count: dict[int, int] = defaultdict(int)
-        self.into: dict[int, list[int]] = defaultdict(list)
-        for link, to in sorted(zip(links.link_id, links.to_node_id)):
-            self.into[to].append(link)
-
-    def advance(self, t: int, events: list) -> int:
-        """Move what can move in step t; the number of vehicles that moved."""
-        moved = 0
-        for node, incoming in self.into.items():
-            for i in range(len(incoming)):
-                link = incoming[(i + t) % len(incoming)]
-                self.credit[link] = min(self.credit[link] + self.rate[link], max(1.0, self.rate[link]))
-                queue = self.exit[link]
-                while queue and queue[0][3] <= t and self.credit[link] >= 1:
-                    agent, path, at, _, entered = queue[0]
-                    last = at + 1 == len(path)
-                    if not last and self.count[path[at + 1]] >= self.room[path[at + 1]]:
-                        break
-                    queue.popleft()
-                    self.credit[link] -= 1
-                    self.count[link] -= 1
-                    events.append((agent, link, entered * self.step / 60.0, t * self.step / 60.0))
-                    if not last:
-                        self.enter(agent, path, at + 1, t)
-                    moved += 1
-        return moved
-
-    def enter(self, agent: int, path: list[int], at: int, t: float) -> None:
-        link = path[at]
-        self.count[link] += 1
-        self.exit[link].append((agent, path, at, t + self.free[link], t))
-
-
-def simulate(vehicles: DataFrame, links: DataFrame, group: str, step: float = 6.0, most_minutes: float = 1440.0, spatial: bool = True) -> DataFrame:
-    """SIM-01, 04..10, 14: ``group, agent_id, link_id, t_in, t_out, wait`` (minutes) of every link a vehicle leaves before the horizon ends.
-
-    ``vehicles``: ``group, agent_id, depart_min, links`` (paths without a link are
-    skipped); ``links`` of one network, some tens of bytes each, are broadcast.  One
-    group is one network that must fit a task; many groups (days, scenarios, seeds) run
-    in parallel.
-    """
-    table = links.select("link_id", "to_node_id", "fftt", "lane_capacity", "lanes", F.greatest(F.lit(1.0), F.col("room") if "room" in links.columns and spatial else F.lit(1e18)).alias("room")).toPandas()
-    shared = links.sparkSession.sparkContext.broadcast(table)
-    fftt = dict(zip(table.link_id, table.fftt))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        net, events = Network(shared.value, step), []
-        due = sorted((d * 60.0 / step, a, list(p)) for d, a, p in zip(pdf.depart_min, pdf.agent_id, pdf.links) if len(p))
-        at, t, waiting = 0, int(due[0][0]) if due else 0, deque()
-        while (at < len(due) or waiting or any(net.exit.values())) and t * step / 60.0 <= most_minutes:
-            while at < len(due) and due[at][0] <= t:
-                waiting.append(due[at])
-                at += 1
-            for _ in range(len(waiting)):
-                start, agent, path = waiting.popleft()
-                if net.count[path[0]] < net.room[path[0]]:
-                    net.enter(agent, path, 0, t)
-                else:
-                    waiting.append((start, agent, path))
-            net.advance(t, events)
-            t += 1
-        rows = [(pdf[group].iloc[0], a, link, i, o, max(0.0, o - i - fftt[link])) for a, link, i, o in events if o is not None]
-        return pd.DataFrame(rows, columns=[group, "agent_id", "link_id", "t_in", "t_out", "wait"]).astype({"agent_id": "int64", "link_id": "int32", "t_in": float, "t_out": float, "wait": float})
-
-    kind = vehicles.schema[group].dataType.simpleString()
-    return vehicles.groupBy(group).applyInPandas(run, f"{group} {kind}, agent_id long, link_id int, t_in double, t_out double, wait double")
-
-
 def path_times(visits: DataFrame, agents: DataFrame) -> DataFrame:
     """AGG-18, JN-19: mean simulated minutes per path with more than one vehicle."""
     per = visits.groupBy("agent_id").agg((F.max("t_out") - F.min("t_in")).alias("minutes"))

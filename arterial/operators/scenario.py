@@ -101,14 +101,14 @@ def reassign(links: DataFrame, paths: DataFrame, agent_types: DataFrame, info_zo
     told = settle(informed(paths, agent_types, info_zones).select(*cell, "links", "volume", "informed"))
     fixed, found = told.where("not informed").drop("informed"), told.where("informed").drop("informed")
     demand = settle(found.groupBy(*cell).agg(F.sum("volume").alias("demand")))
-    origins, pairs = demand.select(F.col("o_zone_id").alias("origin")).distinct(), demand.select("o_zone_id", "d_zone_id").distinct()
+    origins = demand.select(F.col("o_zone_id").alias("origin")).distinct()
     trace = []
     for k in range(iterations + 1):
         timed = settle(induced_delay(minutes(assign.loaded(links, assign.link_volumes(fixed.unionByName(found))))))
         spent, delayed = timed.agg(F.sum(F.col("minutes") * F.col("volume")), F.count(F.when(F.col("design_flag") == -2, 1))).first()
         trace.append((k, float(spent or 0.0), int(delayed)))
         costed = timed.withColumn("cost", F.col("minutes") + F.col("link_id") * F.lit(1e-9))
-        best = P.routes(P.labels_grouped(costed, origins), pairs)
+        best = P.routes_grouped(costed, origins)
         new = demand.join(best, ["o_zone_id", "d_zone_id"]).select(*cell, "links", (F.col("demand") / (k + 1)).alias("volume"))
         kept = found.withColumn("volume", F.col("volume") * (k / (k + 1))).where("volume > 0")
         found = settle(P.merge_paths(kept.unionByName(new), cell))

@@ -202,12 +202,29 @@ def geo_wkt_roundtrip(spark, sf):
     return back.select("link_id", F.size("p").alias("n_points"), r6(C("p")[0]["x"]).alias("first_x"), r6(F.element_at("p", -1)["y"]).alias("last_y"))
 
 
-@query()
+def _hull_sql(key: str) -> dict[str, str]:
+    """Corners of the hull of each group: points that lie neither between two others nor inside a triangle of others, by angle from the first."""
+    cross = lambda a, b, p: f"(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"
+    return {"more": f"""hp AS (SELECT DISTINCT {key} AS g, x_coord AS x, y_coord AS y FROM net_node),
+corner AS (SELECT * FROM hp p WHERE (SELECT count(*) FROM hp WHERE g = p.g) >= 4
+ AND NOT EXISTS (SELECT 1 FROM hp a, hp b WHERE a.g = p.g AND b.g = p.g AND abs({cross('a', 'b', 'p')}) < 1e-12 AND (a.x - p.x) * (b.x - p.x) + (a.y - p.y) * (b.y - p.y) < -1e-12)
+ AND NOT EXISTS (SELECT 1 FROM hp a, hp b, hp c WHERE a.g = p.g AND b.g = p.g AND c.g = p.g AND {cross('a', 'b', 'p')} > 1e-12 AND {cross('b', 'c', 'p')} > 1e-12 AND {cross('c', 'a', 'p')} > 1e-12)),
+ring AS (SELECT g, printf('%.6f %.6f', x, y) AS t, row_number() OVER (PARTITION BY g ORDER BY x, y) AS i, atan2(y - first_value(y) OVER w, x - first_value(x) OVER w) AS angle FROM corner WINDOW w AS (PARTITION BY g ORDER BY x, y)),
+hull AS (SELECT g, count(*) AS n_vertices, 'POLYGON ((' || string_agg(t, ', ' ORDER BY (i > 1)::INTEGER, angle) || ', ' || min(CASE WHEN i = 1 THEN t END) || '))' AS geometry FROM ring GROUP BY g)"""}
+
+
+@query("SELECT g AS district_id, n_vertices, geometry FROM hull", "net_node", **_hull_sql("district_id"))
 def geo_hull(spark, sf):
-    """GEO-05, AGG-21; an iterative construction without SQL counterpart."""
+    """GEO-05, AGG-21."""
     return geometry.hulls(star.nodes(spark, sf), "district_id", "x_coord", "y_coord")
 
 
+@query("SELECT g AS part, n_vertices, geometry FROM hull", "net_node", **_hull_sql("node_id % 4"))
+def geo_hull_parts(spark, sf):
+    """GEO-05: hulls of every fourth node, which have points inside and on their edges."""
+    return geometry.hulls(star.nodes(spark, sf).withColumn("part", C("node_id") % 4), "part", "x_coord", "y_coord")
+
+
 @query("""SELECT x1 - x0 AS extent_x, r AS cell FROM (SELECT round(max(x_coord), 6) AS x1, round(min(x_coord), 6) AS x0 FROM net_node), (SELECT 0.0025::DOUBLE AS unused, min(r) AS r FROM (VALUES (0.0025::DOUBLE), (0.005), (0.0075), (0.01), (0.02), (0.025)) v(r) WHERE r > 0.08::DOUBLE / 8 + 1e-12)""".replace("x1 - x0 AS extent_x", "round(x1 - x0, 6) AS extent_x"), "net_node")
 def geo_resolution(spark, sf):
     """GEO-07, AGG-19."""
@@ -582,13 +599,19 @@ def sim_single_link(spark, sf):
     return queues.single_link(rows, "link_id", "event_id", "ready", "h").select("event_id", "link_id", F.round("depart", 4).alias("depart"))
 
 
-@query()
-def sim_network(spark, sf):
-    """SIM-01, 02, 04..11, 13, AGG-15, 18: vehicles of all segments through the network, cumulative counts by link and minute; stateful, without SQL counterpart."""
-    v = demand.vehicles(free_paths(spark, sf), morning_profile(spark, sf)).select(F.lit("base").alias("run"), F.xxhash64(*KEY, "v").alias("agent_id"), "depart_min", "links")
-    net = star.costed_links(spark, sf).withColumn("room", units.spatial_capacity(C("length_m"), C("lanes")))
-    visits = queues.simulate(v, net, "run")
-    return reports.cumulative(visits.select("link_id", F.floor("t_in").alias("t_in"), F.floor("t_out").alias("t_out")))
+@query("""SELECT o_zone_id, d_zone_id, agent_type, v, link_id, round(i * h + max(depart_min - i * h) OVER (PARTITION BY link_id ORDER BY depart_min, key) + 1e-7::DOUBLE, 4) AS leave_min FROM (
+SELECT *, 60.0::DOUBLE / (lane_capacity * lanes) AS h, row_number() OVER (PARTITION BY link_id ORDER BY depart_min, key) - 1 AS i FROM (
+SELECT d.*, links[1] AS link_id, printf('%03d;%03d;%s;%06d', d.o_zone_id, d.d_zone_id, d.agent_type, v) AS key FROM (SELECT o_zone_id, d_zone_id, agent_type, v, round(slot5 + (v / n::DOUBLE - (cum - ratio)) / ratio * 5.0, 6) AS depart_min FROM (
+SELECT o_zone_id, d_zone_id, agent_type, n, g.v, (SELECT min(slot5) FROM prof WHERE cum > g.v / n::DOUBLE) AS s FROM (SELECT o_zone_id, d_zone_id, agent_type, floor(volume + 0.5)::INTEGER AS n FROM od), LATERAL (SELECT unnest(range(n))::INTEGER AS v) g) JOIN prof ON slot5 = s) d
+JOIN lab ON lab.o = d.o_zone_id AND lab.node = d.d_zone_id) JOIN clink USING (link_id))""", "od", "ev", "lab", "clink", more=_PROFILE)
+def sim_origin_queues(spark, sf):
+    """SIM-04, 06, 08, 14: vehicles of all segments queue for the first link of their paths."""
+    v = demand.vehicles(free_paths(spark, sf), morning_profile(spark, sf)).withColumn("depart_min", r6("depart_min"))
+    key = F.format_string("%03d;%03d;%s;%06d", "o_zone_id", "d_zone_id", "agent_type", "v")
+    rows = v.select(*KEY, "v", "depart_min", C("links")[0].alias("link_id"), key.alias("key"))
+    h = star.links(spark, sf).select("link_id", (F.lit(60.0) / (C("lane_capacity") * C("lanes"))).alias("h"))
+    out = queues.single_link(rows.join(broadcast_within(h, 16), "link_id"), "link_id", "key", "depart_min", "h")
+    return out.select(*KEY, "v", "link_id", F.round(C("depart") + 1e-7, 4).alias("leave_min"))
 
 
 @query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, link_id, count(*) AS n FROM ev GROUP BY ALL", "ev")

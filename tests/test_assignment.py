@@ -59,6 +59,22 @@ def test_both_tree_forms_agree_and_labels_obey_the_links(spark, sf):
             assert a[o, r["to_node_id"]] <= a[o, r["from_node_id"]] + r["cost"] + 1e-9
 
 
+def test_equal_costs_take_the_smaller_link_in_both_forms(spark):
+    rows = [(5, 1, 2, 1.0), (2, 1, 3, 1.0), (7, 2, 4, 1.0), (6, 3, 4, 1.0), (4, 1, 4, 2.0), (9, 1, 2, 1.0), (3, 4, 5, 0.0), (1, 5, 4, 0.0)]
+    links = spark.createDataFrame(rows, "link_id int, from_node_id int, to_node_id int, cost double")
+    origins = spark.createDataFrame([(1,), (4,), (77,)], "origin int")
+    a, b = ({tuple(r) for r in f(links, origins).select("origin", "node", "cost", "pred_link", "pred_node").collect()} for f in (paths.labels, paths.labels_grouped))
+    assert a == b and (1, 4, 2.0, 4, 1) in a and (1, 2, 1.0, 5, 1) in a and (77, 77, 0.0, None, None) in a
+
+
+def test_routes_of_a_thousand_links(spark):
+    n = 1000
+    links = spark.range(n).select((F.col("id") + 1).cast("int").alias("link_id"), F.col("id").cast("int").alias("from_node_id"), (F.col("id") + 1).cast("int").alias("to_node_id"), F.lit(1.0).alias("cost"))
+    tree = paths.labels_grouped(links, spark.createDataFrame([(0,)], "origin int"))
+    got = {r["d_zone_id"]: (r["links"], r["cost"]) for r in paths.routes(tree, spark.createDataFrame([(0, 0), (0, 1), (0, 777), (0, n)], "o_zone_id int, d_zone_id int")).collect()}
+    assert got == {d: (list(range(1, d + 1)), float(d)) for d in (0, 1, 777, n)}
+
+
 def test_long_chains_have_all_labels_in_both_forms(spark):
     n = 205
     links = spark.range(n).select((F.col("id") + 1).cast("int").alias("link_id"), F.col("id").cast("int").alias("from_node_id"), (F.col("id") + 1).cast("int").alias("to_node_id"), F.lit(1.0).alias("cost"))
@@ -135,24 +151,40 @@ def test_detours_keep_volume(spark):
     assert set(got) == {(1, 2, 3), (1, 4), (1, 9)} and sum(got.values()) == pytest.approx(110) and got[1, 4] > 90
 
 
-def test_vehicles_leave_in_the_network_and_counts_fit(spark):
-    links = two_corridors(spark).withColumns({"lane_capacity": F.lit(600.0), "room": F.lit(50.0)})
-    v = spark.range(100).select(F.lit("a").alias("run"), F.col("id").alias("agent_id"), (F.col("id") * 0.05).alias("depart_min"), F.array(F.lit(1), F.lit(2)).alias("links"))
-    visits = queues.simulate(v, links, "run").cache()
-    assert visits.count() == 200
-    assert visits.where("t_out < t_in + 10 - 0.11").count() == 0
-    gaps = visits.where("link_id = 2").orderBy("t_out").select("t_out").collect()
-    assert (gaps[-1][0] - gaps[0][0]) >= 99 * 0.1 - 0.2  # ten a minute pass at most
-    assert reports.cumulative(visits).where("ca < cd").count() == 0
-
-
-def test_vehicles_of_all_segments_load_the_network(spark, sf):
-    from arterial.plans import catalog
-
-    trips = catalog.free_paths(spark, sf).withColumn("n", F.floor(F.col("volume") + 0.5))
-    want = trips.select(F.explode("links").alias("link_id"), "n").where("n > 0").groupBy("link_id").agg(F.sum("n").alias("n"))
-    got = catalog.sim_network(spark, sf).groupBy("link_id").agg(F.max("ca").alias("ca"), F.max("cd").alias("cd"))
-    assert {(r["link_id"], r["ca"], r["cd"]) for r in got.collect()} == {(r["link_id"], r["n"], r["n"]) for r in want.collect()}
+def test_scenario_drivers_without_information_stay(spark, solved):
+    links = two_corridors(spark)
+    cut = scenario.lane_changes(links, spark.createDataFrame([(1, 3, 0.25)], "from_node_id int, to_node_id int, lanes double"))
+    none = spark.createDataFrame([], "zone_id int")
+    split = lambda info: {tuple(r["links"]): round(r["volume"], 3) for r in scenario.reassign(cut, solved[0], spark.createDataFrame([("p", info)], "agent_type string, real_time_info int"), none, minutes, 5)[0].collect()}
+    assert split(0) == split(2) == {(1, 2): 5600.0, (3, 4): 1400.0}
+    moved = split(1)
+    assert sum(moved.values()) == pytest.approx(7000) and moved[3, 4] > 3000
+    signs = scenario.reassign(cut, solved[0], spark.createDataFrame([("p", 2)], "agent_type string, real_time_info int"), spark.createDataFrame([(1,)], "zone_id int"), minutes, 5)
+    assert {tuple(r["links"]): round(r["volume"], 3) for r in signs[0].collect()} == moved and signs[1].count() == 6
+
+
+def test_neighbours_at_high_latitudes_and_across_the_date_line(spark):
+    from math import cos, radians
+
+    points = [(1, 179.99, 10.0), (2, -179.99, 10.0), (3, 20.0, 78.0), (4, 20.0 + 0.015 / cos(radians(78.0)), 78.0), (5, 0.0, 89.999), (6, 180.0, 89.999), (7, 50.0, -0.001)]
+    n = spark.createDataFrame(points, "node_id int, x_coord double, y_coord double")
+    z = n.withColumnRenamed("node_id", "zone_id")
+    got = {(r["zone_id"], r["node_id"]) for r in demand.k_nearest(z, n, 9, 3000.0).collect()}
+    assert got == {(i, i) for i in range(1, 8)} | {(1, 2), (2, 1), (3, 4), (4, 3), (5, 6), (6, 5)}
+    assert demand.k_nearest(z.limit(0), n, 9, 3000.0).count() == 0
+
+
+@pytest.mark.parametrize("n,share", [(400, 0.25), (50, 0.25), (1000, 0.9), (3, 0.0)])
+def test_cutoff_is_the_value_at_its_rank(spark, n, share):
+    import random
+
+    rng = random.Random(n)
+    values = [rng.choice([rng.random() * 100, 5.0]) for _ in range(n)]
+    got = demand.cutoff_value(spark.createDataFrame([(v,) for v in values], "v double"), "v", share, 100 if n > 100 else 1).first()
+    down = sorted(values, reverse=True)
+    at = int(n - max(share * n, 100.0 if n > 100 else 1.0))
+    cutoff = down[at - 1] if at >= 1 else down[-1]
+    assert got["cutoff"] == cutoff and got["n_kept"] == sum(v >= cutoff for v in values)
 
 
 def test_single_link_closed_form(spark):
