@@ -244,3 +244,10 @@ def snk_trajectories(spark, sf):
     return sinks.trajectory_records(star.trip_events(spark, sf)).select("agent_id", F.octet_length("record").cast("long").alias("n_bytes"))
 
 
+
+
+@query("SELECT count(DISTINCT CASE WHEN d_zone_id <> 25 THEN o_zone_id * 100 + d_zone_id END) AS connected, count(*) FILTER (WHERE d_zone_id = 25) AS without_path FROM od", "od")
+def agg_connectivity(spark, sf):
+    """AGG-16, JN-11: connectivity over all computed paths of a network in which no link enters node 25."""
+    net = star.costed_links(spark, sf).where("to_node_id <> 25")
+    return reports.connectivity(star.od_demand(spark, sf), paths.routes_grouped(net, star.nodes(spark, sf).select(C("node_id").alias("origin"))))
