@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, jaccard_join, langid, lengths, mixing, pii, tiff, toxicity, url_filter
+from . import bpe, codes, imatch, jaccard_join, langid, lengths, merkle, mixing, pieces, pii, tiff, toxicity, url_filter
 from .textkernels import broadcast_within, held_out, settle
 
 
@@ -27,6 +27,7 @@ URL_RULES = (
     ("block", "net", "/fr/"),
 )
 BPE_VOCABULARY = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -143,6 +144,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer_path(BPE_VOCABULARY)).drop("text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(_table(spark, sf_dir, "documents"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", tokenizer_path(PIECE_MODEL)).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_pii": op2_pii,
@@ -154,7 +167,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiff": op8_tiff,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_merkle": op12_merkle,
+    "op13_pieces": op13_pieces,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {"op7_mixing": mixing.oracle(QUALITY_SQL)}
+ORACLES: dict[str, str] = {"op7_mixing": mixing.oracle(QUALITY_SQL), "op11_vector_codes": codes.oracle(), "op12_merkle": merkle.CHECKED_SQL}
