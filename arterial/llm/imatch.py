@@ -136,17 +136,6 @@ class Lexicon:
         return fingerprint_of(hashes, _members(hashes))
 
 
-_held: dict[str, Lexicon] = {}
-
-
-def _lexicon(shared) -> Lexicon:
-    key = str(shared.id) if hasattr(shared, "id") else str(id(shared))
-    if key not in _held:
-        _held.clear()
-        _held[key] = Lexicon(shared.value)
-    return _held[key]
-
-
 def fingerprints(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add for each ``{text column: output column}`` the fingerprint of the text; columns in ``drop`` are not returned."""
     kept = [c for c in docs.columns if c not in drop and c not in text_cols.values()]
@@ -156,7 +145,7 @@ def fingerprints(docs: DataFrame, text_cols: dict[str, str], lexicon: DataFrame,
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _lexicon(shared)
+        held = Lexicon(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
