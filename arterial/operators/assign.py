@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,14 +77,14 @@ def path_costs(paths: DataFrame, links: DataFrame, cost: str = "minutes") -> Dat
     return rows.join(sums, keys)
 
 
-def column_update(paths: DataFrame, n: int) -> DataFrame:
+def column_update(paths: DataFrame, n: int, cell: Sequence[str] = ("o_zone_id", "d_zone_id", "agent_type")) -> DataFrame:
     """GR-10, SRT-06: one gradient projection step over paths with ``path_cost``.
 
     In each demand cell every path but the cheapest gives ``demand / (n + 2)`` times
     its relative cost gap, all of its volume at most (also where the gap is above 180),
     to the cheapest; ties go to the smaller path id.
     """
-    cell = ["o_zone_id", "d_zone_id", "agent_type"]
+    cell = list(cell)
     best = paths.groupBy(*cell).agg(F.min(F.struct("path_cost", "path_id")).alias("b"), F.sum("volume").alias("demand"))
     rows = paths.join(best, cell)
     gap = (F.col("path_cost") - F.col("b.path_cost")) / F.greatest(F.lit(1e-4), F.col("b.path_cost"))
