@@ -37,6 +37,8 @@ from .textkernels import broadcast_within, mapped, settle
 MOST = 1 << 24
 #: Vectors handled at a time inside a task.
 SLICE = 2048
+#: Bounds are taken one by one where less than one in so many entries survives.
+DENSE = 6
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, label_col: str | None, scale: int) -> DataFrame:
@@ -81,22 +83,31 @@ class Codebook:
         if not n:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
         every = np.arange(n)
-        bounds = self._bounds(self._sketch(rows, self.cuts[0]), 0)
-        first = bounds.argmin(axis=1)
-        best = ((rows - self.entries[first]) ** 2).sum(axis=1)
-        # distances are integers: half a unit and a share cover the rounding of a bound
-        reach = best * (1 + 1e-9) + 0.5
-        row, entry = np.nonzero(bounds <= reach[:, None])
-        for level in range(1, len(self.cuts)):
-            mine, theirs = self._sketch(rows, self.cuts[level])[row], self.sketches[level][entry]
+        alive = np.ones((n, k), dtype=bool)
+        best, reach, tried = None, None, 0
+        level = 0
+        # while many entries survive, a level's bounds are taken for all at once, and the entry of the least bound is tried
+        while level < len(self.cuts) and (level == 0 or np.count_nonzero(alive) > n * k // DENSE):
+            bounds = self._bounds(self._sketch(rows, self.cuts[level]), level)
+            bounds[~alive] = np.inf
+            distance = ((rows - self.entries[bounds.argmin(axis=1)]) ** 2).sum(axis=1)
+            tried += n
+            best = distance if best is None else np.minimum(best, distance)
+            # distances are integers: half a unit and a share cover the rounding of a bound
+            reach = best * (1 + 1e-9) + 0.5
+            alive &= bounds <= reach[:, None]
+            level += 1
+        row, entry = np.nonzero(alive)
+        for fine in range(level, len(self.cuts)):
+            mine, theirs = self._sketch(rows, self.cuts[fine])[row], self.sketches[fine][entry]
             keep = ((mine - theirs) ** 2).sum(axis=1) <= reach[row]
             row, entry = row[keep], entry[keep]
         exact = ((rows[row] - self.entries[entry]) ** 2).sum(axis=1)
-        # survivors are in order of row and entry, and each row has its first guess at least
+        # survivors are in order of row and entry, and each row has its best guess at least
         starts = np.searchsorted(row, every)
         least = np.minimum.reduceat(exact, starts)
         place = np.where(exact == least[row], entry, k)
-        return np.minimum.reduceat(place, starts), least, n + len(row)
+        return np.minimum.reduceat(place, starts), least, tried + len(row)
 
     def _bounds(self, sketch: np.ndarray, level: int) -> np.ndarray:
         own = self.sketches[level]
