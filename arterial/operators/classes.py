@@ -158,9 +158,10 @@ class Network:
 
 
 def searches(demand: DataFrame, centroids: bool) -> DataFrame:
-    """``demand_period, agent_type, o_zone_id, origin, targets``: one row for each search, with the nodes it must reach."""
+    """``demand_period, agent_type, o_zone_id, origin, targets``: one row for each search, with the nodes it must reach; it starts at the origin zone's node, or at ``origin`` where the demand has such a column."""
     o, d = F.col("o_zone_id").cast("long"), F.col("d_zone_id").cast("long")
     origin, target = (source_of(o), sink_of(d)) if centroids else (o, d)
+    origin = F.col("origin").cast("long") if "origin" in demand.columns else origin
     return demand.select("demand_period", "agent_type", "o_zone_id", origin.alias("origin"), target.alias("target"), "d_zone_id").groupBy("demand_period", "agent_type", "o_zone_id", "origin").agg(F.collect_set(F.struct("target", "d_zone_id")).alias("targets"))
 
 
@@ -188,7 +189,8 @@ def _searched(demand: DataFrame, shared, centroids: bool, schema: str) -> DataFr
             for period, agent, zone, origin, targets in zip(pdf["demand_period"], pdf["agent_type"], pdf["o_zone_id"], pdf["origin"], pdf["targets"]):
                 zones = {int(t["target"]): t["d_zone_id"] for t in targets}
                 found = list(network.graph(period, agent).routes(int(origin), sorted(zones)))
-                yield pd.DataFrame({"demand_period": period, "agent_type": agent, "o_zone_id": zone, "d_zone_id": [zones[t] for t, _, _ in found], "cost": [c for _, c, _ in found], "links": [w for _, _, w in found]}, index=range(len(found)))
+                if found:
+                    yield pd.DataFrame({"demand_period": period, "agent_type": agent, "o_zone_id": zone, "d_zone_id": [zones[t] for t, _, _ in found], "cost": [c for _, c, _ in found], "links": [w for _, _, w in found]})
 
     return searches(demand, centroids).mapInPandas(run, schema)
 

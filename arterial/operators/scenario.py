@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_within, settle
-from . import assign
+from . import assign, classes
 from . import paths as P
 
 
@@ -116,6 +116,90 @@ def reassign(links: DataFrame, paths: DataFrame, agent_types: DataFrame, info_zo
     return out, spark.createDataFrame(trace, "iteration int, total_minutes double, n_delayed int")
 
 
+def spliced(columns: DataFrame, timed: DataFrame, base: DataFrame, types: list[classes.AgentType], told: DataFrame, signs: DataFrame, tolls: DataFrame | None, centroids: bool) -> DataFrame:
+    """SC-05, GR-16, 17: columns of ``told`` types that pass a message sign before an affected link, partly led on another way.
+
+    ``timed`` and ``base``: links of all periods with ``cost`` and ``mask`` at the
+    scenario's and the base case's times, ``timed`` also with ``design_flag``; ``signs``:
+    ``link_id, node_id, zone_id``.  From each sign two ways on are searched for each
+    destination that an affected column past it has: the one at the base case's times,
+    which sets the reference time where it is affected, and the best one now.  What turns
+    off has the state ``spliced`` and is not scaled later.
+    """
+    cell = classes.CELL
+    key = F.concat_ws("\x1f", "demand_period", "agent_type")
+    flags = timed.select("demand_period", "link_id", "design_flag")
+    rows = settle(classes.column_costs(columns.join(told, "agent_type", "left_semi").where(F.col("state") == classes.GENERATED), timed, types, tolls))
+    hops = rows.select(*cell, "path_id", F.explode("links").alias("link_id"))
+    hit = hops.join(flags.where("design_flag = -1"), ["demand_period", "link_id"], "left_semi").select(*cell, "path_id").distinct()
+    rows = rows.join(hit.withColumn("impacted", F.lit(1)), [*cell, "path_id"], "left").fillna(0, ["impacted"])
+    passing = rows.where("impacted = 1").select(*cell, F.explode("links").alias("link_id")).join(broadcast_within(signs, 24), "link_id")
+    wanted = passing.select("demand_period", "agent_type", F.col("zone_id").alias("o_zone_id"), F.col("node_id").alias("origin"), "d_zone_id").distinct()
+    ways = classes.best_routes(timed, wanted, types, tolls, centroids).unionByName(classes.best_routes(base, wanted, types, tolls, centroids)).select(*cell, "links").distinct()
+    second = classes.column_costs(ways.withColumns({"state": F.lit(classes.GENERATED), "volume": F.lit(0.0)}), timed, types, tolls)
+    second_hit = second.select(*cell, "path_id", F.explode("links").alias("link_id")).join(flags.where("design_flag = -1"), ["demand_period", "link_id"], "left_semi").select(*cell, "path_id").distinct()
+    second = second.join(second_hit.withColumn("impacted", F.lit(1)), [*cell, "path_id"], "left").fillna(0, ["impacted"])
+    as_key = lambda df: df.withColumn("agent_type", key).drop("demand_period", "path_id", "state")
+    led = detours(as_key(rows), signs.select("link_id", "zone_id"), as_key(second))
+    split = F.split("agent_type", "\x1f")
+    led = led.withColumn("demand_period", split[0]).withColumn("agent_type", split[1])
+    known = rows.select(*cell, "links").withColumn("_own", F.lit(True))
+    led = led.join(known, [*cell, "links"], "left").withColumn("state", F.when(F.col("_own"), classes.GENERATED).otherwise(classes.SPLICED)).drop("_own")
+    rest = columns.join(rows.select(*cell, "links", "state"), [*cell, "links", "state"], "left_anti")
+    return classes.merged(rest.select(*cell, "links", "state", "volume").unionByName(led.select(*cell, "links", "state", "volume")))
+
+
+def reassign_classes(
+    links: DataFrame, columns: DataFrame, types: list[classes.AgentType], minutes: Callable[[DataFrame], DataFrame], iterations: int = 0, *, base: DataFrame,
+    informed_types: DataFrame | None = None, info_zones: DataFrame | None = None, tolls: DataFrame | None = None, centroids: bool = False, signs: DataFrame | None = None,
+    rescaled: Callable[[DataFrame], DataFrame] | None = None, shifts: int = 5,
+) -> tuple[DataFrame, DataFrame]:
+    """SC-02, 04, 05, 07 over the columns of :func:`classes.assign`; ``links`` after their changes, ``base`` before.
+
+    ``rescaled`` applies the scenario's demand factors to the volumes.  Drivers of message
+    sign types on affected columns may be led off behind a sign.  Then iterations 0 to
+    ``iterations`` let informed drivers choose anew at the current times, as
+    :func:`reassign` does; fixed and spliced columns keep their volume.  Last, ``shifts``
+    gradient steps move volume between the columns of informed types in pairs that a
+    changed link affects, and of no others.  Returns the columns and the trace
+    (``iteration, total_minutes, n_delayed``).
+    """
+    spark = links.sparkSession
+    cell = classes.CELL
+    empty = spark.createDataFrame([], "agent_type string, real_time_info int")
+    kinds = informed_types.select("agent_type", "real_time_info") if informed_types is not None else empty
+    zones = info_zones if info_zones is not None else spark.createDataFrame([], "zone_id int")
+    if rescaled is not None:
+        columns = settle(rescaled(columns).select(*cell, "links", "state", "volume"))
+    at = lambda net, cols: classes.costed(induced_delay(minutes(classes.loaded(net.withColumn("design_flag", F.coalesce("design_flag", F.lit(0))) if "design_flag" in net.columns else net.withColumn("design_flag", F.lit(0)), classes.loads(cols, types)))), types)
+    if signs is not None and not signs.isEmpty():
+        told = kinds.where("real_time_info = 2").select("agent_type").distinct()
+        columns = settle(spliced(columns, settle(at(links, columns)), settle(at(base, columns)), types, told, signs, tolls, centroids))
+    marked = settle(informed(columns, kinds, zones).select(*cell, "links", "state", "volume", "informed"))
+    moves = F.col("informed") & (F.col("state") == classes.GENERATED)
+    kept, found = marked.where(~moves).drop("informed"), marked.where(moves).drop("informed")
+    cells = settle(found.groupBy(*cell).agg(F.sum("volume").alias("demand")))
+    trace = []
+    for k in range(iterations + 1):
+        timed = settle(at(links, kept.unionByName(found)))
+        spent, delayed = timed.where("link_id >= 0").agg(F.sum(F.col("minutes") * F.col("volume")), F.count(F.when(F.col("design_flag") == -2, 1))).first()
+        trace.append((k, float(spent or 0.0), int(delayed)))
+        # a cell whose destination can no longer be reached keeps its columns
+        best = cells.join(classes.best_routes(timed, cells, types, tolls, centroids), cell)
+        new = best.select(*cell, "links", F.lit(classes.GENERATED).alias("state"), (F.col("demand") / (k + 1)).alias("volume"))
+        share = F.when(F.col("_new"), F.col("volume") * (k / (k + 1))).otherwise(F.col("volume"))
+        old = found.join(best.select(*cell).withColumn("_new", F.lit(True)), cell, "left").withColumn("volume", share).drop("_new").where("volume > 0")
+        found = settle(classes.merged(old.unionByName(new)))
+    flags = links.select("demand_period", "link_id", "design_flag").where("design_flag = -1")
+    for n in range(shifts):
+        timed = at(links, kept.unionByName(found))
+        hit = found.select(*cell, F.explode("links").alias("link_id")).join(flags, ["demand_period", "link_id"], "left_semi").select(*cell).distinct().withColumn("_hit", F.lit(True))
+        rows = classes.column_costs(found, timed, types, tolls).join(hit, cell, "left")
+        found = settle(classes.column_update(rows, n, F.col("_hit")).select(*cell, "links", "state", "volume"))
+    out = classes.merged(kept.unionByName(found))
+    return out, spark.createDataFrame(trace, "iteration int, total_minutes double, n_delayed int")
+
+
 def scenario_log(links: DataFrame, changes: DataFrame, kind: str = "sa") -> DataFrame:
     """SNK-18: ``scenario_type, link_id, lanes_before, lanes_after`` of each changed link."""
     new = changes.groupBy("from_node_id", "to_node_id").agg(F.max("lanes").alias("lanes_after"))

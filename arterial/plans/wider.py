@@ -24,8 +24,9 @@ CORRIDOR_DEMAND = [(1, 2, "p", 7000.0)]
 
 def two_corridors(spark) -> run.Inputs:
     links = spark.createDataFrame(CORRIDOR_LINKS, "link_id int, from_node_id int, to_node_id int, mile double, fftt double, period_cap double")
-    links = links.withColumns({"free_speed": F.lit(60.0), "lanes": F.lit(1.0), "lane_capacity": F.col("period_cap"), "cutoff": F.lit(51.0), "link_type": F.lit(1)})
-    return run.Inputs(links, spark.createDataFrame(CORRIDOR_DEMAND, "o_zone_id int, d_zone_id int, agent_type string, volume double"), run.delays(1.0, 7.5))
+    links = links.withColumns({"free_speed": F.lit(60.0), "lanes": F.lit(1.0), "lane_capacity": F.col("period_cap"), "cutoff": F.lit(51.0), "link_type": F.lit(1), "demand_period": F.lit("am")})
+    od = spark.createDataFrame(CORRIDOR_DEMAND, "o_zone_id int, d_zone_id int, agent_type string, volume double")
+    return run.Inputs(links, od.withColumn("demand_period", F.lit("am")), run.delays(1.0, 7.5))
 
 
 _CORRIDOR = """it(k, a, p) AS (SELECT 1, 7000.0::DOUBLE, 7000.0::DOUBLE UNION ALL

@@ -8,6 +8,7 @@ non-negative fields count as 0.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,6 +96,7 @@ class Settings:
     trajectory_every: int = 1
     trace_output: int = 0
     info_update_min: int = 5
+    corrections: int | None = None
     tables: dict[str, DataFrame] = dc_field(default_factory=dict)
 
     @classmethod
@@ -110,7 +112,7 @@ class Settings:
         get = lambda k, d: type(d)(float(row[k])) if (row.get(k) or "").replace(".", "", 1).isdigit() else d
         return cls(
             get("column_generation_iterations", 20), get("column_updating_iterations", 0), get("sensitivity_analysis_iterations", 0), get("simulation_iterations", 0),
-            get("path_output", 1), get("major_path_volume_threshold", 0.001), get("trajectory_sampling_rate", 1), get("trace_output", 0), get("info_updating_freq_in_min", 5), tables,
+            get("path_output", 1), get("major_path_volume_threshold", 0.001), get("trajectory_sampling_rate", 1), get("trace_output", 0), get("info_updating_freq_in_min", 5), get("odme_iterations", 0) if row.get("odme_iterations") else None, tables,
         )
 
 
@@ -186,12 +188,17 @@ def links(df: DataFrame, period: int = 1, hours: float = 1.0) -> DataFrame:
     return numbered.withColumn("link_id", (F.col("_i") + F.col("_o")).cast("int")).drop("_p", "_i", "_o", "_row")
 
 
-def tolls(df: DataFrame, link_ids: DataFrame, period: int = 1) -> DataFrame:
-    """SRC-13: long ``from_node_id, to_node_id, agent_type, toll`` from columns ``VDF_toll{agent}{period}``."""
-    cols = [c for c in df.columns if c.startswith("VDF_toll") and c.endswith(str(period))]
-    base = df.select(field(df, "from_node_id", "int").alias("from_node_id"), field(df, "to_node_id", "int").alias("to_node_id"), *[field(df, c, default=0.0).alias(c[8 : -len(str(period))]) for c in cols])
-    long = base.unpivot(["from_node_id", "to_node_id"], [c[8 : -len(str(period))] for c in cols], "agent_type", "toll") if cols else base.withColumns({"agent_type": F.lit(""), "toll": F.lit(0.0)}).limit(0)
-    return long.join(link_ids.select("from_node_id", "to_node_id"), ["from_node_id", "to_node_id"], "left_semi").where("toll <> 0")
+def tolls(df: DataFrame, links_: DataFrame, period: int = 1) -> DataFrame:
+    """SRC-13: long ``link_id, agent_type, toll`` from columns ``VDF_toll{agent}{period}``; of parallel links each has the greatest toll between its nodes."""
+    suffix = str(period)
+    cols = [c for c in df.columns if c.startswith("VDF_toll") and c.endswith(suffix) and len(c) > 8 + len(suffix)]
+    ends = [field(df, c, "int").alias(c) for c in ("from_node_id", "to_node_id")]
+    if not cols:
+        return links_.select("link_id", F.lit("").alias("agent_type"), F.lit(0.0).alias("toll")).limit(0)
+    names = {c: c[8 : -len(suffix)] for c in cols}
+    long = df.select(*ends, *[field(df, c, default=0.0).alias(names[c]) for c in cols]).unpivot(["from_node_id", "to_node_id"], list(names.values()), "agent_type", "toll")
+    most = long.where("toll <> 0").groupBy("from_node_id", "to_node_id", "agent_type").agg(F.max("toll").alias("toll"))
+    return links_.select("link_id", "from_node_id", "to_node_id").join(most, ["from_node_id", "to_node_id"]).select("link_id", "agent_type", "toll")
 
 
 def queue_parameters(df: DataFrame, period: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -234,9 +241,9 @@ def demand_matrix(df: DataFrame, agent_type: str, scale: float = 1.0) -> DataFra
     return long.select("o_zone_id", F.col("d").cast("int").alias("d_zone_id"), F.lit(agent_type).alias("agent_type"), (F.col("volume") * scale).alias("volume")).where("o_zone_id is not null and o_zone_id <> d_zone_id and volume > 0")
 
 
-def demand_paths(df: DataFrame, agent_type: str) -> DataFrame:
+def demand_paths(df: DataFrame, agent_type: str, scale: float = 1.0) -> DataFrame:
     """SRC-17: fixed routes: ``path_id, o_zone_id, d_zone_id, agent_type, volume, nodes``."""
-    return df.select(field(df, "path_id", "string", "").alias("path_id"), field(df, "o_zone_id", "int", required=True).alias("o_zone_id"), field(df, "d_zone_id", "int", required=True).alias("d_zone_id"), F.lit(agent_type).alias("agent_type"), field(df, "volume", default=0.0).alias("volume"), clock.id_list(field(df, "node_sequence", "string", "")).alias("nodes"))
+    return df.select(field(df, "path_id", "string", "").alias("path_id"), field(df, "o_zone_id", "int", required=True).alias("o_zone_id"), field(df, "d_zone_id", "int", required=True).alias("d_zone_id"), F.lit(agent_type).alias("agent_type"), (field(df, "volume", default=0.0) * scale).alias("volume"), clock.id_list(field(df, "node_sequence", "string", "")).alias("nodes"))
 
 
 def demand_activities(df: DataFrame) -> DataFrame:
@@ -306,8 +313,8 @@ def demand_formats(files: DataFrame) -> list[tuple[str, str, str, str, float]]:
     return [(r["f"], kind(r["t"]), r["a"], r["p"], r["s"]) for r in rows.collect() if r["f"]]
 
 
-def demand(spark: SparkSession, folder: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-09: the demand of all listed files that exist: cells (``o_zone_id, d_zone_id, agent_type, demand_period, volume``), and fixed paths (with ``path_id, nodes``)."""
+def demand(spark: SparkSession, folder: str, files: DataFrame, scaled: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-09: the demand of all listed files that exist: cells (``o_zone_id, d_zone_id, agent_type, demand_period, volume``), and fixed paths (with ``path_id, nodes``).  ``scaled`` is applied to what column files give (DM-05)."""
     cells = spark.createDataFrame([], "o_zone_id int, d_zone_id int, agent_type string, demand_period string, volume double")
     fixed = spark.createDataFrame([], "path_id string, o_zone_id int, d_zone_id int, agent_type string, demand_period string, volume double, nodes array<int>")
     for name, kind, agent, period, scale in demand_formats(files):
@@ -316,9 +323,11 @@ def demand(spark: SparkSession, folder: str, files: DataFrame) -> tuple[DataFram
             continue
         df = read_csv(spark, path)
         if kind == "path":
-            fixed = fixed.unionByName(demand_paths(df, agent).withColumn("demand_period", F.lit(period)))
+            fixed = fixed.unionByName(demand_paths(df, agent, scale).withColumn("demand_period", F.lit(period)))
             continue
         rows = demand_matrix(df, agent, scale) if kind == "matrix" else demand_activities(df).drop("agent_id", "leg") if kind == "activity_plan" else demand_column(df, agent, scale)
+        if scaled is not None and kind == "column":
+            rows = scaled(rows).select("o_zone_id", "d_zone_id", "agent_type", "volume")
         cells = cells.unionByName(rows.withColumn("demand_period", F.lit(period)))
     return cells, fixed
 
