@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,15 +109,44 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(pts)[:-1] + chain(pts[::-1])[:-1])
 
 
-def hulls(nodes: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """AGG-21: ``key, n_vertices, geometry`` of the convex hull of each group with four points or more."""
+#: Points of a key that a task holds before it keeps their hull only.
+HELD = 50_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = hull(pdf[[x, y]].to_numpy())
+
+def hulls(nodes: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """GEO-05, AGG-21: ``key, n_vertices, geometry`` of the convex hull of each group with four different points or more.
+
+    Hulls merge: each task keeps the hulls of its share of a group, and the hull of these
+    is the group's, so a group of any size is worked on by many tasks and what meets in one
+    is a hull for each of them.  A few points go along, so that groups of fewer than four
+    are known.
+    """
+
+    def shrink(points: np.ndarray) -> np.ndarray:
+        points = np.unique(points, axis=0)
+        return np.unique(np.concatenate((hull(points), points[:4])), axis=0)
+
+    def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[object, list[np.ndarray]] = {}
+        sizes: dict[object, int] = {}
+        for pdf in batches:
+            for name, own in pdf.groupby(key, dropna=False):
+                held.setdefault(name, []).append(own[[x, y]].to_numpy())
+                sizes[name] = sizes.get(name, 0) + len(own)
+                if sizes[name] > HELD:
+                    held[name] = [shrink(np.concatenate(held[name]))]
+                    sizes[name] = len(held[name][0])
+        for name, parts in held.items():
+            few = shrink(np.concatenate(parts))
+            yield pd.DataFrame({key: pd.Series([None if pd.isna(name) else name] * len(few), dtype=object), x: few[:, 0], y: few[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        points = np.unique(pdf[[x, y]].to_numpy(), axis=0)
+        corners = hull(points)
         ring = ", ".join(f"{a:.6f} {b:.6f}" for a, b in [*corners, corners[0]])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_vertices": [len(corners)], "geometry": [f"POLYGON (({ring}))"]})
+        out = pdf[[key]].head(1).assign(n_vertices=len(corners), geometry=pd.Series([f"POLYGON (({ring}))"], dtype=object, index=pdf.index[:1]))
+        return out if len(points) >= 4 else out.head(0)
 
     kind = nodes.schema[key].dataType.simpleString()
-    points = nodes.select(key, x, y).distinct()
-    points = points.join(points.groupBy(key).count().where("count >= 4").select(key), key, "left_semi")
-    return points.groupBy(key).applyInPandas(run, f"{key} {kind}, n_vertices long, geometry string")
+    points = nodes.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    return points.mapInPandas(share, f"`{key}` {kind}, `{x}` double, `{y}` double").groupBy(key).applyInPandas(whole, f"`{key}` {kind}, n_vertices long, geometry string")

@@ -29,30 +29,18 @@ def column_generation(links: DataFrame, od: DataFrame, iterations: int, minutes:
     ``minutes`` adds travel time to links that have ``volume``.  Iteration k takes
     times from the link volumes that iteration k-1 loaded, loads the paths found so
     far, scales them by k/(k+1), and gives 1/(k+1) of each demand to the path that is
-    best at those times, so flows found at k act on times at k+2.  Returns the paths
+    best at those times, so flows found at k act on times at k+2.  One period, all links
+    open to all types: :func:`classes.assign` is the general form.  Returns the paths
     (``o_zone_id, d_zone_id, agent_type, links, volume``) and the trace (``iteration,
     total_minutes, least_minutes, gap``).
     """
-    spark = links.sparkSession
-    demand = settle(od.groupBy("o_zone_id", "d_zone_id", "agent_type").agg(F.sum("volume").alias("demand")).where("demand > 0"))
-    origins = demand.select(F.col("o_zone_id").alias("origin")).distinct()
-    state = settle(links.withColumns({"volume": F.lit(0.0), "persons": F.lit(0.0)}))
-    found: DataFrame | None = None
-    trace = []
-    for k in range(iterations):
-        timed = settle(minutes(state))
-        spent = timed.agg(F.sum(F.col("minutes") * F.col("volume"))).first()[0] or 0.0
-        state = settle(loaded(links, link_volumes(found))) if found is not None else state
-        costed = timed.withColumn("cost", F.col("minutes") + F.coalesce(F.col("link_id") * F.lit(1e-9), F.lit(0.0)))
-        share = settle(demand.join(P.routes_grouped(costed, origins), ["o_zone_id", "d_zone_id"]))
-        new = share.select("o_zone_id", "d_zone_id", "agent_type", "links", (F.col("demand") / (k + 1)).alias("volume"))
-        least = share.agg(F.sum(F.col("demand") * F.col("cost"))).first()[0] or 0.0
-        old = [found.withColumn("volume", F.col("volume") * (k / (k + 1)))] if found is not None else []
-        for more in old:
-            new = new.unionByName(more)
-        found = settle(P.merge_paths(new, ["o_zone_id", "d_zone_id", "agent_type"]))
-        trace.append((k, spent, least, (spent - least) / max(1e-5, least)))
-    return found, spark.createDataFrame(trace, "iteration int, total_minutes double, least_minutes double, gap double")
+    from . import classes
+
+    one = od.withColumn("demand_period", F.lit("all"))
+    names = od.select("agent_type").distinct().orderBy("agent_type").limit(classes.MOST_TYPES).collect()
+    net = links.drop("allowed_uses", "penalty").withColumn("demand_period", F.lit("all"))
+    columns, trace = classes.assign(net, one, [classes.AgentType(r[0]) for r in names], iterations, minutes)
+    return columns.select("o_zone_id", "d_zone_id", "agent_type", "links", "volume"), trace
 
 
 def link_based(links: DataFrame, od: DataFrame, iterations: int, minutes: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -158,11 +158,27 @@ class Network:
 
 
 def searches(demand: DataFrame, centroids: bool) -> DataFrame:
-    """``demand_period, agent_type, o_zone_id, origin, targets``: one row for each search, with the nodes it must reach; it starts at the origin zone's node, or at ``origin`` where the demand has such a column."""
+    """``demand_period, agent_type, o_zone_id, origin, targets``: one row for each search, with the nodes it must reach; it starts at the origin zone's node, or at ``origin`` where the demand has such a column.  A column ``demand`` travels with its target."""
     o, d = F.col("o_zone_id").cast("long"), F.col("d_zone_id").cast("long")
     origin, target = (source_of(o), sink_of(d)) if centroids else (o, d)
     origin = F.col("origin").cast("long") if "origin" in demand.columns else origin
-    return demand.select("demand_period", "agent_type", "o_zone_id", origin.alias("origin"), target.alias("target"), "d_zone_id").groupBy("demand_period", "agent_type", "o_zone_id", "origin").agg(F.collect_set(F.struct("target", "d_zone_id")).alias("targets"))
+    carried = F.col("demand") if "demand" in demand.columns else F.lit(None).cast("double").alias("demand")
+    one = F.struct(target.alias("target"), "d_zone_id", carried)
+    return demand.groupBy("demand_period", "agent_type", "o_zone_id", origin.alias("origin")).agg(F.collect_set(one).alias("targets"))
+
+
+def _schema(requests: DataFrame, link_kind: str) -> str:
+    kind = lambda t: t.simpleString()
+    o, d = requests.schema["o_zone_id"].dataType, requests.schema["targets"].dataType.elementType["d_zone_id"].dataType
+    return f"demand_period string, agent_type string, o_zone_id {kind(o)}, d_zone_id {kind(d)}, cost double, links array<{link_kind}>, demand double"
+
+
+def fits(links: DataFrame, tolls: DataFrame | None) -> bool:
+    """Whether the rows of all periods and tolls, 40 bytes each, may be broadcast."""
+    return 40 * (links.count() + (tolls.count() if tolls is not None else 0)) <= P.NETWORK_BYTES
+
+
+_TOLLS = ["demand_period", "agent_type", "link_id", "toll"]
 
 
 def best_routes(links: DataFrame, demand: DataFrame, types: list[AgentType], tolls: DataFrame | None = None, centroids: bool = False) -> DataFrame:
@@ -172,43 +188,49 @@ def best_routes(links: DataFrame, demand: DataFrame, types: list[AgentType], tol
     ``demand_period, link_id, agent_type, toll``.  Beyond paths.NETWORK_BYTES each class is
     searched by the relational form.
     """
-    spark = demand.sparkSession
-    kind = {c: (demand if c in demand.columns else links).schema[c].dataType.simpleString() for c in ("o_zone_id", "d_zone_id", "link_id")}
-    tolls = tolls if tolls is not None else spark.createDataFrame([], f"demand_period string, link_id {kind['link_id']}, agent_type string, toll double")
-    schema = f"demand_period string, agent_type string, o_zone_id {kind['o_zone_id']}, d_zone_id {kind['d_zone_id']}, cost double, links array<{kind['link_id']}>"
-    if 40 * links.count() + 40 * tolls.count() > P.NETWORK_BYTES:
-        return _relational(settle(links), settle(demand), types, tolls, centroids, schema)
-    packed = links.select("demand_period", "link_id", "from_node_id", "to_node_id", "cost", "mask").toPandas(), tolls.select("demand_period", "agent_type", "link_id", "toll").toPandas()
-    return _searched(demand, spark.sparkContext.broadcast((*packed, types)), centroids, schema)
+    requests = searches(demand, centroids)
+    schema = _schema(requests, links.schema["link_id"].dataType.simpleString())
+    if not fits(links, tolls):
+        return _relational(settle(links), settle(requests), types, tolls, schema).drop("demand")
+    frame = links.select("demand_period", "link_id", "from_node_id", "to_node_id", "cost", "mask").toPandas()
+    fees = tolls.select(*_TOLLS).toPandas() if tolls is not None else pd.DataFrame(columns=_TOLLS)
+    return _searched(requests, frame, fees, types, schema).drop("demand")
+
 
+def _searched(requests: DataFrame, links: pd.DataFrame, tolls: pd.DataFrame, types: list[AgentType], schema: str) -> DataFrame:
+    shared = requests.sparkSession.sparkContext.broadcast((links, tolls, types))
 
-def _searched(demand: DataFrame, shared, centroids: bool, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         network = Network(*shared.value)
         for pdf in batches:
             for period, agent, zone, origin, targets in zip(pdf["demand_period"], pdf["agent_type"], pdf["o_zone_id"], pdf["origin"], pdf["targets"]):
-                zones = {int(t["target"]): t["d_zone_id"] for t in targets}
-                found = list(network.graph(period, agent).routes(int(origin), sorted(zones)))
+                ends = {int(t["target"]): t for t in targets}
+                found = list(network.graph(period, agent).routes(int(origin), sorted(ends)))
                 if found:
-                    yield pd.DataFrame({"demand_period": period, "agent_type": agent, "o_zone_id": zone, "d_zone_id": [zones[t] for t, _, _ in found], "cost": [c for _, c, _ in found], "links": [w for _, _, w in found]})
+                    yield pd.DataFrame({
+                        "demand_period": period, "agent_type": agent, "o_zone_id": zone, "d_zone_id": [ends[t]["d_zone_id"] for t, _, _ in found],
+                        "cost": [c for _, c, _ in found], "links": [w for _, _, w in found], "demand": [ends[t]["demand"] for t, _, _ in found],
+                    }).astype({"demand": float})
 
-    return searches(demand, centroids).mapInPandas(run, schema)
+    return requests.mapInPandas(run, schema)
 
 
-def _relational(links: DataFrame, demand: DataFrame, types: list[AgentType], tolls: DataFrame, centroids: bool, schema: str) -> DataFrame:
+def _relational(links: DataFrame, requests: DataFrame, types: list[AgentType], tolls: DataFrame | None, schema: str) -> DataFrame:
     """The same routes by joins, one class after the other; classes are few."""
-    out = demand.sparkSession.createDataFrame([], schema)
-    rows = searches(demand, centroids).select("demand_period", "agent_type", "o_zone_id", "origin", F.explode("targets").alias("t")).select("demand_period", "agent_type", "o_zone_id", "origin", "t.target", "t.d_zone_id")
+    out = requests.sparkSession.createDataFrame([], schema)
+    rows = requests.select("demand_period", "agent_type", "o_zone_id", "origin", F.explode("targets").alias("t")).select("demand_period", "agent_type", "o_zone_id", "origin", "t.target", "t.d_zone_id", "t.demand")
     for i, t in enumerate(types):
-        toll = tolls.where(F.col("agent_type") == t.name).groupBy("demand_period", "link_id").agg(F.sum("toll").alias("_toll"))
-        own = links.where(F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1).join(toll, ["demand_period", "link_id"], "left").withColumn("cost", F.col("cost") + F.coalesce("_toll", F.lit(0.0)) / t.vot * 60.0)
-        for (period,) in demand.where(F.col("agent_type") == t.name).select("demand_period").distinct().collect():
+        own = links.where(F.shiftright("mask", i).bitwiseAND(F.lit(1)) == 1)
+        if tolls is not None:
+            fee = tolls.where(F.col("agent_type") == t.name).groupBy("demand_period", "link_id").agg(F.sum("toll").alias("_toll"))
+            own = own.join(fee, ["demand_period", "link_id"], "left").withColumn("cost", F.col("cost") + F.coalesce("_toll", F.lit(0.0)) / t.vot * 60.0)
+        for (period,) in requests.where(F.col("agent_type") == t.name).select("demand_period").distinct().collect():
             mine = rows.where((F.col("agent_type") == t.name) & (F.col("demand_period") == period))
             ends = own.where(F.col("demand_period") == period).select("link_id", F.col("from_node_id").cast("long").alias("from_node_id"), F.col("to_node_id").cast("long").alias("to_node_id"), "cost")
             tree = P.labels(ends, mine.select("origin").distinct())
             pairs = mine.where("origin <> target").select(F.col("origin").alias("o_zone_id"), F.col("target").alias("d_zone_id"))
             found = P.routes(tree, pairs).withColumnsRenamed({"o_zone_id": "origin", "d_zone_id": "target"})
-            out = out.unionByName(mine.join(found, ["origin", "target"]).select(*CELL, "cost", F.filter("links", lambda x: x >= 0).alias("links")))
+            out = out.unionByName(mine.join(found, ["origin", "target"]).select(*CELL, "cost", F.filter("links", lambda x: x >= 0).alias("links"), "demand"))
     return out
 
 
@@ -262,17 +284,28 @@ def assign(
     least_minutes, gap``).  Each iteration writes one table, the columns.
     """
     spark = links.sparkSession
-    demand = settle(od.groupBy(*CELL).agg(F.sum("volume").alias("demand")).where("demand > 0"))
+    demand = od.groupBy(*CELL).agg(F.sum("volume").alias("demand")).where("demand > 0")
+    requests = settle(searches(demand, centroids))
     kind = links.schema["link_id"].dataType.simpleString()
+    schema = _schema(requests, kind)
     links = settle(links)
     empty = spark.createDataFrame([], f"demand_period string, link_id {kind}, volume double, persons double")
+    small = fits(links, tolls)
+    fees = tolls.select(*_TOLLS).toPandas() if small and tolls is not None else pd.DataFrame(columns=_TOLLS)
     pool, state, trace = fixed, empty, []
     for k in range(iterations):
-        timed = settle(costed(minutes(loaded(links, state)), types))
-        spent = timed.where("link_id >= 0").agg(F.sum(F.col("minutes") * F.col("volume"))).first()[0] or 0.0
+        timed = costed(minutes(loaded(links, state)), types)
         state = loads(pool, types) if pool is not None else empty
+        if small:
+            frame = timed.select("demand_period", "link_id", "from_node_id", "to_node_id", "cost", "mask", "minutes", "volume").toPandas()
+            real = frame[frame["link_id"] >= 0]
+            spent = float((real["minutes"] * real["volume"]).sum())
+            share = _searched(requests, frame, fees, types, schema)
+        else:
+            timed = settle(timed)
+            spent = timed.where("link_id >= 0").agg(F.sum(F.col("minutes") * F.col("volume"))).first()[0] or 0.0
+            share = _relational(timed, requests, types, tolls, schema)
         seen = Observation()
-        share = demand.join(best_routes(timed, demand, types, tolls, centroids), CELL)
         share = share.observe(seen, F.sum(F.col("demand") * F.col("cost")).alias("least"))
         new = share.select(*CELL, "links", F.lit(GENERATED).alias("state"), (F.col("demand") / (k + 1)).alias("volume"))
         if pool is not None:

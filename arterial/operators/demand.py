@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, units
-from . import access
-
-#: Ranges of values in which a rank is sought.
-PARTS = 1024
+from . import access, ranges
 
 
 def known_pairs(demand: DataFrame, zones: DataFrame) -> DataFrame:
@@ -111,22 +110,16 @@ def subarea_zones(nodes: DataFrame, demand: DataFrame, ring: list[tuple[float, f
 
 
 def cutoff_value(impacts: DataFrame, value: str, share: float = 0.25, least: int = 100) -> DataFrame:
-    """SRT-02: ``cutoff, n_kept``: the value at rank n - max(share * n, least), descending, the smallest value if that rank is below 1.
+    """SRT-02: ``cutoff, n_kept``: the value at rank n - max(share * n, least), descending, the smallest value if that rank is below 1; no row without positive values.
 
-    Values are counted in equal ranges first; only those of the range in which the rank
-    falls are ordered.
+    The rank is found by :func:`ranges.value_at`.
     """
-    v = impacts.where(F.col(value) > 0).select(F.col(value).alias("_v"))
-    stats = v.agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    at = F.floor(F.col("_n") - F.greatest(F.lit(share) * F.col("_n"), F.lit(float(least)))).cast("long")
-    part = F.floor(F.try_divide(F.col("_v") - F.col("_min"), F.col("_max") - F.col("_min")) * (PARTS - 1)).cast("int")
-    dealt = v.crossJoin(F.broadcast(stats)).select("_v", "_min", at.alias("_at"), F.coalesce(part, F.lit(0)).alias("_part"))
-    per = dealt.groupBy("_part", "_at", "_min").agg(F.count("*").alias("_c"))
-    down = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, 0)  # PARTS rows at most
-    hit = per.withColumn("_upto", F.sum("_c").over(down)).where("_at > _upto - _c and _at <= _upto").select("_part", (F.col("_at") - F.col("_upto") + F.col("_c")).alias("_r"))
-    inside = dealt.join(F.broadcast(hit), "_part").withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(F.desc("_v"))))
-    pick = inside.where("_k = _r").select("_v").unionByName(stats.where(at < 1).select(F.col("_min").alias("_v"))).agg(F.max("_v").alias("cutoff"))
-    return v.crossJoin(F.broadcast(pick)).where("_v >= cutoff").groupBy("cutoff").agg(F.count("*").alias("n_kept"))
+    v = impacts.where(F.col(value) > 0).select(F.col(value).cast("double").alias("_v"))
+    n = v.count()
+    at = max(1, floor(n - max(share * n, float(least)))) if n - max(share * n, float(least)) >= 1 else n
+    cutoff = ranges.value_at(v, "_v", at)
+    kept = v.where(F.col("_v") >= F.lit(cutoff)).agg(F.count("*").alias("n_kept"))
+    return kept.where("n_kept > 0").select(F.lit(cutoff).cast("double").alias("cutoff"), "n_kept")
 
 
 def nearest(points: DataFrame, seeds: DataFrame, key: str, seed: str) -> DataFrame:

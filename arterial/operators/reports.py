@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..session import broadcast_within
+from . import ranges
 
 
 def od_totals(demand: DataFrame) -> DataFrame:
@@ -60,12 +61,12 @@ def od_weighted(paths: DataFrame, types: list[str]) -> DataFrame:
     return paths.groupBy("o_zone_id", "d_zone_id").agg(F.sum(v).alias("volume"), mean("path_miles", v).alias("avg_mile"), mean("path_cost", v).alias("avg_time"), *each)
 
 
-def count_errors(loads: DataFrame, counts: DataFrame) -> DataFrame:
-    """AGG-11, 13: MAE, MAPE and MPE of loads against counts of 1 or more; upper bounds count only where exceeded."""
+def count_errors(loads: DataFrame, counts: DataFrame, *by: str) -> DataFrame:
+    """AGG-11, 13: MAE, MAPE and MPE of loads against counts of 1 or more, for each of ``by``; upper bounds count only where exceeded."""
     rows = counts.where("obs_count >= 1").join(loads, "link_id").withColumn("_d", F.col("volume") - F.col("obs_count"))
     rows = rows.where((F.col("upper_bound_flag") == 0) | (F.col("_d") > 0))
     d, o = F.col("_d"), F.col("obs_count")
-    return rows.agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), (F.avg(F.abs(d) / o) * 100).alias("mape"), (F.avg(d / o) * 100).alias("mpe"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), (F.avg(F.abs(d) / o) * 100).alias("mape"), (F.avg(d / o) * 100).alias("mpe"))
 
 
 def moe_totals(performance: DataFrame) -> DataFrame:
@@ -203,9 +204,6 @@ def trace(visits: DataFrame, free: DataFrame, order: str = "event_id") -> DataFr
     return rows.select("agent_id", at.alias("pos"), "link_id", "t_in", (F.col("t_in") - begun).alias("elapsed"), on.alias("on_link"), F.greatest(F.lit(0.0), on - F.col("fftt")).alias("wait"))
 
 
-def ranked_by_time(rows: DataFrame, time: str, *ties: str, slot: float = 5.0) -> DataFrame:
-    """SRT-04: add ``rank`` over all rows by time, then ``ties``: rows are ordered within slots, whose sizes are summed before, so no task orders them all."""
-    at = F.floor(F.col(time) / slot)
-    rows = rows.withColumn("_slot", at)
-    before = rows.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return rows.join(broadcast_within(before, 24), "_slot").withColumn("rank", F.col("_before") + F.row_number().over(W.partitionBy("_slot").orderBy(time, *ties))).drop("_slot", "_before")
+def ranked_by_time(rows: DataFrame, time: str, *ties: str) -> DataFrame:
+    """SRT-04: add ``rank`` over all rows by time, then ``ties``, by :func:`ranges.numbered`, so no task orders them all."""
+    return ranges.numbered(rows, [], time, *ties)

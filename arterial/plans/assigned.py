@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classes, correction, demand
+from ..operators import classes, correction, demand, queues
 from . import star
 from .catalog import C, free_paths, query, r6, timed
 
@@ -120,3 +120,23 @@ def od_correction(spark, sf):
     types = [classes.AgentType(t.name) for t in TYPES]
     out, _ = correction.correct_columns(p, period_links(spark, sf, ("am",)), counts, types, 2)
     return out.select("o_zone_id", "d_zone_id", "agent_type", r6("volume").alias("volume"))
+
+
+_U = "('0x' || substr(md5(link_id || ';' || minute || ';101'), 1, 10))::BIGINT / 1099511627776.0::DOUBLE"
+_QUEUE = f"""per_min AS (SELECT link_id, minute, lane_capacity * lanes / 60.0 AS c FROM clink, range(1440) r(minute)),
+cap AS (SELECT link_id, minute, (floor(c) + CASE WHEN {_U} < c - floor(c) THEN 1 ELSE 0 END) * CASE WHEN link_id % 10 = 0 AND minute >= 480 AND minute < 540 THEN 0.02::DOUBLE ELSE 1.0::DOUBLE END AS c FROM per_min),
+step AS (SELECT *, sum(c) OVER (PARTITION BY link_id ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, coalesce(sum(c) OVER (PARTITION BY link_id ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS b FROM cap),
+arr AS (SELECT event_id, t.link_id, (t.t_in % 1440)::DOUBLE AS r, s.b AS u FROM trip t JOIN step s ON s.link_id = t.link_id AND s.minute = t.t_in % 1440),
+num AS (SELECT *, row_number() OVER (PARTITION BY link_id ORDER BY u, event_id) - 1 AS i FROM arr),
+dep AS (SELECT *, i + max(u - i) OVER (PARTITION BY link_id ORDER BY u, event_id) AS d FROM num)"""
+
+
+@query("""SELECT event_id, dep.link_id, round(minute + (d - b) / c, 4) AS depart FROM dep JOIN step ON step.link_id = dep.link_id AND c > 0 AND d >= b AND (d < e OR minute = 1439)""", "trip", "clink", more=_QUEUE)
+def sim_incident_queue(spark, sf):
+    """SIM-02, 06, SC-08: every event's vehicle queues on its link under a random capacity by minute, which incidents on every tenth link cut to a fiftieth from eight to nine."""
+    net = star.links(spark, sf)
+    drawn = queues.stochastic_capacity(net, 1440, an_hour=60)
+    hit = (C("link_id") % 10 == 0) & (C("step") >= 480) & (C("step") < 540)
+    capacity = drawn.select("link_id", C("step").alias("minute"), (C("capacity") * F.when(hit, 0.02).otherwise(1.0)).alias("capacity"))
+    rows = star.trip_events(spark, sf).select("event_id", "link_id", (C("t_in") % 1440).cast("double").alias("ready"))
+    return queues.varying_link(rows, capacity, "link_id", "event_id", "ready").select("event_id", "link_id", F.round("depart", 4).alias("depart"))

@@ -19,6 +19,9 @@ PERIODS = (("am", 6, 10, 4.0), ("md", 10, 15, 5.0), ("pm", 15, 19, 4.0))
 #: A rectangle over the middle of the grid, used as subarea.
 SUBAREA = [(-111.985, 33.415), (-111.935, 33.415), (-111.935, 33.465), (-111.985, 33.465)]
 
+#: A rectangle whose corners no line between two nodes meets.
+FOCUS = [(-111.9857, 33.4143), (-111.9341, 33.4143), (-111.9341, 33.4657), (-111.9857, 33.4657)]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,33 +10,35 @@ from pyspark.sql import functions as F
 from ..operators import access, assign, demand, paths, reports, run, scenario
 from ..sources import sinks
 from . import star
-from .catalog import _HAV, _PROFILE, _TWO, C, KEY, free_paths, loads, morning_profile, query, r6, timed, two_paths
+from .catalog import _HAV, _PROFILE, _TWO, SUBAREA_SQL, C, KEY, free_paths, loads, morning_profile, query, r6, timed, two_paths
 
-_INSIDE = "({n}.x_coord > -111.985 AND {n}.x_coord < -111.935 AND {n}.y_coord > 33.415 AND {n}.y_coord < 33.465)"
 
 
 # ---- runs and scenarios
 
-#: The four links of the two-corridor network (link, from, to, miles, minutes, capacity) and its one demand cell.
+#: The four links of the two-corridor network (link, from, to, miles, minutes, capacity), and its trips for a unit of an order's mean quantity.
 CORRIDOR_LINKS = [(1, 1, 3, 10.0, 10.0, 4000.0), (2, 3, 2, 10.0, 10.0, 4000.0), (3, 1, 4, 15.0, 15.0, 3000.0), (4, 4, 2, 15.0, 15.0, 3000.0)]
-CORRIDOR_DEMAND = [(1, 2, "p", 7000.0)]
+CORRIDOR_RATE = 70.0
 
 
-def two_corridors(spark) -> run.Inputs:
+def two_corridors(spark, sf) -> run.Inputs:
     links = spark.createDataFrame(CORRIDOR_LINKS, "link_id int, from_node_id int, to_node_id int, mile double, fftt double, period_cap double")
     links = links.withColumns({"free_speed": F.lit(60.0), "lanes": F.lit(1.0), "lane_capacity": F.col("period_cap"), "cutoff": F.lit(51.0), "link_type": F.lit(1), "demand_period": F.lit("am")})
-    od = spark.createDataFrame(CORRIDOR_DEMAND, "o_zone_id int, d_zone_id int, agent_type string, volume double")
-    return run.Inputs(links, od.withColumn("demand_period", F.lit("am")), run.delays(1.0, 7.5))
+    lines = star.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"))
+    mean = lines.agg((F.sum("q") / F.count("*")).cast("double").alias("q"))
+    od = mean.select(F.lit("am").alias("demand_period"), F.lit("p").alias("agent_type"), F.lit(1).alias("o_zone_id"), F.lit(2).alias("d_zone_id"), (C("q") * CORRIDOR_RATE).alias("volume"))
+    return run.Inputs(links, od, run.delays(1.0, 7.5))
 
 
-_CORRIDOR = """it(k, a, p) AS (SELECT 1, 7000.0::DOUBLE, 7000.0::DOUBLE UNION ALL
-SELECT k + 1, a * (k + 1) / (k + 2)::DOUBLE + CASE WHEN 20 * (1 + 0.15::DOUBLE * pow(p / 4000.0::DOUBLE, 4)) <= 30 * (1 + 0.15::DOUBLE * pow((7000.0::DOUBLE - p) / 3000.0::DOUBLE, 4)) THEN 7000.0::DOUBLE / (k + 2) ELSE 0.0 END, a FROM it WHERE k < 19)"""
+_CORRIDOR = """trips AS (SELECT 70.0::DOUBLE * sum(l_quantity)::DOUBLE / count(DISTINCT l_orderkey) AS v FROM lineitem),
+it(k, a, p, v) AS (SELECT 1, v, v, v FROM trips UNION ALL
+SELECT k + 1, a * (k + 1) / (k + 2)::DOUBLE + CASE WHEN 20 * (1 + 0.15::DOUBLE * pow(p / 4000.0::DOUBLE, 4)) <= 30 * (1 + 0.15::DOUBLE * pow((v - p) / 3000.0::DOUBLE, 4)) THEN v / (k + 2) ELSE 0.0 END, a, v FROM it WHERE k < 19)"""
 
 
-@query("SELECT link_id, round(CASE WHEN link_id <= 2 THEN a ELSE 7000.0 - a END, 4) AS volume FROM it, (VALUES (1), (2), (3), (4)) l(link_id) WHERE k = 19", more=_CORRIDOR)
+@query("SELECT link_id, round(CASE WHEN link_id <= 2 THEN a ELSE v - a END, 4) AS volume FROM it, (VALUES (1), (2), (3), (4)) l(link_id) WHERE k = 19", more=_CORRIDOR)
 def run_two_corridor(spark, sf):
-    """GR-08, 09, SNK-01, SNK-15: the whole run over the two-corridor network, twenty iterations."""
-    return run.solve(two_corridors(spark), 20).performance.select("link_id", F.round("volume", 4).alias("volume"))
+    """GR-08, 09, SNK-01: the whole run over the two-corridor network, twenty iterations; the demand follows from the orders' mean quantity."""
+    return run.solve(two_corridors(spark, sf), 20).performance.select("link_id", F.round("volume", 4).alias("volume"))
 
 
 _AFTER = "after_(link_id, from_node_id, to_node_id, minutes) AS (SELECT link_id, from_node_id, to_node_id, CASE WHEN link_id % 10 = 0 THEN fftt * free_speed / greatest(0.1, free_speed / (1 + 0.15::DOUBLE * (volume / (period_cap * 1.0::DOUBLE / lanes)) ** 4)) ELSE minutes END FROM vdf)"
@@ -49,7 +51,7 @@ FROM sc l JOIN after_ e ON e.from_node_id = l.node LEFT JOIN recurring.sc r ON r
 @query("""SELECT link_id, round(coalesce(sum(v), 0.0), 4) AS volume FROM clink LEFT JOIN (SELECT volume AS v, unnest(CASE WHEN agent_type = 'building' OR agent_type = 'machinery' AND o_zone_id IN (1, 7, 13) THEN s.links ELSE p.links END) AS link_id
 FROM path p JOIN sc s ON s.o = p.o_zone_id AND s.node = p.d_zone_id) USING (link_id) GROUP BY link_id""", "vdf", "net_node", more=_SC)
 def sc_reassign(spark, sf):
-    """SC-04, 05, 07, FN-26: every tenth link is cut to one lane; drivers with real-time information, and those of message signs in three zones, choose anew."""
+    """SC-04, 07, FN-26: every tenth link is cut to one lane; drivers with real-time information, and those of message signs in three zones, choose anew."""
     base = free_paths(spark, sf)
     changes = star.links(spark, sf).where("link_id % 10 = 0").select("from_node_id", "to_node_id", F.lit(1.0).alias("lanes"))
     changed = scenario.lane_changes(star.costed_links(spark, sf), changes)
@@ -189,13 +191,10 @@ def snk_model_link(spark, sf):
     return sinks.model_links(star.links(spark, sf), star.nodes(spark, sf)).select("link_id", "geometry")
 
 
-@query(f"""SELECT zone_id, CASE WHEN inside THEN 'inside' ELSE 'related' END AS relation, round(impact, 6) AS impact FROM (SELECT n.zone_id, {_INSIDE.format(n='n')} AS inside, coalesce((SELECT sum(volume) FROM od JOIN net_node b ON b.zone_id = d_zone_id WHERE o_zone_id = n.zone_id AND ({_INSIDE.format(n='n')} OR {_INSIDE.format(n='b')})
-AND (b.x_coord = n.x_coord OR b.y_coord = n.y_coord) AND abs(b.x_coord - n.x_coord) + abs(b.y_coord - n.y_coord) < 0.03), 0.0) AS impact FROM net_node n) WHERE inside OR impact > 0""", "od", "net_node")
+@query("SELECT zone_id, CASE WHEN inside THEN 'inside' ELSE 'related' END AS relation, round(impact, 6) AS impact FROM area WHERE inside OR impact > 0", "od", "net_node", more=SUBAREA_SQL)
 def snk_subarea_zones(spark, sf):
-    """SNK-17, DM-07: demand between grid neighbours only, so that a trip touches the subarea exactly when an end lies in it."""
-    n = star.nodes(spark, sf)
-    near = star.links(spark, sf).select(C("from_node_id").alias("o_zone_id"), C("to_node_id").alias("d_zone_id"))
-    zones = demand.subarea_zones(n, star.od_demand(spark, sf).join(near, ["o_zone_id", "d_zone_id"], "left_semi"), star.SUBAREA)
+    """SNK-17, DM-07: zones in the subarea, and those with demand that ends or passes there."""
+    zones = demand.subarea_zones(star.nodes(spark, sf), star.od_demand(spark, sf), star.FOCUS)
     return sinks.subarea_rows(zones).withColumn("impact", r6("impact"))
 
 
