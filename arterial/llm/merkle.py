@@ -6,7 +6,7 @@ the dataset's root in the same way.  H is the lowercase hex SHA-256 of concatena
 digests.
 
 Leaves are numbered by a range partitioning with prefix sums over partitions, so a group
-of any size is spread.  Aligned blocks of BLOCK leaves are tasks' units: their roots are
+of any size is spread.  Aligned blocks of ARITY ** DEPTH leaves are tasks' units: their roots are
 the leaves of the next tier, and so on.  Inside a block a fractal traversal emits the
 paths one after another: of the stacked subtrees of HEIGHT levels on a leaf's path it
 keeps the existing ones and builds, one leaf a step, the desired ones that come next, so
@@ -33,9 +33,8 @@ from pyspark.sql import functions as F
 from .textkernels import broadcast_within, settle
 
 ARITY = 8
-#: Levels of a stacked subtree, and of a block.
+#: Levels of a stacked subtree, and of a block unless given.
 HEIGHT, DEPTH = 2, 4
-BLOCK = ARITY**DEPTH
 
 
 def _h(parts: Sequence[str]) -> str:
@@ -159,40 +158,36 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return both.withColumn("i", F.col("_at") - F.col("_first") + F.col("_before")).select(*rows.columns, "i", "n")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("i") / BLOCK).cast("long"))
+def _blocks(nodes: DataFrame, deep: int) -> DataFrame:
+    return nodes.withColumn("block", F.floor(F.col("i") / ARITY**deep).cast("long"))
 
 
-def _levels(n: int) -> int:
-    return min(DEPTH, depth(n))
+def tiers(nodes: DataFrame, deep: int = DEPTH) -> list[DataFrame]:
+    """``nodes`` (g, i, n, node), the roots of their blocks of ``deep`` levels, and so on until each group g has one; each but the first settled."""
 
+    def roots(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("i")
+        n = int(frame["n"].iloc[0])
+        root = root_of(frame["node"].tolist(), min(deep, depth(n)))
+        return pd.DataFrame({"g": frame["g"].iloc[:1], "i": frame["block"].iloc[0], "n": -(-n // ARITY**deep), "node": root})
 
-def _roots(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("i")
-    n = int(frame["n"].iloc[0])
-    root = root_of(frame["node"].tolist(), _levels(n))
-    return pd.DataFrame({"g": frame["g"].iloc[:1], "i": frame["block"].iloc[0], "n": -(-n // BLOCK), "node": root})
-
-
-def tiers(nodes: DataFrame) -> list[DataFrame]:
-    """``nodes`` (g, i, n, node), the roots of their blocks, and so on until each group g has one; each but the first settled."""
     out = [nodes]
     while (nodes.agg(F.max("n")).first()[0] or 0) > 1:
-        nodes = settle(_blocks(nodes.select("g", "i", "n", "node")).groupBy("g", "block").applyInPandas(_roots, "g long, i long, n long, node string"))
+        nodes = settle(_blocks(nodes.select("g", "i", "n", "node"), deep).groupBy("g", "block").applyInPandas(roots, "g long, i long, n long, node string"))
         out.append(nodes)
     return out
 
 
-def _with_paths(nodes: DataFrame, above: DataFrame, run: Callable, schema: str) -> DataFrame:
+def _with_paths(nodes: DataFrame, above: DataFrame, run: Callable, schema: str, deep: int) -> DataFrame:
     """``run(block's rows in order, (shape, siblings) of each, the block's row of above)`` for each block; above: g, i (of the block), shape, siblings."""
 
     def over(own: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return run(own, [], None)
         own = own.sort_values("i")
-        return run(own, traverse(own["node"].tolist(), _levels(int(own["n"].iloc[0]))), up.iloc[0])
+        return run(own, traverse(own["node"].tolist(), min(deep, depth(int(own["n"].iloc[0])))), up.iloc[0])
 
-    return _blocks(nodes).groupBy("g", "block").cogroup(above.withColumnRenamed("i", "block").groupBy("g", "block")).applyInPandas(over, schema)
+    return _blocks(nodes, deep).groupBy("g", "block").cogroup(above.withColumnRenamed("i", "block").groupBy("g", "block")).applyInPandas(over, schema)
 
 
 def _path_rows(own: pd.DataFrame, paths, up) -> pd.DataFrame:
@@ -200,14 +195,14 @@ def _path_rows(own: pd.DataFrame, paths, up) -> pd.DataFrame:
     return pd.DataFrame({"g": own["g"], "i": own["i"], "shape": [a for a, _ in pairs], "siblings": [b for _, b in pairs]})
 
 
-def _down(levels: list[DataFrame], above: DataFrame) -> DataFrame:
-    """Paths (g, i, shape, siblings) of the second tier's nodes, from those of the groups' roots; of the groups themselves where there is no second tier."""
-    for nodes in reversed(levels[1:-1]):
-        above = _with_paths(nodes, above, _path_rows, "g long, i long, shape string, siblings string")
+def _down(levels: list[DataFrame], above: DataFrame, deep: int) -> DataFrame:
+    """Paths (g, i, shape, siblings) of the nodes of the first of ``levels``, from those of their groups' roots."""
+    for nodes in reversed(levels):
+        above = _with_paths(nodes, above, _path_rows, "g long, i long, shape string, siblings string", deep)
     return above
 
 
-def proofs(rows: DataFrame, group: str, order: str, run: Callable[[pd.DataFrame, Iterator[tuple[str, str]], str], pd.DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+def proofs(rows: DataFrame, group: str, order: str, run: Callable[[pd.DataFrame, Iterator[tuple[str, str]]], pd.DataFrame] | None = None, schema: str | None = None, deep: int = DEPTH) -> DataFrame:
     """The path of each row of ``rows``, which have a group, an order column and ``node``, the leaf's digest.
 
     Returns the columns of ``rows`` with ``subroot``, ``root``, ``shape`` and ``siblings``
@@ -219,19 +214,17 @@ def proofs(rows: DataFrame, group: str, order: str, run: Callable[[pd.DataFrame,
     groups = settle(groups.select(F.col(group).alias("_group"), F.col("i").alias("g"), "_all"))
     few = broadcast_within(groups, 32, F.coalesce(F.octet_length(F.col("_group").cast("string")), F.lit(0)))
     nodes = numbered_rows.join(few, F.col(group).eqNullSafe(F.col("_group"))).drop("_group", "_all")
-    levels = tiers(nodes)
+    levels = tiers(nodes, deep)
     if len(levels) == 1:
         levels.append(nodes.select("g", "i", "n", "node"))
     subroots = levels[-1]
     n_groups = groups.count()
-    top = tiers(subroots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), F.lit(n_groups).cast("long").alias("n"), "node"))
+    top = tiers(subroots.select(F.lit(0).cast("long").alias("g"), F.col("g").alias("i"), F.lit(n_groups).cast("long").alias("n"), "node"), deep)
     found = top[-1].select("node").first()
     root = found[0] if found else ""
     above = top[-1].select("g", "i", F.lit("").alias("shape"), F.lit("").alias("siblings"))
-    for tier in reversed(top[:-1]):
-        above = _with_paths(tier, above, _path_rows, "g long, i long, shape string, siblings string")
-    above = above.select(F.col("i").alias("g"), F.lit(0).cast("long").alias("i"), "shape", "siblings")
-    above = _down(levels, above).join(subroots.select(F.col("g").alias("_g"), F.col("node").alias("subroot")), F.col("g") == F.col("_g")).drop("_g")
+    above = _down(top[:-1], above, deep).select(F.col("i").alias("g"), F.lit(0).cast("long").alias("i"), "shape", "siblings")
+    above = _down(levels[1:-1], above, deep).join(subroots.select(F.col("g").alias("_g"), F.col("node").alias("subroot")), F.col("g") == F.col("_g")).drop("_g")
     names = rows.columns
 
     def made(own: pd.DataFrame, paths, up) -> pd.DataFrame:
@@ -244,7 +237,7 @@ def proofs(rows: DataFrame, group: str, order: str, run: Callable[[pd.DataFrame,
 
     if schema is None:
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "subroot string, root string, shape string, siblings string"])
-    return _with_paths(nodes, above, made, schema)
+    return _with_paths(nodes, above, made, schema, deep)
 
 
 def _digests(own: pd.DataFrame, paths) -> pd.DataFrame:
@@ -257,7 +250,7 @@ def _digests(own: pd.DataFrame, paths) -> pd.DataFrame:
     return out[["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]]
 
 
-def checked(docs: DataFrame) -> DataFrame:
+def checked(docs: DataFrame, deep: int = DEPTH) -> DataFrame:
     """Manifest of ``documents`` by language, each row's path checked; where 3 divides the id's crc32, against a text whose A-Z are lower-cased."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     whole = lambda text: leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
@@ -265,7 +258,7 @@ def checked(docs: DataFrame) -> DataFrame:
     hit = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
     rows = docs.select("doc_id", "lang", whole(F.col("text")).alias("node"), F.when(hit, whole(lower)).alias("tampered"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return proofs(rows, "lang", "doc_id", _digests, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    return proofs(rows, "lang", "doc_id", _digests, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", deep)
 
 
 #: DuckDB SQL of :func:`checked` on ``documents``: a recursive query for the levels of each language, another for those above.
