@@ -49,6 +49,16 @@ class Codec:
 
     def __init__(self, vocabulary: str):
         spec = json.loads(vocabulary)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = {
+            "not a BPE model": model.get("type", "BPE") != "BPE",
+            "a normaliser": bool(spec.get("normalizer")),
+            "another pre-tokeniser than byte-level": before.get("type") != "ByteLevel" or bool(before.get("add_prefix_space")) or not before.get("use_regex", True),
+            "prefixes or suffixes of pieces, dropout, or words that skip merges": any(model.get(x) for x in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges")),
+            "special tokens that take blanks or whole words": any(x.get(y) for x in spec.get("added_tokens", []) for y in ("lstrip", "rstrip", "single_word")),
+        }
+        if any(odd.values()):
+            raise ValueError(f"this vocabulary is not supported: {', '.join(k for k, v in odd.items() if v)}")
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {as_bytes(s): i for s, i in spec["model"]["vocab"].items()}

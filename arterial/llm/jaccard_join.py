@@ -46,6 +46,8 @@ from .textkernels import broadcast_within, mapped, mix, settle, shingle_sets
 COARSE = 4
 #: Keys held by this many of about SAMPLE documents are salted over SALTS parts.
 FREQUENT, SAMPLE, SALTS = 10, 2000, 64
+#: Pairs of one centre for each copy of its fragments.
+HEAVY = 5000
 #: Members up to which an open group is compared in blocks at once; larger ones take further centres while that helps.
 LARGE = 256
 #: Keys or n-grams after which a task hands on what it has.
@@ -198,16 +200,21 @@ def overlaps(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int) ->
     """``common`` of each pair (x, y): partial overlaps of the fragments, summed.
 
     A document's fragments are sent to the first ids of its pairs, so that each pair
-    moves one set, not two.
+    moves one set, not two.  A first id of many pairs, a centre, has its fragments copied
+    once for every HEAVY of them, and its partners are dealt over the copies.
     """
+    heavy = settle(pairs.groupBy("x").agg(F.count("*").alias("_m")).where(F.col("_m") > HEAVY).select("x", F.ceil(F.col("_m") / HEAVY).cast("int").alias("salts")))
+    salts = broadcast_within(heavy, 16)
     ends = pairs.select(F.col("y").alias("id"), "x").unionByName(pairs.select(F.col("x").alias("id"), "x"))
     roles = settle(ends.groupBy("id").agg(F.collect_set("x").alias("centers")).join(members.select("id", "a"), "id"))
     sets = _whole_sets(texts, roles, k)
     sent = sets.select("id", "frag", "grams", F.explode("centers").alias("x"))
-    own = sent.where("id = x").select("x", "frag", F.col("grams").alias("gx"))
-    other = sent.where("id != x").select("x", F.col("id").alias("y"), "frag", F.col("grams").alias("gy"))
-    partial = other.join(own, ["x", "frag"]).select("x", "y", "frag", F.size(F.array_intersect("gx", "gy")).cast("long").alias("part"))
-    return partial.groupBy("x", "y", "frag").agg(F.max("part").alias("part")).groupBy("x", "y").agg(F.sum("part").alias("common"))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    own = sent.where("id = x").join(salts, "x", "left").select("x", "frag", copies.alias("salt"), F.col("grams").alias("gx"))
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")
+    other = sent.where("id != x").join(salts, "x", "left").select("x", F.col("id").alias("y"), "frag", salt.alias("salt"), F.col("grams").alias("gy"))
+    partial = other.join(own, ["x", "frag", "salt"]).select("x", "y", "frag", "salt", F.size(F.array_intersect("gx", "gy")).cast("long").alias("part"))
+    return partial.groupBy("x", "y", "frag", "salt").agg(F.max("part").alias("part")).groupBy("x", "y").agg(F.sum("part").alias("common"))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -291,13 +298,13 @@ def _groups(texts: DataFrame, n_docs: int, k: int, percent: int) -> DataFrame:
 
     some = texts.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(max(1, n_docs // SAMPLE))) == 0)
     hot = settle(_keys(some, k, percent).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= FREQUENT).select("key", F.lit(True).alias("hot")))
-    keys = _keys(texts, k, percent).join(F.broadcast(hot), "key", "left")  # at most SAMPLE / FREQUENT keys for each fragment of a document
+    keys = _keys(texts, k, percent).join(broadcast_within(hot, 9), "key", "left")
     keys = keys.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
     part = W.partitionBy("key", "salt")
     found = keys.withColumns({"low": F.min("id").over(part), "high": F.max("id").over(part)}).where("hot or low < high")
     found = settle(found.select("key", "id", "low", F.coalesce("hot", F.lit(False)).alias("hot")))
-    ends = found.where("hot").groupBy("key").agg(F.min("low").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
-    salted = found.where("hot").join(F.broadcast(ends), "key").select("key", "id", F.col("least").alias("low"))
+    ends = settle(found.where("hot").groupBy("key").agg(F.min("low").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least"))
+    salted = found.where("hot").join(broadcast_within(ends, 16), "key").select("key", "id", F.col("least").alias("low"))
     return found.where("not hot").select("key", "id", "low").unionByName(salted)
 
 

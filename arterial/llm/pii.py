@@ -293,10 +293,10 @@ def bootstrap(found: DataFrame, confidence: float = 0.8, belief: float = 0.8, su
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
-    """(id, row, kind, start, end, added) of all spans, repeated rows once; ``added`` tells those that no base pattern finds; ``row`` is :func:`row_of` the text."""
+    """(id, row, kind, start, end, added, learned) of all spans, repeated rows once; ``added`` tells those that no base pattern finds, ``learned`` those that the bootstrapped patterns do and no seed; ``row`` is :func:`row_of` the text."""
     found = settle(mentions(docs, id_col, text_col))
-    seeds = found.where("kind is not null").select("id", "row", "kind", "start", "end", (~F.col("kind").isin(*KINDS)).alias("added"))
-    return seeds.distinct().unionByName(bootstrap(found, **options).withColumn("added", F.lit(True)))
+    seeds = found.where("kind is not null").select("id", "row", "kind", "start", "end", (~F.col("kind").isin(*KINDS)).alias("added"), F.lit(False).alias("learned"))
+    return seeds.distinct().unionByName(bootstrap(found, **options).withColumns({"added": F.lit(True), "learned": F.lit(True)}))
 
 
 def by_document(spans: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def by_document(spans: DataFrame) -> DataFrame:
     item = F.struct(order.alias("o"), F.col("start"), F.col("end"), F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("s"))
     text = lambda c: F.array_join(F.transform(F.array_sort(c), lambda x: x["s"]), ",")
     counts = [F.count(F.when((F.col("kind") == k) & ~F.col("added"), 1)).alias(f"n_{k}") for k in KINDS]
-    return spans.groupBy("id", "row").agg(*counts, text(F.collect_list(F.when(~F.col("added"), item))).alias("base"), text(F.collect_list(item)).alias("spans"), F.count(F.when(F.col("added"), 1)).alias("n_added"))
+    return spans.groupBy("id", "row").agg(*counts, text(F.collect_list(F.when(~F.col("added"), item))).alias("base"), text(F.collect_list(item)).alias("spans"), F.count(F.when(F.col("added"), 1)).alias("n_added"), F.count(F.when(F.col("learned"), 1)).alias("n_learned"))
 
 
 def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -42,7 +42,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beside the columns of the base patterns: ``n_added``, spans that the method adds, and ``n_spans``, all spans."""
+    """Beside the columns of the base patterns: ``n_added``, spans beyond them, of these ``n_learned`` by the bootstrapped patterns and ``n_secret`` as credentials in fixed forms, which are seeds, and ``n_spans``, all spans."""
     docs = _table(spark, sf_dir, "documents")
     found = pii.by_document(pii.extract(docs, "doc_id", "text"))
     rows = docs.select("doc_id", pii.row_of(F.col("text")).alias("_row"))
@@ -50,15 +50,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     counts = [count(f"n_{k}").alias(f"n_{k}") for k in pii.KINDS]
     n_base = sum((count(f"n_{k}") for k in pii.KINDS[1:]), count(f"n_{pii.KINDS[0]}"))
-    return rows.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), count("n_added").alias("n_added"), (n_base + count("n_added")).alias("n_spans"))
+    return rows.select("doc_id", *counts, F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), count("n_added").alias("n_added"), count("n_learned").alias("n_learned"), (count("n_added") - count("n_learned")).alias("n_secret"), (n_base + count("n_added")).alias("n_spans"))
 
 
 def id_buckets(docs: DataFrame, id_col: str, per_bucket: int = 2000, most: int = 1_000_000) -> DataFrame:
     """Deal rows into ranges of ids that hold about ``per_bucket`` rows, each closed by a copy (``tail`` true) of the first row of the next range; the last range is closed by the first row of all.
 
     Ranges are wider where there would be more than ``most`` of them; their limits, 8 bytes
-    each, are what reaches the driver and the tasks.  Only ids pass through Python.
+    each, are what reaches the driver and the tasks.  Only ids pass through Python.  ``docs``
+    must have no columns ``bucket, tail, to, _key, _e``; a null id is below all others.
     """
+    taken = {"bucket", "tail", "to", "_key", "_e"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"columns of these names would clash: {sorted(taken)}")
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col), F.lit(-(1 << 63)))
     n = docs.count()

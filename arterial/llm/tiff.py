@@ -375,6 +375,8 @@ def feature_of(pixels: bytes, pages: int) -> str:
 def digests(media: DataFrame, media_col: str = "media") -> DataFrame:
     """Replace the media by digests of all its pages, as :func:`read_pages` gives them; files without pages are left out.
 
+    A file that does not decode is an error here: its digests would be those of a part.
+    Where files are not one's own, :func:`read_pages` gives the error as a row instead.
     A file's pages come one after the other, from page 0 on, in the task that decoded
     them, so they need no shuffle to meet.
     """

@@ -113,14 +113,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     counted in Spark tasks; the bounded sample of bags meets in one task, which trains
     and returns the table of 2**BITS numbers.
     """
-    sized = docs.where(where & F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("_bytes"))
-    ids = settle(sized.join(labels.where(F.col(label_col).isNotNull()).select(id_col, label_col), id_col))
+    # other columns may have any name, that of the label too
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), where.alias("_where"))
+    labels = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label"))
+    sized = docs.where(F.col("_where") & F.col("_id").isNotNull()).select("_id", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("_bytes"))
+    ids = settle(sized.join(labels.where(F.col("_label").isNotNull()), "_id"))
     n, size = ids.agg(F.count("*"), F.sum("_bytes")).first()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20))
+    draw = F.pmod(F.xxhash64(F.col("_id"), F.lit(seed)), F.lit(1 << 20))
     share = min(1.0, max_rows / max(n, 1), max_bytes / max(size or 0, 1))
-    chosen = ids.where(draw < (1 << 20) * share).select(id_col, label_col).distinct()
+    chosen = ids.where(draw < (1 << 20) * share).select("_id", "_label").distinct()
     passes = round(epochs * min(10.0, max(1.0, max_rows / max(n * share, 1.0))))
-    sample = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text"))
+    sample = docs.join(F.broadcast(chosen), "_id").select(F.col("_id").cast("long").alias("id"), F.col("_label").cast("int").alias("label"), F.col("_text").alias("text"))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -76,11 +76,25 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii",
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result but the last is written to the shared folder and read again, so that a later stage never repeats an earlier one."""
+    """Apply the stages to ``documents``; each result but the last is written to the shared folder and read again, so that a later stage never repeats an earlier one.
+
+    A stage's table is removed once the next one is written, so one copy of the corpus, the
+    last stage's input, is left for the result to be read from.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    before = ""
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -303,3 +303,58 @@ def test_lexicons_in_turn_give_their_own_fingerprints(spark):
         plain = imatch.Lexicon(listed)
         got = {r["i"]: r["fp"] for r in imatch.fingerprints(docs, {"text": "fp"}, lexicon).collect()}
         assert got == {i: plain.fingerprint(t) for i, t in enumerate(texts)}, turn
+
+
+# ---- mended
+
+
+def test_a_label_column_of_the_same_name_does_not_clash(spark):
+    from arterial.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"{'vile rot' if i % 2 else 'kind day'} {i}", 9, "x") for i in range(60)], "doc_id long, text string, toxic int, _where string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "doc_id", "text", "toxic", F.col("doc_id") % 3 != 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, "text", model).collect()}
+    assert min(got[i] for i in range(60) if i % 2) > max(got[i] for i in range(60) if not i % 2)
+
+
+def test_centres_of_many_pairs_are_dealt_over_copies(spark, monkeypatch):
+    from arterial.llm import jaccard_join
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(90):
+        own = list(base)
+        own[rng.randrange(120)] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    texts += [" ".join(rng.choice(base) for _ in range(50)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {tuple(r) for r in jaccard_join.similarity_components(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "HEAVY", 4)
+    assert {tuple(r) for r in jaccard_join.similarity_components(docs).collect()} == plain
+    assert len({c for _, _, c in plain}) < 100
+
+
+def test_spans_tell_where_they_come_from(spark):
+    from arterial.llm import pii
+
+    docs = spark.createDataFrame([(1, "mail a@b.org token = \"abcdefgh12345678\""), (2, "none")], "doc_id long, text string")
+    got = {(r["kind"], r["added"], r["learned"]) for r in pii.extract(docs, "doc_id", "text").collect()}
+    assert got == {("email", False, False), ("secret", True, False)}
+
+
+def test_clashing_columns_of_ranges_are_an_error(spark):
+    with pytest.raises(ValueError):
+        queries.id_buckets(spark.createDataFrame([(1, 2)], "doc_id long, bucket int"), "doc_id")
+
+
+def test_other_vocabularies_are_refused():
+    import json
+
+    from arterial.llm import bpe
+
+    spec = json.loads(bpe._read(queries.tokenizer_path(queries.BPE_VOCABULARY)))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}, {"model": {**spec["model"], "ignore_merges": True}}, {"added_tokens": [{**spec["added_tokens"][0], "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Codec(json.dumps(spec | change))
