@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import units
 from ..session import settle
+from . import cells as C
 from . import paths as P
 
 CELL = ["demand_period", "agent_type", "o_zone_id", "d_zone_id"]
@@ -181,17 +182,17 @@ def fits(links: DataFrame, tolls: DataFrame | None) -> bool:
 _TOLLS = ["demand_period", "agent_type", "link_id", "toll"]
 
 
-def best_routes(links: DataFrame, demand: DataFrame, types: list[AgentType], tolls: DataFrame | None = None, centroids: bool = False) -> DataFrame:
+def best_routes(links: DataFrame, demand: DataFrame, types: list[AgentType], tolls: DataFrame | None = None, centroids: bool = False, cells: DataFrame | None = None) -> DataFrame:
     """GR-02, 07: ``CELL, cost, links`` of each pair of ``demand`` that its class can travel.
 
     ``links``: ``demand_period, link_id, from_node_id, to_node_id, cost, mask``; ``tolls``:
     ``demand_period, link_id, agent_type, toll``.  Beyond paths.NETWORK_BYTES each class is
-    searched by the relational form.
+    searched by the relational form, over ``cells`` (``node_id, cell``) where they are given.
     """
     requests = searches(demand, centroids)
     schema = _schema(requests, links.schema["link_id"].dataType.simpleString())
     if not fits(links, tolls):
-        return _relational(settle(links), settle(requests), types, tolls, schema).drop("demand")
+        return _relational(settle(links), settle(requests), types, tolls, schema, cells).drop("demand")
     frame = links.select("demand_period", "link_id", "from_node_id", "to_node_id", "cost", "mask").toPandas()
     fees = tolls.select(*_TOLLS).toPandas() if tolls is not None else pd.DataFrame(columns=_TOLLS)
     return _searched(requests, frame, fees, types, schema).drop("demand")
@@ -215,7 +216,7 @@ def _searched(requests: DataFrame, links: pd.DataFrame, tolls: pd.DataFrame, typ
     return requests.mapInPandas(run, schema)
 
 
-def _relational(links: DataFrame, requests: DataFrame, types: list[AgentType], tolls: DataFrame | None, schema: str) -> DataFrame:
+def _relational(links: DataFrame, requests: DataFrame, types: list[AgentType], tolls: DataFrame | None, schema: str, cells: DataFrame | None) -> DataFrame:
     """The same routes by joins, one class after the other; classes are few."""
     out = requests.sparkSession.createDataFrame([], schema)
     rows = requests.select("demand_period", "agent_type", "o_zone_id", "origin", F.explode("targets").alias("t")).select("demand_period", "agent_type", "o_zone_id", "origin", "t.target", "t.d_zone_id", "t.demand")
@@ -227,7 +228,8 @@ def _relational(links: DataFrame, requests: DataFrame, types: list[AgentType], t
         for (period,) in requests.where(F.col("agent_type") == t.name).select("demand_period").distinct().collect():
             mine = rows.where((F.col("agent_type") == t.name) & (F.col("demand_period") == period))
             ends = own.where(F.col("demand_period") == period).select("link_id", F.col("from_node_id").cast("long").alias("from_node_id"), F.col("to_node_id").cast("long").alias("to_node_id"), "cost")
-            tree = P.labels(ends, mine.select("origin").distinct())
+            begin = mine.select("origin").distinct()
+            tree = settle(C.labels(ends, begin, cells)) if cells is not None else P.labels(ends, begin)
             pairs = mine.where("origin <> target").select(F.col("origin").alias("o_zone_id"), F.col("target").alias("d_zone_id"))
             found = P.routes(tree, pairs).withColumnsRenamed({"o_zone_id": "origin", "d_zone_id": "target"})
             out = out.unionByName(mine.join(found, ["origin", "target"]).select(*CELL, "cost", F.filter("links", lambda x: x >= 0).alias("links"), "demand"))
@@ -273,7 +275,7 @@ def fixed_columns(routes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataF
 
 def assign(
     links: DataFrame, od: DataFrame, types: list[AgentType], iterations: int, minutes: Callable[[DataFrame], DataFrame],
-    tolls: DataFrame | None = None, fixed: DataFrame | None = None, centroids: bool = False,
+    tolls: DataFrame | None = None, fixed: DataFrame | None = None, centroids: bool = False, cells: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """GR-08, 09, 14: successive averages over generated columns, all classes at once.
 
@@ -304,7 +306,7 @@ def assign(
         else:
             timed = settle(timed)
             spent = timed.where("link_id >= 0").agg(F.sum(F.col("minutes") * F.col("volume"))).first()[0] or 0.0
-            share = _relational(timed, requests, types, tolls, schema)
+            share = _relational(timed, requests, types, tolls, schema, cells)
         seen = Observation()
         share = share.observe(seen, F.sum(F.col("demand") * F.col("cost")).alias("least"))
         new = share.select(*CELL, "links", F.lit(GENERATED).alias("state"), (F.col("demand") / (k + 1)).alias("volume"))

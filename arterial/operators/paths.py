@@ -110,10 +110,12 @@ class Network:
         return self.nodes[found], cost[found], link[found], np.where(before[found] >= 0, self.nodes[before[found]], -1)
 
 
-def labels_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost") -> DataFrame:
-    """GR-02, 18 by Dijkstra inside tasks, one origin at a time; beyond NETWORK_BYTES the relational form is used."""
+def labels_grouped(links: DataFrame, origins: DataFrame, cost: str = "cost", cells: DataFrame | None = None) -> DataFrame:
+    """GR-02, 18 by Dijkstra inside tasks, one origin at a time; beyond NETWORK_BYTES by :func:`cells.labels` where ``cells`` are given, else by the relational form."""
     if 28 * links.count() > NETWORK_BYTES:
-        return labels(links, origins, cost)
+        from . import cells as C
+
+        return C.labels(links, origins, cells, cost) if cells is not None else labels(links, origins, cost)
     rows = links.select("link_id", "from_node_id", "to_node_id", cost).toPandas().to_numpy(dtype=float)
     shared = links.sparkSession.sparkContext.broadcast(rows)
 

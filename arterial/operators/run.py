@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import units, vdf
 from ..session import settle
 from ..sources import sinks, tables
-from . import access, classes, correction, demand, reports, scenario
+from . import access, cells, classes, correction, demand, reports, scenario
 from .classes import CELL
 
 Minutes = Callable[[DataFrame], DataFrame]
@@ -27,7 +27,7 @@ class Inputs:
     """What a run needs; None where there is nothing of a kind.
 
     ``links``: a row for each period and link, connectors included where ``centroids`` is
-    set; ``od``: CELL and volume; ``tolls``: ``demand_period, link_id, agent_type, toll``;
+    set; ``cells``: ``node_id, cell``, for networks beyond a broadcast; ``od``: CELL and volume; ``tolls``: ``demand_period, link_id, agent_type, toll``;
     ``routes``: CELL, volume and nodes of fixed routes; ``counts``: ``demand_period, link_id,
     obs_count, upper_bound_flag``; ``zone_counts``: ``measurement_type, zone_id,
     obs_count``; ``changes``, ``signs`` (``link_id, node_id, zone_id``) and ``factors`` are
@@ -39,6 +39,7 @@ class Inputs:
     minutes: Minutes
     types: list[classes.AgentType] = field(default_factory=lambda: [classes.AgentType("p")])
     centroids: bool = False
+    cells: DataFrame | None = None
     tolls: DataFrame | None = None
     routes: DataFrame | None = None
     counts: DataFrame | None = None
@@ -112,8 +113,8 @@ def read(spark: SparkSession, folder: str) -> tuple[tables.Settings, Inputs]:
         base, later = settle(tables.demand_factors(side)), settle(tables.demand_factors(side, scenario=True))
         scaled = lambda rows: demand.district_factors(rows, districts, base)
         rescaled = None if later.isEmpty() else lambda rows: demand.district_factors(rows, districts, later)
-    cells, routes = tables.demand(spark, folder, listed, scaled)
-    od = settle(demand.known_pairs(cells, zones).select(*CELL, "volume"))
+    trips, routes = tables.demand(spark, folder, listed, scaled)
+    od = settle(demand.known_pairs(trips, zones).select(*CELL, "volume"))
     routes = settle(demand.known_pairs(routes, zones).select(*CELL, "volume", "nodes"))
     link = table("link")
     kinds = tables.link_types(settings.tables["link_type"]).select("link_type", "vdf_type") if "link_type" in settings.tables else None
@@ -144,7 +145,7 @@ def read(spark: SparkSession, folder: str) -> tuple[tables.Settings, Inputs]:
         zone_counts = z.where("measurement_type in ('production', 'attraction')").select("measurement_type", F.when(F.col("measurement_type") == "production", F.col("o_zone_id")).otherwise(F.col("d_zone_id")).alias("zone_id"), "obs_count")
     kinds_of = tables.agent_types(settings.tables["agent_type"]) if "agent_type" in settings.tables else None
     types = classes.types_of(kinds_of) if kinds_of is not None else [classes.AgentType(r[0]) for r in od.select("agent_type").union(routes.select("agent_type")).distinct().orderBy("agent_type").limit(classes.MOST_TYPES).collect()]
-    out = Inputs(whole, od, delays(), types, True, settle(together(tolls)), routes, seen, zone_counts, kinds_of, factors=rescaled)
+    out = Inputs(whole, od, delays(), types, True, cells.grid_cells(nodes, _cell_size(nodes)), settle(together(tolls)), routes, seen, zone_counts, kinds_of, factors=rescaled)
     if has("supply_side_scenario"):
         supply = table("supply_side_scenario")
         out.changes = tables.scenario_links(supply)
@@ -159,6 +160,12 @@ def read(spark: SparkSession, folder: str) -> tuple[tables.Settings, Inputs]:
     return settings, out
 
 
+def _cell_size(nodes: DataFrame, each: int = 2000) -> float:
+    """Side of squares that hold about ``each`` nodes if they are spread evenly."""
+    n, w, h = nodes.agg(F.count("*"), F.max("x_coord") - F.min("x_coord"), F.max("y_coord") - F.min("y_coord")).first()
+    return max((max(w or 0.0, 1e-9) * max(h or 0.0, 1e-9) * each / max(n, 1)) ** 0.5, 1e-9)
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -184,7 +191,7 @@ def solve(inputs: Inputs, iterations: int = 20, updates: int = 0, steps: int | N
     if inputs.routes is not None:
         pool, lost = classes.fixed_columns(inputs.routes, inputs.links)
         pool = settle(pool)
-    columns, trace = classes.assign(inputs.links, inputs.od, inputs.types, iterations, inputs.minutes, inputs.tolls, pool, inputs.centroids)
+    columns, trace = classes.assign(inputs.links, inputs.od, inputs.types, iterations, inputs.minutes, inputs.tolls, pool, inputs.centroids, inputs.cells)
     corrects = inputs.counts is not None and not inputs.counts.isEmpty()
     updates = max(updates, correction.COLUMN_UPDATES) if corrects else updates
     columns = classes.updates(columns, inputs.links, inputs.types, updates, inputs.minutes, inputs.tolls)

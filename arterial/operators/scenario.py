@@ -136,7 +136,9 @@ def spliced(columns: DataFrame, timed: DataFrame, base: DataFrame, types: list[c
     passing = rows.where("impacted = 1").select(*cell, F.explode("links").alias("link_id")).join(broadcast_within(signs, 24), "link_id")
     wanted = passing.select("demand_period", "agent_type", F.col("zone_id").alias("o_zone_id"), F.col("node_id").alias("origin"), "d_zone_id").distinct()
     ways = classes.best_routes(timed, wanted, types, tolls, centroids).unionByName(classes.best_routes(base, wanted, types, tolls, centroids)).select(*cell, "links").distinct()
+    ways = settle(ways)
     second = classes.column_costs(ways.withColumns({"state": F.lit(classes.GENERATED), "volume": F.lit(0.0)}), timed, types, tolls)
+    second = settle(second)
     second_hit = second.select(*cell, "path_id", F.explode("links").alias("link_id")).join(flags.where("design_flag = -1"), ["demand_period", "link_id"], "left_semi").select(*cell, "path_id").distinct()
     second = second.join(second_hit.withColumn("impacted", F.lit(1)), [*cell, "path_id"], "left").fillna(0, ["impacted"])
     as_key = lambda df: df.withColumn("agent_type", key).drop("demand_period", "path_id", "state")

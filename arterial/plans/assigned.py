@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import classes, correction, demand, queues
+from ..operators import cells, classes, correction, demand, queues, scenario
+from ..session import settle
 from . import star
 from .catalog import C, free_paths, query, r6, timed
 
@@ -140,3 +141,42 @@ def sim_incident_queue(spark, sf):
     capacity = drawn.select("link_id", C("step").alias("minute"), (C("capacity") * F.when(hit, 0.02).otherwise(1.0)).alias("capacity"))
     rows = star.trip_events(spark, sf).select("event_id", "link_id", (C("t_in") % 1440).cast("double").alias("ready"))
     return queues.varying_link(rows, capacity, "link_id", "event_id", "ready").select("event_id", "link_id", F.round("depart", 4).alias("depart"))
+
+
+@query("SELECT o AS origin, node, round(cost, 6) AS cost, coalesce(list_last(links), -1) AS pred_link FROM lab", "lab")
+def gr_cells(spark, sf):
+    """GR-02, 18: the labels of all nodes by cells, one for each column of the grid, as on a network too large to broadcast."""
+    n = star.nodes(spark, sf)
+    tree = cells.labels(star.costed_links(spark, sf), n.select(C("node_id").alias("origin")), n.select("node_id", (C("node_id") % 5).alias("cell")))
+    return tree.select("origin", "node", r6("cost").alias("cost"), F.coalesce("pred_link", F.lit(-1)).alias("pred_link"))
+
+
+_SIGNS = f"""begin1 AS (SELECT node_id AS o FROM net_node),
+e0 AS (SELECT link_id, from_node_id, to_node_id, fftt + link_id * 1e-9::DOUBLE AS c FROM clink),
+e2 AS (SELECT link_id, from_node_id, to_node_id, CASE WHEN link_id % 10 = 0 THEN 1440.0::DOUBLE ELSE fftt END + link_id * 1e-9::DOUBLE AS c FROM clink),
+{_labels('lab0', 'e0', 'begin1')},
+{_labels('lab2', 'e2', 'begin1')},
+col AS (SELECT o_zone_id, d_zone_id, agent_type, volume, l.links, list_min(list_filter(range(1, len(l.links) + 1), lambda i: l.links[i] % 8 = 1)) AS pos, len(list_filter(l.links, lambda x: x % 10 = 0)) > 0 AS hit FROM od JOIN lab0 l ON l.o = o_zone_id AND l.node = d_zone_id),
+way AS (SELECT DISTINCT o AS z, node AS d, links FROM (SELECT o, node, links FROM lab0 UNION ALL SELECT o, node, links FROM lab2) WHERE o <> node),
+cost_ AS (SELECT z, d, w.links, sum(c) AS cost, max((link_id % 10 = 0)::INTEGER) AS hit FROM (SELECT z, d, links, unnest(links) AS link_id FROM way) w JOIN e2 USING (link_id) GROUP BY z, d, w.links),
+offer AS (SELECT z, d, min(cost) FILTER (WHERE hit = 1) AS ref, min(cost) FILTER (WHERE hit = 0) AS best, arg_min(links, cost) FILTER (WHERE hit = 0) AS more FROM cost_ GROUP BY z, d),
+led AS (SELECT col.*, ref, best, more, 1 / (1 + exp(-0.1::DOUBLE * (ref - best))) AS share FROM col JOIN clink ON link_id = links[pos] JOIN offer ON z = to_node_id AND d = d_zone_id WHERE agent_type = 'building' AND hit AND ref - best > 3 AND ref - best > 0.15::DOUBLE * ref)"""
+
+
+@query("""SELECT o_zone_id, d_zone_id, agent_type, state, array_to_string(links, ';') AS links, round(sum(v), 6) AS volume FROM (
+SELECT o_zone_id, d_zone_id, agent_type, 'generated' AS state, links, volume AS v FROM col WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.o_zone_id = col.o_zone_id AND led.d_zone_id = col.d_zone_id AND led.agent_type = col.agent_type) UNION ALL
+SELECT o_zone_id, d_zone_id, agent_type, 'generated', links, volume * (1 - share) FROM led UNION ALL
+SELECT o_zone_id, d_zone_id, agent_type, 'spliced', list_concat(links[1 : pos], more), volume * share FROM led) GROUP BY ALL""", "od", "clink", "net_node", more=_SIGNS)
+def sc_signs(spark, sf):
+    """SC-05, GR-16, 17, JN-18: every tenth link is closed; drivers of one type who pass a sign, on every eighth link, before a closed one are offered the best way on that is open, and split by logit."""
+    net = settle(period_links(spark, sf, ("am",)).withColumn("allowed_uses", F.lit("")))
+    od = star.od_demand(spark, sf).withColumn("demand_period", F.lit("am"))
+    types = [classes.AgentType(t.name) for t in TYPES]
+    free = lambda df: df.withColumn("minutes", C("fftt"))
+    columns, _ = classes.assign(net, od, types, 1, free)
+    closed = net.where("link_id % 10 = 0").select("from_node_id", "to_node_id", F.lit(0.0).alias("lanes"))
+    now, before = settle(classes.costed(free(scenario.lane_changes(net, closed)), types)), settle(classes.costed(free(net), types))
+    signs = net.where("link_id % 8 = 1").select("link_id", C("to_node_id").alias("node_id"), C("to_node_id").alias("zone_id"))
+    told = spark.createDataFrame([("building",)], "agent_type string")
+    out = scenario.spliced(columns, now, before, types, told, signs, None, False)
+    return out.select("o_zone_id", "d_zone_id", "agent_type", "state", F.array_join("links", ";").alias("links"), r6("volume").alias("volume"))

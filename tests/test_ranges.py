@@ -114,3 +114,55 @@ def test_hulls_of_shares_merge(spark, monkeypatch):
     corners = geometry.hull(points)
     assert got.keys() == {1, 2, None} and got[1][0] == len(corners) and got[1][1] == "POLYGON ((" + ", ".join(f"{a:.6f} {b:.6f}" for a, b in [*corners, corners[0]]) + "))"
     assert got[None][0] == 4 and got[2][0] == 2
+
+
+def grid(n, seed, weights):
+    rng = random.Random(seed)
+    pairs = [(x * n + y, u * n + v) for x in range(n) for y in range(n) for u, v in ((x + 1, y), (x, y + 1), (x - 1, y), (x, y - 1)) if 0 <= u < n and 0 <= v < n]
+    rng.shuffle(pairs)
+    return [(i, a, b, rng.choice(weights)) for i, (a, b) in enumerate(pairs)]
+
+
+@pytest.mark.parametrize("side", [4, 100])
+def test_cells_give_the_labels_of_a_whole_search(spark, side):
+    from arterial.operators import cells, paths
+
+    n = 16
+    rows = grid(n, side, [0.5, 1.0, 1.25, 3.0]) + [(9000, 999, 3, 1.0), (9001, 5, 5, 1.0)]
+    links = spark.createDataFrame(rows, "link_id int, from_node_id int, to_node_id int, cost double")
+    origins = spark.createDataFrame([(0,), (37,), (255,), (999,), (77777,)], "origin int")
+    at = spark.createDataFrame([(i, (i // n // side) * 100 + i % n // side) for i in range(n * n)], "node_id int, cell int")
+    got = {tuple(r) for r in cells.labels(links, origins, at).collect()}
+    network = paths.Network(np.array(rows, dtype=float))
+    want = set()
+    for o in (0, 37, 255, 999, 77777):
+        for node, cost, link, before in zip(*(c.tolist() for c in network.search(o))):
+            want.add((o, node, cost, link if link >= 0 else None, before if link >= 0 else None))
+    assert got == want
+
+
+def test_rounds_follow_the_cells(spark, monkeypatch):
+    from arterial.operators import cells
+
+    n, rounds = 100, []
+    plain = cells.settle
+    monkeypatch.setattr(cells, "settle", lambda df: rounds.append(1) or plain(df))
+    rows = grid(n, 1, [1.0, 2.0])
+    links = spark.createDataFrame(rows, "link_id int, from_node_id int, to_node_id int, cost double")
+    at = spark.createDataFrame([(i, (i // n // 20) * 5 + i % n // 20) for i in range(n * n)], "node_id int, cell int")
+    got = cells.labels(links, spark.createDataFrame([(0,)], "origin int"), at)
+    assert got.count() == n * n and len(rounds) < 60
+    best = {r["node"]: r["cost"] for r in got.collect()}
+    assert all(best[b] <= best[a] + w for _, a, b, w in rows) and best[0] == 0
+
+
+def test_costs_of_nothing_make_no_cycle(spark):
+    from arterial.operators import cells, paths
+
+    rows = grid(8, 3, [0.0, 0.0, 1.0])
+    links = spark.createDataFrame(rows, "link_id int, from_node_id int, to_node_id int, cost double")
+    at = spark.createDataFrame([(i, i // 16) for i in range(64)], "node_id int, cell int")
+    tree = cells.labels(links, spark.createDataFrame([(0,)], "origin int"), at)
+    network = paths.Network(np.array(rows, dtype=float))
+    node, cost, _, _ = network.search(0)
+    assert {r["node"]: r["cost"] for r in tree.collect()} == dict(zip(node.tolist(), cost.tolist()))
