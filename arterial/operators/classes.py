@@ -252,7 +252,8 @@ def costed(timed: DataFrame, types: list[AgentType]) -> DataFrame:
     """Links with ``cost`` (minutes and penalty, and a tiny share of the number so that best paths are unique) and ``mask``."""
     column = lambda c, d: F.coalesce(F.col(c), F.lit(d)) if c in timed.columns else F.lit(d)
     base = F.coalesce("connector_minutes", F.col("minutes")) if "connector_minutes" in timed.columns else F.col("minutes")
-    return timed.withColumns({"cost": base + column("penalty", 0.0) + F.greatest("link_id", F.lit(0)) * F.lit(1e-9), "mask": mask(types, column("allowed_uses", ""))})
+    cost = units.generalized_cost(base, column("penalty", 0.0), F.lit(0.0), F.lit(1.0))
+    return timed.withColumns({"cost": cost + F.greatest("link_id", F.lit(0)) * F.lit(1e-9), "mask": mask(types, column("allowed_uses", ""))})
 
 
 def merged(columns: DataFrame) -> DataFrame:
@@ -328,7 +329,7 @@ def column_costs(columns: DataFrame, timed: DataFrame, types: list[AgentType], t
     hops = rows.select(*keys, F.explode("links").alias("link_id")).join(timed.select("demand_period", "link_id", "cost"), ["demand_period", "link_id"])
     if tolls is not None:
         more = tolls.groupBy("demand_period", "link_id", "agent_type").agg(F.sum("toll").alias("_toll"))
-        hops = hops.join(more, ["demand_period", "link_id", "agent_type"], "left").withColumn("cost", F.col("cost") + F.coalesce("_toll", F.lit(0.0)) / _by_type(types, "vot") * 60.0)
+        hops = hops.join(more, ["demand_period", "link_id", "agent_type"], "left").withColumn("cost", units.generalized_cost(F.col("cost"), F.lit(0.0), F.coalesce("_toll", F.lit(0.0)), _by_type(types, "vot")))
     sums = hops.groupBy(*keys).agg(F.sum("cost").alias("path_cost"))
     return rows.join(sums, keys, "left").fillna(0.0, ["path_cost"])
 

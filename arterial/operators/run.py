@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import units, vdf
 from ..session import settle
 from ..sources import sinks, tables
-from . import access, cells, classes, correction, demand, reports, scenario
+from . import access, cells, classes, correction, demand, queues, reports, scenario
 from .classes import CELL
 
 Minutes = Callable[[DataFrame], DataFrame]
@@ -50,11 +50,12 @@ class Inputs:
     signs: DataFrame | None = None
     factors: Callable[[DataFrame], DataFrame] | None = None
     profile: DataFrame | None = None
+    districts: DataFrame | None = None
 
 
 @dataclass
 class Results:
-    """Columns, link performance of the base and the scenario, demand totals, the log of (stage, iteration, name, value), and what could not be served."""
+    """Columns, priced with ``path_cost`` and ``path_miles``, link performance of the base and the scenario, demand totals, the log of (stage, iteration, name, value), and what could not be served."""
 
     paths: DataFrame
     performance: DataFrame
@@ -65,6 +66,8 @@ class Results:
     agents: DataFrame | None = None
     scenario_paths: DataFrame | None = None
     comparison: DataFrame | None = None
+    scenario_performance: DataFrame | None = None
+    districts: DataFrame | None = None
 
 
 def delays(hours: float = 1.0, peak_hour: float = 7.5) -> Minutes:
@@ -145,7 +148,7 @@ def read(spark: SparkSession, folder: str) -> tuple[tables.Settings, Inputs]:
         zone_counts = z.where("measurement_type in ('production', 'attraction')").select("measurement_type", F.when(F.col("measurement_type") == "production", F.col("o_zone_id")).otherwise(F.col("d_zone_id")).alias("zone_id"), "obs_count")
     kinds_of = tables.agent_types(settings.tables["agent_type"]) if "agent_type" in settings.tables else None
     types = classes.types_of(kinds_of) if kinds_of is not None else [classes.AgentType(r[0]) for r in od.select("agent_type").union(routes.select("agent_type")).distinct().orderBy("agent_type").limit(classes.MOST_TYPES).collect()]
-    out = Inputs(whole, od, delays(), types, True, cells.grid_cells(nodes, _cell_size(nodes)), settle(together(tolls)), routes, seen, zone_counts, kinds_of, factors=rescaled)
+    out = Inputs(whole, od, delays(), types, True, cells.grid_cells(nodes, _cell_size(nodes)), settle(together(tolls)), routes, seen, zone_counts, kinds_of, factors=rescaled, districts=districts)
     if has("supply_side_scenario"):
         supply = table("supply_side_scenario")
         out.changes = tables.scenario_links(supply)
@@ -179,6 +182,18 @@ def performance(links: DataFrame, columns: DataFrame, types: list[classes.AgentT
     return rows.withColumn("speed", units.travel_speed(F.col("free_speed"), F.col("minutes"), F.col("fftt")))
 
 
+def priced(columns: DataFrame, links: DataFrame, types: list[classes.AgentType], minutes: Minutes, tolls: DataFrame | None) -> DataFrame:
+    """Columns with their class's cost at their own volumes, and their miles."""
+    timed = settle(classes.costed(minutes(classes.loaded(links, classes.loads(columns, types))), types))
+    rows = classes.column_costs(columns, timed, types, tolls)
+    if "length_m" not in links.columns:
+        return rows.withColumn("path_miles", F.lit(None).cast("double"))
+    keys = [*CELL, "path_id", "state"]
+    length = timed.select("demand_period", "link_id", units.miles(F.col("length_m")).alias("_m"))
+    miles = rows.select(*keys, F.explode("links").alias("link_id")).join(length, ["demand_period", "link_id"]).groupBy(*keys).agg(F.sum("_m").alias("path_miles"))
+    return rows.join(miles, keys, "left").fillna(0.0, ["path_miles"])
+
+
 def solve(inputs: Inputs, iterations: int = 20, updates: int = 0, steps: int | None = None, scenario_iterations: int = 0) -> Results:
     """Assign, correct against counts where there are any, report, and run the scenario if there is one.
 
@@ -209,10 +224,12 @@ def solve(inputs: Inputs, iterations: int = 20, updates: int = 0, steps: int | N
     unserved = classes.unserved(inputs.od, columns.where(F.col("state") != classes.FIXED)).withColumn("reason", F.lit("no path"))
     if lost is not None:
         unserved = unserved.unionByName(lost.withColumn("reason", F.lit("fixed route without links")))
-    out = Results(columns, base, reports.od_totals(columns), log, unserved, errors)
+    columns = settle(priced(columns, inputs.links, inputs.types, inputs.minutes, inputs.tolls))
+    out = Results(columns, base, reports.od_totals(columns), log, unserved, errors, districts=inputs.districts)
     if inputs.profile is not None:
         out.agents = demand.vehicles(classes.physical(columns), demand.departure_profile(inputs.profile, "slot5", "ratio"))
     if inputs.changes is not None:
+        columns = columns.select(*CELL, "links", "state", "volume")
         changed = settle(scenario.lane_changes(inputs.links, inputs.changes))
         out.scenario_paths, told = scenario.reassign_classes(
             changed, columns, inputs.types, inputs.minutes, scenario_iterations, base=inputs.links, informed_types=inputs.informed, info_zones=inputs.info_zones,
@@ -221,6 +238,7 @@ def solve(inputs: Inputs, iterations: int = 20, updates: int = 0, steps: int | N
         after = performance(changed, out.scenario_paths, inputs.types, inputs.minutes)
         key = F.concat_ws(";", "demand_period", "link_id")
         both = reports.before_after(base.withColumn("_key", key), after.withColumn("_key", key), "_key", ["volume", "minutes", "speed"])
+        out.scenario_performance = after
         out.comparison = both.withColumns({"demand_period": F.element_at(F.split("_key", ";"), 1), "link_id": F.element_at(F.split("_key", ";"), 2).cast("int")}).drop("_key")
         out.summary = log.unionByName(told.select(F.lit("scenario").alias("stage"), "iteration", F.lit("avg_minutes").alias("name"), (F.col("total_minutes") / F.lit(max(total, 1e-9))).alias("value")))
     return out
@@ -232,7 +250,27 @@ def write(results: Results, folder: str) -> None:
     rows = results.performance.withColumn("_p", F.col("demand_period"))
     rows = sinks.link_rows(rows, "").withColumn("demand_period", F.col("_p"))
     sinks.write_csv(rows.select("link_id", "from_node_id", "to_node_id", "demand_period", "volume", "persons", "minutes", "speed", "doc", "p"), f"{folder}/link_performance")
-    sinks.write_csv(results.paths.select(*CELL, "state", "volume", text), f"{folder}/route_assignment")
+    sinks.write_csv(results.paths.select(*CELL, "state", "volume", "path_cost", "path_miles", text, F.size("links").alias("n_links")), f"{folder}/route_assignment")
+    # SNK-03: every demand cell, with its columns or without
+    found = results.paths.select(*CELL, "volume", "path_cost", F.lit(1).alias("connectivity"))
+    lost = results.unserved.select(*CELL, "volume", F.lit(-1.0).alias("path_cost"), F.lit(0).alias("connectivity"))
+    sinks.write_csv(found.unionByName(lost), f"{folder}/od_accessibility")
+    # SNK-22: one row a pair of zones
+    names = [r[0] for r in results.paths.select("agent_type").distinct().orderBy("agent_type").limit(classes.MOST_TYPES).collect()]
+    sinks.write_csv(reports.od_weighted(results.paths, names), f"{folder}/results")
+    stages = [("base", results.performance)] + ([("scenario", results.scenario_performance)] if results.scenario_performance is not None else [])
+    if "corridor" in results.performance.columns:
+        # SNK-14
+        sinks.write_csv(_union([reports.corridors(p, F.concat_ws(" ", "demand_period", "corridor")).withColumn("stage", F.lit(s)) for s, p in stages]), f"{folder}/corridor_performance")
+    if results.districts is not None:
+        sinks.write_csv(reports.districts(results.paths, results.districts), f"{folder}/analysis_district_performance")
+    shapes = sinks.queue_rows(results.performance.withColumn("link_id", F.concat_ws(";", "demand_period", "link_id")))
+    place = F.split("link_id", ";")
+    sinks.write_csv(shapes.withColumn("demand_period", place[0]).withColumn("link_id", place[1]), f"{folder}/link_queue_profile")
+    if "cycle" in results.performance.columns:
+        # SNK-06: states of signals over an hour, as runs
+        signals = results.performance.where("cycle >= 1").select("link_id", F.round("cycle").cast("int").alias("cycle"), F.lit(0).alias("start_green"), F.round(F.col("cycle") - F.col("red")).cast("int").alias("end_green"), "lanes").dropDuplicates(["link_id"])
+        sinks.write_csv(reports.run_lengths(queues.signal_seconds(signals, 3600), "link_id", "second", "state"), f"{folder}/dynamic_link_state")
     sinks.write_csv(results.totals, f"{folder}/od_totals")
     sinks.write_csv(results.summary, f"{folder}/final_summary")
     sinks.write_csv(results.unserved, f"{folder}/unserved_demand")

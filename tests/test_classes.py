@@ -216,6 +216,23 @@ def test_a_queue_function_by_link_type(spark, tmp_path):
     assert rows[1]["doc"] == pytest.approx(doc) and rows[1]["minutes"] == pytest.approx(10 * (1 + a * doc**4))
 
 
+def test_every_report_of_a_folder_is_written(spark, tmp_path):
+    links = LINKS.replace("VDF_tollcar1\n", "VDF_tollcar1,tmc_corridor_name,cycle_length,start_green_time,end_green_time\n").replace(",0\nb", ",0,east,60,0,20\nb")
+    place = folder_of(tmp_path, ["am.csv,am,car,column,1"], am="o_zone_id,d_zone_id,volume\n1,2,100\n2,1,7\n", link=links, supply_side_scenario="scenario_type,from_node_id,to_node_id,lanes\nsa,1,4,2\n", n=1)
+    run.run(spark, place, str(tmp_path / "out"))
+    rows = {p.name: [r.asDict() for r in spark.read.option("header", True).csv(str(p)).collect()] for p in (tmp_path / "out").iterdir()}
+    route = rows["route_assignment"][0]
+    assert route["link_sequence"] == "1;2" and float(route["path_miles"]) == pytest.approx(20) and float(route["path_cost"]) > 20 and route["n_links"] == "2"
+    assert {(r["o_zone_id"], r["connectivity"]) for r in rows["od_accessibility"]} == {("1", "1"), ("2", "0")}
+    assert float(rows["results"][0]["volume"]) == 100 and float(rows["results"][0]["time_car"]) == pytest.approx(float(route["path_cost"]))
+    assert {(r["stage"], r["corridor"]) for r in rows["corridor_performance"]} == {(s, c) for s in ("base", "scenario") for c in ("am east", "am network_wide")}
+    assert float(rows["analysis_district_performance"][0]["volume"]) == 100
+    assert {(r["demand_period"], r["link_id"]) for r in rows["link_queue_profile"]} == {("am", "1"), ("am", "2")}
+    signal = rows["dynamic_link_state"]
+    assert len(signal) == 120 and {(r["duration"], r["state"]) for r in signal} == {("20", "1"), ("40", "0")}
+    assert {"link_performance", "od_totals", "final_summary", "unserved_demand", "scenario_comparison", "scenario_assignment"} <= rows.keys()
+
+
 def test_assign_module_form_agrees(spark):
     od = spark.createDataFrame([(1, 2, "p", 7000.0)], "o_zone_id int, d_zone_id int, agent_type string, volume double")
     old, _ = assign.column_generation(two_corridors(spark), od, 3, minutes)
