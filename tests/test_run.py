@@ -34,7 +34,7 @@ def test_a_folder_is_run_to_reports(spark, folder, tmp_path):
     rows = spark.read.option("header", True).csv(str(tmp_path / "out" / "link_performance")).collect()
     assert len(rows) == 4 and {r["demand_period"] for r in rows} == {"am"}
     log = {(r["stage"], r["iteration"], r["name"]): r["value"] for r in out.summary.collect()}
-    assert log["assignment", 19, "gap"] == pytest.approx(0.0139987, abs=0.05) or log["assignment", 19, "gap"] >= 0
+    assert log["assignment", 19, "gap"] == pytest.approx(0.000210117, abs=2e-5)
     assert {k for k, *_ in log} == {"assignment", "scenario"}
     change = {r["link_id"]: r["volume_diff"] for r in out.comparison.collect()}
     assert change[1] < -500 and change[1] == pytest.approx(-change[3])
