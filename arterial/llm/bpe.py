@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -44,6 +44,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _packed(ids: Sequence[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary, given as the file's JSON text."""
 
@@ -78,7 +82,8 @@ class Codec:
         self.single = np.array([self.ids[bytes([b])] for b in range(256)])
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: packed ids, so that a text's are joined without making numbers of them
+        self.known: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> tuple[int, ...]:
         """Ids of one pretoken: repeatedly merge the leftmost pair of lowest rank."""
@@ -138,15 +143,19 @@ class Codec:
         return np.where((self.codes[at] == code) & (x >= 0) & (y >= 0), self.rank_of[at], _NONE)
 
     def merge_many(self, words: list[bytes]) -> list[tuple[int, ...]]:
-        """merge() of many short pretokens in step; words of like length share an array of trees."""
-        out: list[tuple[int, ...]] = [()] * len(words)
+        """merge() of many short pretokens."""
+        return [tuple(np.frombuffer(x, dtype="<u4").tolist()) for x in self.merge_packed(words)]
+
+    def merge_packed(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many short pretokens in step, as little-endian 32-bit ids; words of like length share an array of trees."""
+        out = [b""] * len(words)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by.setdefault(max(1, 1 << (len(w) - 2).bit_length()) if len(w) > 1 else 0, []).append(i)
         for leaves, rows in by.items():
             if not leaves:
                 for i in rows:
-                    out[i] = tuple(self.ids[words[i][j : j + 1]] for j in range(len(words[i])))
+                    out[i] = _packed([self.ids[words[i][j : j + 1]] for j in range(len(words[i]))])
                 continue
             m = len(rows)
             lengths = np.array([len(words[i]) for i in rows])
@@ -190,10 +199,10 @@ class Codec:
                         put(live[ok], at[ok], np.where(rank == _NONE, _NONE, rank << 8 | at)[ok])
                 live = live[tree[live, 1] != _NONE]
             kept = ids >= 0
-            flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
+            flat, ends = ids[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
             begin = 0
             for i, end in zip(rows, ends):
-                out[i] = tuple(flat[begin:end])
+                out[i] = flat[begin:end]
                 begin = end
         return out
 
@@ -210,11 +219,11 @@ class Codec:
             new = {t for own in tokens for t in own}
         raw = {t: t.encode("utf-8", "replace") for t in new if t not in special}
         short = [t for t, b in raw.items() if len(b) <= SHORT]
-        known.update(zip(short, self.merge_many([raw[t] for t in short])))
-        known.update((t, self.merge(b)) for t, b in raw.items() if len(b) > SHORT)
-        known.update((t, (special[t],)) for t in new if t in special)
+        known.update(zip(short, self.merge_packed([raw[t] for t in short])))
+        known.update((t, _packed(self.merge(b))) for t, b in raw.items() if len(b) > SHORT)
+        known.update((t, _packed([special[t]])) for t in new if t in special)
         of = known.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(of, own)), dtype="<u4") for own in tokens]
+        out = [np.frombuffer(b"".join(map(of, own)), dtype="<u4") for own in tokens]
         for t in new:
             if len(t) > 256:  # long ones are not worth keeping
                 del known[t]
