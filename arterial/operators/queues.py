@@ -1,4 +1,4 @@
-"""Vehicle queues in discrete time (SIM-02..06, 08, 13..15, AGG-18, 22, JN-19, 20, FLT-10, 11).
+"""Vehicle queues in discrete time (SIM-02..06, 08, 13..15, AGG-18, 22, JN-19, 20, FLT-11).
 
 A link is a point queue with a closed form: a window over its arrivals, or slices of them.
 """
