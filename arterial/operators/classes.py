@@ -358,3 +358,9 @@ def unserved(od: DataFrame, columns: DataFrame) -> DataFrame:
 def physical(columns: DataFrame) -> DataFrame:
     """FLT-10: columns that use at least one link; agents of others are never on the road."""
     return columns.where(F.size("links") > 0)
+
+
+def agent_routes(agents: DataFrame, links: DataFrame, types: list[AgentType]) -> DataFrame:
+    """GR-19: ``agents`` (CELL and any more columns) with ``cost, links`` of each agent's route; a cell is searched once, whatever its number of agents, and agents without a way have nulls."""
+    cells_ = agents.select(*CELL).distinct().withColumn("volume", F.lit(1.0))
+    return agents.join(best_routes(links, cells_, types), CELL, "left")

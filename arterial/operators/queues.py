@@ -5,7 +5,7 @@ A link is a point queue with a closed form: a window over its arrivals, or slice
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,6 +117,12 @@ def network_counters(visits: DataFrame, every: int = 10) -> DataFrame:
     return visits.groupBy((F.floor(F.col("t_in") / every) * every).alias("minute")).agg(F.count("*").alias("entries"), F.avg(F.col("t_out") - F.col("t_in")).alias("minutes"))
 
 
-def sampled(rows: DataFrame, key: str, every: int) -> DataFrame:
-    """FLT-11: every n-th id."""
-    return rows.where(F.pmod(F.col(key), F.lit(every)) == 0)
+def sampled(rows: DataFrame, order: list[str], every: int = 1, most: int | None = None, only: Column | None = None) -> DataFrame:
+    """FLT-11: the first of every ``every`` rows in ``order``, of those where ``only`` holds, ``most`` of them at most.
+
+    ``order`` should tell rows apart; rows are numbered by :func:`ranges.numbered`, so no task orders them all.
+    """
+    kept = rows if only is None else rows.where(F.coalesce(only, F.lit(False)))
+    at = ranges.numbered(kept, [], *order, name="_nth")
+    chosen = at.where((F.col("_nth") - 1) % every == 0)
+    return (chosen if most is None else chosen.where(F.col("_nth") <= most * every)).drop("_nth")

@@ -8,6 +8,7 @@ non-negative fields count as 0.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from dataclasses import dataclass, field as dc_field
 
@@ -22,16 +23,24 @@ _NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def read_csv(spark: SparkSession, path: str, stop_at_blank: bool = True) -> DataFrame:
+    """SRC-01: the table of a CSV file, by :func:`from_lines`.
+
+    Spark's own reader skips blank lines, so files are read as lines first.
+    """
+    return from_lines(spark.read.text(path, lineSep="\n").select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_row")), stop_at_blank)
+
+
+def from_lines(lines: DataFrame, stop_at_blank: bool = True) -> DataFrame:
     """SRC-01: all columns as text, header names trimmed; rows from the first blank line on are left out.
 
-    ``_row`` numbers rows in file order (increasing, with gaps).  Spark's reader skips
-    blank lines itself, so files are read as lines first where the rule applies.
+    ``lines`` has ``line`` and ``_row``, which orders lines as in the file (increasing, with
+    gaps) and stays in the result.  The first line that is not blank is the header.
     """
-    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("_row"))
+    lines = lines.select(F.regexp_replace(F.regexp_replace("line", "\r$", ""), "^\ufeff", "").alias("line"), "_row")
     head = lines.where(F.trim("line") != "").orderBy("_row").limit(1).collect()
     if not head:
-        return spark.createDataFrame([], "_row long")
-    names = [c.strip() for c in next(__import__("csv").reader([head[0]["line"]]))]
+        return lines.sparkSession.createDataFrame([], "_row long")
+    names = [c.strip() for c in next(csv.reader([head[0]["line"]]))]
     rows = lines.where(F.col("_row") > head[0]["_row"])
     if stop_at_blank:
         cut = rows.where(F.regexp_replace("line", "[,\\s]", "") == "").agg(F.min("_row").alias("_cut"))
@@ -63,8 +72,6 @@ def read_sections(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     A line with ``[name]`` starts a section and names its columns.  Settings are a
     configuration file of some dozen lines, so they are parsed on the driver.
     """
-    import csv
-
     lines = [r[0].lstrip("﻿") for r in spark.read.text(path).collect()]
     out: dict[str, tuple[list[str], list[list[str]]]] = {}
     name = ""

@@ -238,3 +238,14 @@ def test_assign_module_form_agrees(spark):
     old, _ = assign.column_generation(two_corridors(spark), od, 3, minutes)
     new, _ = classes.assign(two_corridors(spark).withColumn("demand_period", F.lit("am")), od.withColumn("demand_period", F.lit("am")), [classes.AgentType("p")], 3, minutes)
     assert {tuple(r["links"]): r["volume"] for r in old.collect()} == {tuple(r["links"]): pytest.approx(r["volume"]) for r in new.collect()}
+
+
+@pytest.mark.parametrize("bytes_", [paths.NETWORK_BYTES, 0])
+def test_agents_of_a_pair_share_its_route(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(paths, "NETWORK_BYTES", bytes_)
+    types = [classes.AgentType("p"), classes.AgentType("truck")]
+    net = classes.costed(network(spark, [(1, 1, 2, 1.0, "p"), (2, 1, 3, 2.0, ""), (3, 3, 2, 2.0, "")]), types)
+    agents = spark.createDataFrame([("am", "p", 1, 2, 7), ("am", "p", 1, 2, 8), ("am", "truck", 1, 2, 9), ("am", "p", 2, 1, 10)], "demand_period string, agent_type string, o_zone_id int, d_zone_id int, agent_id int")
+    got = {r["agent_id"]: r["links"] for r in classes.agent_routes(agents, net, types).collect()}
+    assert got == {7: [1], 8: [1], 9: [2, 3], 10: None}
+    assert classes.agent_routes(agents.limit(0), net, types).count() == 0

@@ -166,3 +166,13 @@ def test_costs_of_nothing_make_no_cycle(spark):
     network = paths.Network(np.array(rows, dtype=float))
     node, cost, _, _ = network.search(0)
     assert {r["node"]: r["cost"] for r in tree.collect()} == dict(zip(node.tolist(), cost.tolist()))
+
+
+def test_samples_in_order(spark, many_parts):
+    rows = spark.createDataFrame([(i, i // 3, i % 2 == 0 if i % 5 else None) for i in range(100)], "id int, t int, gone boolean")
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(queues.sampled(rows, ["t", "id"], 10)) == list(range(0, 100, 10))
+    assert ids(queues.sampled(rows, ["t", "id"], 10, 3)) == [0, 10, 20]
+    gone = [i for i in range(100) if i % 2 == 0 and i % 5]
+    assert ids(queues.sampled(rows, ["t", "id"], 4, 5, F.col("gone"))) == gone[::4][:5]
+    assert ids(queues.sampled(rows.limit(0), ["t"], 4)) == []

@@ -88,3 +88,11 @@ def test_sinks(spark, tmp_path):
     assert back["link_sequence"] == "1;2" and back["volume"] == "5.0"
     long = spark.createDataFrame([(1, 0, 60.0), (1, 1, 50.0)], "link_id int, slot int, speed double")
     assert sinks.wide_profile(long, "link_id", [0, 1]).first().asDict() == {"link_id": 1, "v00:00": 60.0, "v00:05": 50.0}
+
+
+def test_lines_in_any_order_of_rows(spark):
+    lines = spark.createDataFrame([("7,late", 9), ("", 8), ("2,\"b, c\"", 5), (" a ,a,b", 2), ("1,x", 4), (" ", 1)], "line string, _row long")
+    got = tables.from_lines(lines)
+    assert got.columns == ["_row", "a", "_1", "b"]  # a name that repeats is given up
+    assert [tuple(r) for r in got.orderBy("_row").collect()] == [(4, "1", "x", None), (5, "2", "b, c", None)]
+    assert tables.from_lines(lines, False).count() == 4 and tables.from_lines(lines.limit(0)).columns == ["_row"]
